@@ -39,7 +39,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+
 #: str.split() also splits at these, the vocabulary's white space doesn't hold them.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Entries of a worker's memo of words; a full memo is emptied, which costs time only.
-MEMO = 400_000
+MEMO = 800_000
 #: Where the last symbol of a word is moved to, so that it differs from the same byte inside.
 LAST = 0xE000
 

@@ -273,8 +273,10 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weight: dict[str, f
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, float]:
-    """Train on a bounded sample of the corpus: the rows of smallest id hash that hold a digit or an at sign."""
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs).collect()
+    """Train on a bounded sample of the corpus: the different texts of smallest hash that hold a digit or an at sign."""
+    fit_for = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
+    chosen = fit_for.select("h").distinct().orderBy("h").limit(sample_docs)
+    rows = fit_for.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").limit(sample_docs).collect()
     return train(r["text"] for r in rows)
 
 
