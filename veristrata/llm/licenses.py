@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 SHINGLE, LEAST, MISS = 5, 0.8, 0.001
 #: Size classes of chunks (shingles): windows of twice the size, one every so many shingles.
 STEPS = (1, 2, 4, 8, 16)
-MOST_TEMPLATES = 10_000
+MOST_TEMPLATES = 2_000
 
 # Short notices of public licences, by SPDX name.
 TEMPLATES = (
@@ -66,9 +66,13 @@ def words(text: Column) -> Column:
 
 def shingles(found: Column, size: int = SHINGLE) -> Column:
     """Hashes of all shingles, in order; of fewer words than ``size``, one of all."""
-    n = F.size(found)
-    many = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(found, i, size)))
-    return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(found))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
+        return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(found), of)[0]  # binds the words, which would be cut anew for every shingle
 
 
 def bands(step: int) -> int:
@@ -77,9 +81,13 @@ def bands(step: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - smallest / (2 * step)))
 
 
-def min_hashes(set_: Column, count: int) -> Column:
-    """``count`` MinHash values of a non-empty array of 64-bit hashes."""
-    return F.array(*(F.array_min(F.transform(set_, lambda x, seed=j: F.xxhash64(x, F.lit(seed)))) for j in range(count)))
+def band_keys(set_: Column, step: int) -> Column:
+    """The band keys of a non-empty array of shingle hashes: size class, band number and MinHash value in one hash."""
+
+    def key(band: int) -> Column:
+        return F.xxhash64(F.lit(step), F.lit(band), F.array_min(F.transform(set_, lambda x: F.xxhash64(x, F.lit(band)))))
+
+    return F.array(*(key(j) for j in range(bands(step))))
 
 
 def step_of(size: Column) -> Column:
@@ -89,51 +97,61 @@ def step_of(size: Column) -> Column:
     return out
 
 
-def template_bands(templates: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Bands of every template's chunks, and the size classes in use."""
+def template_bands(known: DataFrame) -> tuple[dict[int, list[int]], list[int]]:
+    """Templates by the band keys of their chunks, and the size classes in use. ``known`` is bounded by MOST_TEMPLATES."""
     chunk = STEPS[-1]
-    cut = templates.withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / chunk).cast("int")), lambda i: F.slice("shingles", i * chunk + 1, chunk))))
+    cut = known.withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / chunk).cast("int")), lambda i: F.slice("shingles", i * chunk + 1, chunk))))
     cut = cut.withColumn("step", step_of(F.size("chunk")))
-    used = sorted(r["step"] for r in cut.select("step").distinct().collect())  # at most len(STEPS) rows
-    parts = [cut.where(F.col("step") == s).select("template_id", "step", F.posexplode(min_hashes(F.col("chunk"), bands(s))).alias("band", "value")) for s in used]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct(), used
+    keys = F.lit(None).cast("array<bigint>")
+    for s in STEPS:
+        keys = F.when(F.col("step") == s, band_keys(F.col("chunk"), s)).otherwise(keys)
+    of: dict[int, set[int]] = {}
+    steps = set()
+    for r in cut.select("template_id", "step", keys.alias("keys")).collect():
+        steps.add(r["step"])
+        for k in r["keys"]:
+            of.setdefault(k, set()).add(r["template_id"])
+    return {k: sorted(v) for k, v in sorted(of.items())}, sorted(steps)
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """Matches: ``doc_id``, ``template_id``, ``license``, ``n_shingles`` of the template, ``n_found`` and ``containment``."""
     spark = docs.sparkSession
-    known = (default_templates(spark) if templates is None else templates).select("template_id", "license", F.array_distinct(shingles(words("text"))).alias("shingles")).where(F.size("shingles") > 0)
-    # At most MOST_TEMPLATES templates are looked at by the driver, as one array of their shingles.
-    held = known.select("template_id", "license", "shingles").limit(MOST_TEMPLATES + 1).collect()
+    known = (default_templates(spark) if templates is None else templates).select("template_id", "license", F.array_distinct(shingles(words(F.coalesce("text", F.lit(""))))).alias("shingles")).where(F.size("shingles") > 0)
+    held = known.limit(MOST_TEMPLATES + 1).collect()
     if len(held) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     if not held:
-        return docs.select("doc_id").where("false").selectExpr("doc_id", "cast(null as int) template_id", "cast(null as string) license", "cast(null as long) n_shingles", "cast(null as long) n_found", "cast(null as double) containment")
+        return docs.limit(0).selectExpr("doc_id", "cast(null as int) template_id", "cast(null as string) license", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found", "cast(null as double) containment")
     known = spark.createDataFrame([tuple(r) for r in held], known.schema)
     every = F.array(*(F.lit(x) for x in sorted({x for r in held for x in r["shingles"]})))
-    table, steps = template_bands(known)
+    of, steps = template_bands(known)
+    all_keys = F.array(*(F.lit(k) for k in of))
+    of_key = F.map_from_arrays(all_keys, F.array(*(F.array(*(F.lit(t) for t in ts)) for ts in of.values())))
+
+    def retrieve(s: Column) -> Column:
+        """Templates that share a band with one of the document's windows."""
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), shingles(words(F.coalesce("text", F.lit("")))).alias("shingles")).where(F.arrays_overlap("shingles", every))
+        def windows(step: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - step + 1), F.lit(step))
+            return F.flatten(F.transform(starts, lambda i: F.array_intersect(band_keys(F.slice(s, i, max(1, 2 * step if step > 1 else 1)), step), all_keys)))
 
-    def windows(step: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("shingles") - step + 1), F.lit(step))
-        return F.flatten(F.transform(starts, lambda i: F.transform(min_hashes(F.slice("shingles", i, 2 * step if step > 1 else 1), bands(step)), lambda v, j: F.struct(F.lit(step).alias("step"), j.alias("band"), v.alias("value")))))
+        return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.concat(*(windows(x) for x in steps))), lambda k: F.element_at(of_key, k))))
 
-    spread = rows.withColumn("w", F.explode(F.concat(*(windows(s) for s in steps))))
-    retrieved = spread.join(F.broadcast(table), (F.col("w.step") == table["step"]) & (F.col("w.band") == table["band"]) & (F.col("w.value") == table["value"])).select("row", "doc_id", "template_id", "shingles").dropDuplicates(["row", "template_id"])
-    sized = known.select(F.col("template_id").alias("t_id"), "license", F.col("shingles").alias("t_shingles"))
-    found = retrieved.join(F.broadcast(sized), F.col("template_id") == F.col("t_id")).withColumn("n_shingles", F.size("t_shingles").cast("long")).withColumn("n_found", F.size(F.array_intersect("t_shingles", "shingles")).cast("long"))
-    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= least).select("doc_id", "template_id", "license", "n_shingles", "n_found", "containment")
+    kept = F.filter(F.array(shingles(words(F.coalesce("text", F.lit(""))))), lambda s: F.arrays_overlap(s, every))
+    # one generator, so that a text's shingles are made once; the outer form keeps Spark from asking for its size beforehand
+    rows = docs.select("doc_id", F.explode_outer(F.transform(kept, lambda s: F.struct(s.alias("shingles"), retrieve(s).alias("found")))).alias("g")).where("g is not null")
+    found = rows.select("doc_id", "g.shingles", F.explode_outer("g.found").alias("t_id")).where("t_id is not null")
+    sized = F.broadcast(known.select("template_id", "license", F.col("shingles").alias("t_shingles")))  # MOST_TEMPLATES rows at most
+    exact = found.join(sized, F.col("template_id") == F.col("t_id")).withColumn("n_shingles", F.size("t_shingles").cast("long")).withColumn("n_found", F.size(F.array_intersect("t_shingles", "shingles")).cast("long"))
+    return exact.select("doc_id", "template_id", "license", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")).where(F.col("containment") >= least)
 
 
 def oracle() -> str:
     """The same matches in DuckDB SQL: exact containment of every template in every document."""
     rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
     grams = "case when len(w) >= 5 then list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
-    cut = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')"
+    cut = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""
 with t as (select * from (values {rows}) v(template_id, license, text)),
 ts as (select template_id, license, {grams} s from (select template_id, license, {cut} w from t)),
