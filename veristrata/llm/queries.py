@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veristrata.llm import bpe, licenses, merkle, neardup, packing, pii, toxicity, wrappers
+from veristrata.llm import bpe, licenses, merkle, neardup, neighbours, packing, passages, pii, toxicity, wrappers
 from veristrata.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_of_hundredth(table(spark, sf_dir, "embeddings"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,13 +56,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_neighbours": op2_neighbours,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_passages": op7_passages,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op7_passages": passages.oracle()}
