@@ -1,0 +1,223 @@
+"""Signed ledgers: building records, checking all of them, anchors, rotations, proofs and explanations.
+
+Checking has two tiers. Tier 1 is columnar: each record is parsed strictly and
+by itself, then windows compare it with the one before. Only a ledger in which
+tier 1 finds something gets tier 2, a walk in order that folds later effects
+into their first cause; it streams through one task, row by row.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veristrata.functions import canonical, ed25519
+from veristrata.operators import ledger as chain
+
+# Record types, the section each carries, and header fields.
+SECTIONS = {
+    "genesis": "deployment_manifest", "model_registration": "model", "inference": "input", "checkpoint": "checkpoint", "anchor_event": "anchor",
+    "key_rotation": "rotation", "degraded_marker": "gap", "scan_record": "scan", "analyst_event": "analyst",
+}
+HEADER = ("v", "type", "seq", "prev_record_hash", "key_id", "created_at_utc", "nonce")
+PARSED = "pos long, seq long, type string, prev string, key_id string, created_at string, nonce string, rec_hash string, problem string"
+#: Problems of one record, gravest first: the order in which they are reported.
+ORDER = ("parse", "schema", "unknown_key", "signature", "link", "sequence", "nonce", "clock", "checkpoint")
+
+
+def record_hash(rec: bytes) -> str:
+    return hashlib.sha256(b"\x02" + rec).hexdigest()
+
+
+def build(seed: bytes, kind: str, seq: int, prev: str, section: dict, when: datetime | None = None, nonce: str | None = None) -> bytes:
+    """One signed record's canonical bytes."""
+    body = {
+        "v": 1, "type": kind, "seq": seq, "prev_record_hash": prev, "key_id": ed25519.key_id(ed25519.public_key(seed)),
+        "created_at_utc": (when or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "nonce": nonce or os.urandom(16).hex(), SECTIONS[kind]: section,
+    }
+    return canonical.encode(body | {"signature": ed25519.sign(seed, canonical.encode(body)).hex()})
+
+
+def append(seed: bytes, records: list[bytes], entries: Iterable[tuple[str, dict]], every: int = 0) -> list[bytes]:
+    """A single writer's batch, linked to what is there; with ``every``, a checkpoint of the tree after so many records."""
+    out = list(records)
+    for kind, section in entries:
+        out.append(build(seed, kind, len(out), record_hash(out[-1]) if out else chain.ZERO, section))
+        if every and len(out) % every == 0:
+            root = _root([hashlib.sha256(b"\x00" + r).digest() for r in out])
+            out.append(build(seed, "checkpoint", len(out), record_hash(out[-1]), {"tree_size": len(out), "root_hash": root.hex()}))
+    return out
+
+
+def _root(leaves: list[bytes]) -> bytes:
+    level = leaves
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0] if level else hashlib.sha256(b"").digest()
+
+
+def examine(rec: bytes, keys: dict[str, bytes]) -> tuple[dict, str | None]:
+    """(header fields, first problem) of one record by itself."""
+    try:
+        doc = canonical.parse(rec)
+    except (ValueError, UnicodeDecodeError, RecursionError):
+        return {}, "parse"
+    if not isinstance(doc, dict) or doc.get("type") not in SECTIONS or set(doc) != {*HEADER, "signature", SECTIONS[doc["type"]]}:
+        return {}, "schema"
+    hexes = (("prev_record_hash", 64), ("key_id", 64), ("nonce", 32), ("signature", 128))
+    if not all(isinstance(doc[k], str) and len(doc[k]) == n and all(c in "0123456789abcdef" for c in doc[k]) for k, n in hexes) or type(doc["seq"]) is not int or len(str(doc["created_at_utc"])) != 27:
+        return {}, "schema"
+    head = {k: doc[k] for k in HEADER}
+    key = keys.get(doc["key_id"])
+    if key is None:
+        return head, "unknown_key"
+    body = {k: v for k, v in doc.items() if k != "signature"}
+    return head, None if ed25519.verify(key, canonical.encode(body), bytes.fromhex(doc["signature"])) else "signature"
+
+
+def parse(ledger: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """``ledger``: pos, rec. Keys are those of the trust root and of the ledger's own rotations."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for pos, rec in zip(batch["pos"], batch["rec"], strict=True):
+                h, problem = examine(bytes(rec), keys)
+                rows.append((pos, h.get("seq"), h.get("type"), h.get("prev_record_hash"), h.get("key_id"), h.get("created_at_utc"), h.get("nonce"), record_hash(bytes(rec)), problem))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")]).astype({"seq": "Int64"})
+
+    return ledger.select("pos", "rec").mapInPandas(run, PARSED)
+
+
+def problems(parsed: DataFrame) -> DataFrame:
+    """Tier 1: ``pos``, ``seq``, ``problem`` of every record with one, the first in ``ORDER``."""
+    by_pos = parsed.withColumn("__seq", F.col("seq")).drop("seq").withColumnRenamed("pos", "seq")
+    both = chain.in_order(by_pos, {"before_hash": "rec_hash", "before_seq": "__seq", "before_time": "created_at", "before_pos": "seq"}).withColumnRenamed("seq", "pos").withColumnRenamed("__seq", "seq")
+    first = F.col("before_pos").isNull()
+    found = (
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("prev") != F.coalesce("before_hash", F.lit(chain.ZERO)), "link")
+        .when(F.col("seq") != F.when(first, F.lit(0)).otherwise(F.coalesce("before_seq", F.col("seq") - 1) + 1), "sequence")
+        .when(F.col("created_at") < F.col("before_time"), "clock")
+    )
+    own = both.select("pos", "seq", found.alias("problem"))
+    nonces = chain.repeated_nonces(by_pos.select("seq", "nonce", "type").where("nonce is not null")).select(F.col("seq").alias("pos"), F.lit(1).alias("again"))
+    return own.join(nonces, "pos", "left").select("pos", "seq", F.coalesce("problem", F.when(F.col("again").isNotNull(), F.lit("nonce"))).alias("problem")).where("problem is not null")
+
+
+def fold_effects(parsed: DataFrame) -> DataFrame:
+    """Tier 2: first causes with the number of later records that fail only because of them.
+
+    After a failure the walk takes the ledger as it stands for its new base: a
+    link is checked against the record before it, a number against the running
+    shift, so that one lost record is one finding, not one for each after it.
+    """
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, shift, open_ = None, 0, None
+        done: list[tuple] = []
+        for batch in batches:
+            for row in batch.itertuples():
+                cause = None
+                if isinstance(row.problem, str):
+                    cause = row.problem
+                elif row.prev != (before.rec_hash if before is not None else chain.ZERO):
+                    cause = "link"
+                seq_off = None if pd.isna(row.seq) else int(row.seq) - int(row.pos)
+                if seq_off is not None and seq_off != shift:
+                    cause = "missing" if seq_off > shift else cause or "repeated"
+                    shift = seq_off
+                if cause == "link" and open_ is not None and before is not None and isinstance(before.problem, str):
+                    open_[3] += 1  # the record before was changed, so this link can't hold
+                elif cause is not None:
+                    open_ = [int(row.pos), seq_off, cause, 0]
+                    done.append(open_)
+                before = row
+        yield pd.DataFrame([tuple(d) for d in done], columns=["pos", "shift", "cause", "effects"]).astype({"shift": "Int64"})
+
+    # one task reads the rows in order and holds one of them
+    return parsed.repartition(1).sortWithinPartitions("pos").mapInPandas(walk, "pos long, shift long, cause string, effects long")
+
+
+def verify(ledger: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """Findings of a whole ledger; empty if it is sound."""
+    parsed = chain.cut(parse(ledger, keys))
+    found = problems(parsed)
+    if found.isEmpty():
+        return ledger.sparkSession.createDataFrame([], "pos long, shift long, cause string, effects long")
+    causes = fold_effects(parsed)
+    rest = found.where("problem in ('nonce', 'clock')").select("pos", F.lit(None).cast("long").alias("shift"), F.col("problem").alias("cause"), F.lit(0).cast("long").alias("effects"))
+    return causes.unionByName(rest)
+
+
+def rotate(seed: bytes, new_seed: bytes) -> dict:
+    """Section of a key rotation: the new key, with proof that its holder agrees."""
+    key = ed25519.public_key(new_seed)
+    return {"new_key": key.hex(), "proof": ed25519.sign(new_seed, b"rotate:" + ed25519.public_key(seed) + key).hex()}
+
+
+def keys_of(records: Iterable[bytes], roots: Iterable[bytes]) -> dict[str, bytes]:
+    """Known keys by id: the roots, and those that a known key rotated to with a valid proof."""
+    keys = {ed25519.key_id(k): k for k in roots}
+    for rec in records:
+        head, problem = examine(rec, keys)
+        if problem is None and head["type"] == "key_rotation":
+            section = canonical.parse(rec)["rotation"]
+            key = bytes.fromhex(section["new_key"])
+            if ed25519.verify(key, b"rotate:" + keys[head["key_id"]] + key, bytes.fromhex(section["proof"])):
+                keys[ed25519.key_id(key)] = key
+    return keys
+
+
+# ---- anchors ----
+
+
+def anchor(ledger_id: str, tree: chain.StoredTree, size: int, seed: bytes) -> dict:
+    """A signed statement of the tree's root at a size, to be kept elsewhere."""
+    body = {"ledger_id": ledger_id, "tree_size": size, "root_hash": tree.root(size).hex()}
+    return body | {"key": ed25519.public_key(seed).hex(), "signature": ed25519.sign(seed, canonical.encode(body)).hex()}
+
+
+def cosign(a: dict, seed: bytes) -> dict:
+    body = {k: a[k] for k in ("ledger_id", "tree_size", "root_hash")}
+    return a | {"witnesses": [*a.get("witnesses", []), {"key": ed25519.public_key(seed).hex(), "signature": ed25519.sign(seed, canonical.encode(body)).hex()}]}
+
+
+def check_anchor(a: dict, tree: chain.StoredTree, trusted: set[str], witnesses: int = 0) -> str:
+    """ok, bad_signature, too_few_witnesses, truncated (the ledger is shorter) or forked (another root)."""
+    body = {k: a[k] for k in ("ledger_id", "tree_size", "root_hash")}
+    data = canonical.encode(body)
+    if a["key"] not in trusted or not ed25519.verify(bytes.fromhex(a["key"]), data, bytes.fromhex(a["signature"])):
+        return "bad_signature"
+    good = {w["key"] for w in a.get("witnesses", []) if w["key"] in trusted and ed25519.verify(bytes.fromhex(w["key"]), data, bytes.fromhex(w["signature"]))}
+    if len(good) < witnesses:
+        return "too_few_witnesses"
+    if a["tree_size"] > tree.size:
+        return "truncated"
+    return "ok" if tree.root(a["tree_size"]).hex() == a["root_hash"] else "forked"
+
+
+def checksum(a: dict) -> str:
+    """Short form for a paper logbook."""
+    h = hashlib.sha256(canonical.encode(a)).hexdigest()[:16]
+    return "-".join(h[i : i + 4] for i in range(0, 16, 4))
+
+
+def explain(ledger: DataFrame, seq: int, keys: dict[str, bytes]) -> DataFrame:
+    """What can be said of one record: its fields, its own problem, and whether its neighbours agree."""
+    near = ledger.where(F.col("pos").between(seq - 1, seq + 1))
+    p = parse(near, keys).withColumn("__pos", F.col("pos")).drop("seq").withColumnRenamed("pos", "seq")
+    out = chain.in_order(p, {"before_hash": "rec_hash"}).where(F.col("seq") == seq)
+    return out.select("seq", "type", "created_at", "key_id", "rec_hash", "problem", (F.col("prev") == F.coalesce("before_hash", F.lit(chain.ZERO))).alias("linked"))
+
+
+def check_payloads(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """References without a payload, and payloads whose bytes don't hash to their address. ``records``: seq, address; ``payloads``: address, data."""
+    both = records.join(payloads.select(F.col("address").alias("a"), F.sha2("data", 256).alias("h")), F.col("address") == F.col("a"), "left")
+    return both.withColumn("state", F.when(F.col("a").isNull(), "missing").when(F.col("h") != F.col("address"), "changed").otherwise("ok")).select("seq", "address", "state")
