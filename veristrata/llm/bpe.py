@@ -23,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,8 +40,10 @@ from pyspark.sql import functions as F
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 #: str.split() also splits at these, the vocabulary's white space doesn't hold them.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
 #: Entries of a worker's memo of words; a full memo is emptied, which costs time only.
-MEMO = 800_000
+MEMO = 1_000_000
 #: Where the last symbol of a word is moved to, so that it differs from the same byte inside.
 LAST = 0xE000
 
@@ -109,7 +113,6 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(strings), dtype=np.uint8)
         self.words = regex.compile(WORDS)
         self.memo: dict[str, bytes] = {}
-        self.word_memo: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -180,23 +183,23 @@ class Bpe:
                 token = out.pop()
                 at -= token_len[token]
 
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a text without white space, as little-endian unsigned 32-bit integers."""
-        memo, out = self.word_memo, []
-        for word in self.words.findall(chunk):
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                    self.fits.clear()
-                ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
-                if len(word) <= 64:
-                    memo[word] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(chunk) <= 64:
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-tokenised word, as little-endian unsigned 32-bit integers."""
+        ids = array("I", self.encode_word(word)).tobytes()
+        if len(word) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
+                self.fits.clear()
+            self.memo[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The same of a text without white space. Words and chunks share one memo: a chunk of letters alone is a word."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        get, make = self.memo.get, self._word
+        ids = b"".join([get(w) or make(w) for w in self.words.findall(chunk)])
+        if len(chunk) <= 64:
             self.memo[chunk] = ids
         return ids
 
