@@ -386,3 +386,8 @@ def test_field_adds_spans(spark):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[6] == "Released under the MIT License. <email>" and got[1] is None and got[2] == ""
     assert pii.find(odd_rows(spark).limit(0)).count() == 0
+
+
+def test_layout_words_and_captions():
+    page = '<body class="no-sidebar"><div class="content has-sidebar"><p>Long enough text of the article.</p><figure><img src="x"><figcaption>A caption.</figcaption></figure></div><div class="sidebar">Side</div></body>'
+    assert wrappers.extract(page, None) == "Long enough text of the article.\nA caption."

@@ -43,7 +43,7 @@ NOT_SPACE = re.compile("[\x1c-\x1f]")
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 #: Entries of a worker's memo of words; a full memo is emptied, which costs time only.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Where the last symbol of a word is moved to, so that it differs from the same byte inside.
 LAST = 0xE000
 

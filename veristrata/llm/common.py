@@ -5,37 +5,19 @@ Nothing outside ``veristrata.llm`` imports this subpackage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veristrata.sources.session import checkpoint_dir, cut, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark only, so any store that Spark reads will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpoint_folder", "cut", "stored", "table", "text_or_empty"]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.
-
-    The session's ``spark.checkpoint.dir`` is used as it is. Only where it is
-    unset (tests on one machine) a temporary folder is made.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veristrata-"))
-    return context.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint: survives lost executors and ends the lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``, or a temporary one only where that is unset."""
+    return checkpoint_dir(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -103,13 +103,14 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "finge
 def compare_with_edits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The query: every document's fingerprint, that of its edited text, and two likenesses.
 
-    Neighbours in descending id order are found without a global sort: rows are
-    dealt to buckets of neighbouring ids, a window inside each bucket finds the
+    Neighbours in descending id order are found without a global sort of rows:
+    only bucket numbers, one for ``bucket_rows`` rows, are ordered in one task.
+    Rows are dealt to buckets of neighbouring ids, a window inside each bucket finds the
     next row, and each bucket gets the head of the bucket below as one more row
     to look at. The texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bounds = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo"), F.max(F.col("doc_id").cast("long")).alias("hi"), F.count("*").alias("n")).first()
+    bounds = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo"), F.max(F.col("doc_id").cast("long")).alias("hi"), F.count("*").alias("n"), F.count(F.col("doc_id").cast("long")).alias("with_id")).first()
     lo, hi, n = bounds["lo"] or 0, bounds["hi"] or 0, bounds["n"]
     width = float(max(1, math.ceil((hi - lo + 1) * bucket_rows / max(1, n))))
     bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
@@ -118,8 +119,8 @@ def compare_with_edits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "tie")
     heads = dealt.groupBy("bucket").agg(F.max_by("text", key).alias("head_text"))
     below = heads.select("bucket").withColumn("above", F.lag("bucket").over(Window.orderBy(F.desc("bucket"))))
-    top = heads.agg(F.min("bucket").alias("lowest"))  # the last row is followed by the first
-    guests = heads.join(below, "bucket").crossJoin(top).select(F.coalesce("above", "lowest").alias("bucket"), "head_text")
+    lowest = -1 if bounds["with_id"] < n else 0  # whose last row is followed by the first of all
+    guests = heads.join(below, "bucket").select(F.coalesce("above", F.lit(lowest).cast("long")).alias("bucket"), "head_text")
 
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
     beside = dealt.withColumn("next_text", F.lead("text").over(order)).join(guests, "bucket", "left")

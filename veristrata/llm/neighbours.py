@@ -36,9 +36,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.common import stored
+
 WIDTH, CENTRES = 2, 16
 #: The sample that centres are fitted on, and the fit's passes.
-SAMPLE, PASSES = 20_000, 8
+SAMPLE, PASSES = 8_192, 8
 #: Inner products above this share of |x| matter to the loss.
 THRESHOLD = 0.2
 QUERY_BLOCK, ROWS, KEEP = 2048, 8192, 96
@@ -221,8 +223,6 @@ def search(index: DataFrame, book: Codebook, queries: DataFrame, k: int = 10, ke
 
 def nearest_of_hundredth(rows: DataFrame, k: int = 10) -> DataFrame:
     """The query: rows whose id is divisible by 100, against all others."""
-    from veristrata.llm.common import stored
-
     index, book = build_index(rows)
     index = stored(index, "vectors")
     return search(index, book, index.where("id % 100 = 0").select("id", "vector").dropDuplicates(["id"]), k)

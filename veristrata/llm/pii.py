@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
 #: Longest segment, in atoms.
 LONGEST = 24
-EPOCHS, RATE, DECAY = 60, 0.5, 1e-3
+EPOCHS, RATE, DECAY = 200, 0.5, 1e-3
 #: An added span needs at least this posterior log-odds over leaving its atoms alone.
 MARGIN = 2.0
 
@@ -123,7 +123,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[str] | None:
         return ["card", f"card:edge{edge}", f"card:size{13 <= n <= 19}", f"card:luhn{luhn(''.join(groups))}", f"card:even{len(set(map(len, groups[:-1]))) <= 1}", f"card:next{before == '.' or after == '.'}"]
     if gaps - set(" ().+-") or n < 7 or span.count("+") > (span[0] == "+"):
         return None
-    return ["phone", f"phone:edge{edge}", f"phone:plus{span[0] == '+'}", f"phone:size{9 <= n <= 15}", f"phone:groups{min(len(groups), 6)}", f"phone:dots{'.' in gaps}", f"phone:gaps{bool(gaps - {'+'})}", f"phone:next{before in ('+', '.') or after == '.'}"]
+    return ["phone", f"phone:edge{edge}", f"phone:plus{span[0] == '+'}", f"phone:size{9 <= n <= 15}", f"phone:groups{min(len(groups), 6)}", f"phone:dots{'.' in gaps}", f"phone:gaps{bool(gaps - {'+'})}", f"phone:balanced{span.count('(') == span.count(')')}", f"phone:next{before in ('+', '.') or after == '.'}"]
 
 
 Lattice = tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]

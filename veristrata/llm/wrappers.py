@@ -40,7 +40,7 @@ SALTS = 32
 
 # Tag names and class words.
 RAW = "script|style|textarea|title|noscript|template|iframe|svg|xmp|noembed|noframes"
-DROPPED = frozenset("head nav header footer aside form menu dialog button select option label fieldset figure figcaption video audio canvas object map math datalist legend input".split())
+DROPPED = frozenset("head nav header footer aside form menu dialog button select option label fieldset video audio canvas object map math datalist legend input".split())
 BLOCKS = frozenset("html body head nav header footer aside form menu dialog fieldset article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address center details summary hgroup search".split())
 VOID = frozenset("br hr img meta link input area base col embed source track wbr".split())
 CLOSES_P = BLOCKS
@@ -56,6 +56,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+")
+#: Class words that say what is beside an element, or absent, rather than what it is.
+BESIDE = re.compile(r"\b(?:has|with|without|no|show|hide|is)[-_][a-z]+")
 SPACE = re.compile(r"\s+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)")
 
@@ -69,7 +71,7 @@ def host_of(url: str | None) -> str:
 def element(name: str, rest: str) -> tuple[str, bool, bool]:
     """An element's key (tag and class words), whether it is chrome, and whether it is named as content."""
     attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)} if rest else {}
-    parts = frozenset(NAME_PART.findall((attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
+    parts = frozenset(NAME_PART.findall(BESIDE.sub(" ", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())))
     role = attributes.get("role", "").lower()
     hidden = attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     body = name in ("html", "body", "article", "main")
