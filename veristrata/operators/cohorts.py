@@ -21,10 +21,11 @@ def robust_z(rows: DataFrame, by: list[str], value: str, floor: float = 0.1) ->
 
 def mad_index(rows: DataFrame, value: str = "value") -> DataFrame:
     """How far each value lies below the median: (median - x) / max(MAD, 5 % of the median, 1e-9)."""
-    m = rows.agg(F.median(value).alias("m"))
-    one = rows.crossJoin(F.broadcast(m))  # one row
-    s = one.agg((F.median(F.abs(F.col(value) - F.col("m"))) * MAD_SCALE).alias("s"))
-    return one.crossJoin(F.broadcast(s)).withColumn("anomaly_index", (F.col("m") - F.col(value)) / F.greatest(F.col("s"), F.col("m") * 0.05, F.lit(1e-9))).drop("m", "s")
+    m = rows.agg(F.median(value).cast("double")).first()[0]
+    if m is None:
+        return rows.withColumn("anomaly_index", F.lit(None).cast("double"))
+    s = rows.agg(F.median(F.abs(F.col(value) - m)) * MAD_SCALE).first()[0]
+    return rows.withColumn("anomaly_index", (F.lit(m) - F.col(value)) / max(s, m * 0.05, 1e-9))
 
 
 def top_share(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -51,14 +52,14 @@ def group_key(rows: DataFrame, least: int = 20) -> DataFrame:
 def share_against_rest(rows: DataFrame, by: str, flag: Column) -> DataFrame:
     """A group's share of a flag against that of all other rows: totals less the group's own, no join of groups."""
     g = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(flag).alias("k"))
-    whole = g.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
-    return g.crossJoin(F.broadcast(whole)).select(by, "n", "k", (F.col("k") / F.col("n")).alias("share"), F.try_divide(F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n")).alias("rest_share"))
+    every = Window.partitionBy()  # one short row a group
+    return g.withColumn("all_n", F.sum("n").over(every)).withColumn("all_k", F.sum("k").over(every)).select(by, "n", "k", (F.col("k") / F.col("n")).alias("share"), F.try_divide(F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n")).alias("rest_share"))
 
 
 def others_max(rows: DataFrame, by: str, value: str) -> DataFrame:
     """For each group, the largest ``value`` among the other groups, from the two largest alone."""
-    top = rows.agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("neg"), F.col(by).alias("g")))), 1, 2).alias("top"))
-    return rows.crossJoin(F.broadcast(top)).withColumn("others_max", F.when(F.col("top")[0]["g"] == F.col(by), -F.get(F.col("top"), F.lit(1))["neg"]).otherwise(-F.col("top")[0]["neg"])).drop("top")
+    every = Window.partitionBy()  # one short row a group
+    return rows.withColumn("top", F.slice(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("neg"), F.col(by).alias("g"))).over(every)), 1, 2)).withColumn("others_max", F.when(F.col("top")[0]["g"] == F.col(by), -F.get(F.col("top"), F.lit(1))["neg"]).otherwise(-F.col("top")[0]["neg"])).drop("top")
 
 
 def confusion_cells(rows: DataFrame) -> DataFrame:

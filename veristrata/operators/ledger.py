@@ -100,8 +100,8 @@ def failure_runs(checked: DataFrame) -> DataFrame:
 
 def unwitnessed(ledger: DataFrame) -> DataFrame:
     """Rows after the last anchor."""
-    last = ledger.where("type = 'anchor_event'").agg(F.max("seq").alias("last"))
-    return ledger.crossJoin(F.broadcast(last)).where("last is null or seq > last").drop("last")  # one row
+    last = ledger.where("type = 'anchor_event'").agg(F.max("seq")).first()[0]
+    return ledger if last is None else ledger.where(F.col("seq") > last)
 
 
 def appears_later(ledger: DataFrame, missing: DataFrame) -> DataFrame:

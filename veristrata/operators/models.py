@@ -49,9 +49,9 @@ def strip_entropy(overlays: DataFrame, clean: DataFrame, quantile: float = 0.01)
     """Share of inputs whose mean prediction entropy under overlays lies below the clean inputs' quantile. Both: input_id, probs."""
     from veristrata.functions.scalars import entropy
 
-    limit = clean.groupBy("input_id").agg(F.avg(entropy(F.col("probs"))).alias("h")).agg(F.percentile("h", quantile).alias("limit"))
+    limit = clean.groupBy("input_id").agg(F.avg(entropy(F.col("probs"))).alias("h")).agg(F.percentile("h", quantile)).first()[0]
     each = overlays.groupBy("input_id").agg(F.avg(entropy(F.col("probs"))).alias("h"))
-    return each.crossJoin(F.broadcast(limit)).withColumn("low", F.col("h") < F.col("limit"))
+    return each.withColumn("low", F.col("h") < F.lit(limit))
 
 
 def fingerprint_divergence(a: DataFrame, b: DataFrame) -> DataFrame:

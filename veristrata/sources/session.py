@@ -23,9 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, as it is. Only where it is unset (tests on one machine) a temporary folder is made."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veristrata-"))
+    return context.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint: survives lost executors and ends the lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
