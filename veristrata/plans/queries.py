@@ -520,7 +520,7 @@ def capabilities(spark, sf_dir):
 def event_fold(spark, sf_dir):
     found = _routed(spark, sf_dir).select("finding_id", "disposition", "target_ref")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("actor_id"), F.element_at(F.array(*(F.lit(a) for a in governance.ACTIONS)), ((F.col("event_id") % 6) + 1).cast("int")).alias("action"), (F.col("event_id") % 400).cast("string").alias("target_ref"), F.lit(None).cast("long").alias("expected_prev_seq"), F.lit("accept").alias("new_disposition"), F.lit("u9").alias("assignee"))
-    events = e.join(found.select("finding_id", "target_ref"), "target_ref").drop("target_ref")
+    events = e.join(_routed(spark, sf_dir).select("finding_id", "target_ref"), "target_ref").drop("target_ref")
     return governance.fold(found.select("finding_id", "disposition"), events)
 
 
