@@ -13,8 +13,8 @@ conform, or whose host has none, is read by the same rules on its own stream.
 Scale: a page is folded where it is read; hosts meet only as counted distinct
 streams, aligned in salted parts first and then part by part, so a host with a
 third of all pages costs no more than its number of distinct streams. Wrappers
-join the pages by host, where Spark may broadcast them if small or split a
-skewed host.
+are stored, then joined with the pages by host: Spark knows their size, and
+broadcasts them if that is below its threshold or else splits a skewed host.
 
 Defined results: a null or empty html, or one without content, gives ''; a null
 or odd url is the host ''; pages are read whole; repeated rows give repeated
@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.common import stored
+
 #: A short text is template text on a host if it is on so large a share of its pages' distinct contents, of so many at least.
 STATIC_SHARE, STATIC_PAGES, STATIC_CHARS = 0.9, 20, 200
 SALTS = 32
@@ -385,7 +387,8 @@ def parsed(wrapper: str) -> dict:
 
 def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
-    wrappers = infer(pages) if wrappers is None else wrappers
+    # written out, so that Spark knows their size: small tables are broadcast and the pages stay where they are
+    wrappers = stored(infer(pages), "wrappers") if wrappers is None else wrappers
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(wrappers, "host", "left")
 
