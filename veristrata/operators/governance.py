@@ -118,19 +118,23 @@ def step(state: dict, event: dict) -> dict:
     return s
 
 
-def fold(findings: DataFrame, events: DataFrame) -> DataFrame:
-    """Each finding's state after its events, in the order of ``seq``. ``findings``: finding_id, disposition."""
+def fold(findings: DataFrame, events: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Each finding's state after its events, in the order of ``seq``. ``findings``: finding_id, disposition.
+
+    Findings go to tasks in buckets of about ``rows`` rows, not one by one.
+    """
+    buckets = F.lit(max(1, (findings.count() + events.count()) // rows + 1))
 
     def run(f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in f.itertuples():
-            s = new_state(r.finding_id, r.disposition)
-            for event in e.sort_values("seq").to_dict("records"):
-                s = step(s, {k: None if pd.isna(v) else v for k, v in event.items()})
-            rows.append(s)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
-
-    return findings.groupBy("finding_id").cogroup(events.groupBy("finding_id")).applyInPandas(run, STATE)
+        of: dict[str, list[dict]] = {}
+        for event in e.sort_values("seq").astype(object).where(e.notna(), None).to_dict("records"):
+            of.setdefault(event["finding_id"], []).append(event)
+        out = [fold_all(new_state(i, d), of.get(i, ())) for i, d in zip(f["finding_id"], f["disposition"], strict=True)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+
+    known = findings.select("finding_id", "disposition", F.pmod(F.xxhash64("finding_id"), buckets).alias("bucket"))
+    told = events.withColumn("bucket", F.pmod(F.xxhash64("finding_id"), buckets))
+    return known.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(run, STATE)
 
 
 def orphans(findings: DataFrame, events: DataFrame) -> DataFrame:

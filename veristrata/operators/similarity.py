@@ -23,21 +23,39 @@ def count_of(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def profile_hash(text: Column) -> Column:
     """A 60-bit similarity-preserving hash of a text: few bits change with few letters. Null text: 0."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    half = F.left(low, F.floor(F.length(low) / 2).cast("int"))
-    whole = [count_of(low, c) for c in LETTERS]
-    total = whole[0]
-    for w in whole[1:]:
-        total = total + w
-    bits = [w * len(LETTERS) > total for w in whole]
-    bits += [count_of(half, c) * 2 > w for c, w in zip(LETTERS, whole, strict=True)]
-    bits += [count_of(low, p) * 60 > total for p in PAIRS]
-    out = F.lit(0).cast("long")
-    for i, b in enumerate(bits):
-        out = out + F.when(b, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return out
+
+    def counts(low: Column) -> Column:
+        def of(t: Column, parts) -> Column:
+            return F.array(*(count_of(t, p) for p in parts))
+
+        half = F.left(low, F.floor(F.length(low) / 2).cast("int"))
+        return F.struct(of(low, LETTERS).alias("whole"), bind(half, lambda h: of(h, LETTERS)).alias("half"), of(low, PAIRS).alias("pairs"))
+
+    def packed(c: Column) -> Column:
+        return bind(
+            F.aggregate(c["whole"], F.lit(0), lambda a, x: a + x),
+            lambda total: F.aggregate(
+                F.transform(
+                    F.concat(
+                        F.transform(c["whole"], lambda x: x * len(LETTERS) > total),
+                        F.zip_with(c["half"], c["whole"], lambda h, w: h * 2 > w),
+                        F.transform(c["pairs"], lambda x: x * 60 > total),
+                    ),
+                    lambda flag, i: F.when(flag, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")),
+                ),
+                F.lit(0).cast("long"),
+                lambda a, x: a + x,
+            ),
+        )
+
+    return bind(bind(F.lower(F.coalesce(text, F.lit(""))), counts), packed)
 
 
 def hamming_pairs(hashes: DataFrame, cut: int, agree: int = 1, bits: int = HASH_BITS) -> DataFrame:

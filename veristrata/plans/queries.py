@@ -11,7 +11,7 @@ from veristrata.functions import scalars
 from veristrata.operators import cohorts, drift, evaluation, governance, ledger, models, risk, similarity
 from veristrata.plans import capability, inputs
 from veristrata.sources import datasets
-from veristrata.sources.session import table
+from veristrata.sources.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,7 +71,7 @@ def clusters(spark, sf_dir):
 
 @query("A31_cluster_stats", f"with recursive {CLUSTERS_SQL} select cluster_id, count(distinct id) n, min(distance) min_distance, case when count(distinct id) >= 10 then 'high' when count(distinct id) >= 3 then 'medium' else 'low' end severity from clusters join pairs on id in (id_a, id_b) group by cluster_id")
 def cluster_stats(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    pairs = cut(_pairs(spark, sf_dir))
     return similarity.cluster_stats(pairs, similarity.clusters(pairs))
 
 
@@ -318,9 +318,10 @@ def group_counts(spark, sf_dir):
 def contributor_ranking(spark, sf_dir):
     """Which sources have an abnormal flagged rate? Copies found by hash, clustered, routed, counted, and ranked by posterior interval."""
     docs = table(spark, sf_dir, "documents")
-    pairs = _pairs(spark, sf_dir)
-    members = similarity.clusters(pairs)
-    classes = similarity.hash_classes(_hashes(spark, sf_dir))
+    hashes = cut(_hashes(spark, sf_dir))  # used by the pairs and by the classes
+    pairs = cut(similarity.hamming_pairs(hashes.groupBy("hash").agg(F.min("id").alias("id")), CUT, agree=2))
+    members = cut(similarity.clusters(pairs))
+    classes = similarity.hash_classes(hashes)
     sized = members.join(similarity.cluster_stats(pairs, members).select("cluster_id", F.col("n").alias("cluster_n"), "severity"), "cluster_id")
     found = classes.join(sized.withColumnRenamed("id", "class_id"), "class_id").select(
         F.col("id").cast("string").alias("target_ref"), F.lit("sample").alias("target_type"), F.lit("scan-0").alias("scan_id"), F.lit("copies.text").alias("detector_id"), F.lit("copies_near").alias("attack_class"),
