@@ -75,6 +75,27 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.nearest_of_hundredth(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_large_groups_of_copies(spark):
+    """A group of copies larger than ``KEEP``: ties go to the smaller ids, and the group doesn't crowd out what is nearer."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    group = rng.permutation(3000)[:1000]
+    x[group] = x[group[0]]
+    beside = [i for i in range(3000) if i % 100 == 50 and i not in set(group)][:5]
+    x[beside] = x[group[0]] + 1e-3 * rng.normal(size=(5, 16))
+    order = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<double>").coalesce(1)
+    index, book = neighbours.build_index(df)
+    queries_ = [int(i) for i in range(3000) if i % 100 == 0 and i in set(group)] + beside
+    got = defaultdict(list)
+    for r in neighbours.search(index, book, index.where(F.col("id").isin(queries_)).select("id", "vector")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(queries_) > 5
+    for q in queries_:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert got[q] == [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+
+
 # ---- 3 ----
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>Title {i}</h1><p><b>Fish &amp; chips {i}.<br><p>More   text\n {i}<p>End</article><aside>Side</aside><div class="comments"><p>First!</p></div><div id="cookie-notice">Cookies</div><form><input><button>Go</button></form><footer>&copy; x</footer></body></html>'

@@ -16,8 +16,10 @@ double precision. Each block returns its exact best, and these are merged.
 Scale: centres are fitted on a bounded sample (``SAMPLE``); every row is coded,
 once, into the index table. Queries are a stated set; they go in blocks of
 ``QUERY_BLOCK`` against all rows, and a block is broadcast (at most
-``QUERY_BLOCK`` vectors). ``KEEP`` rows of each ``ROWS``-row block are reranked,
-so that the share of reranked rows doesn't depend on the number of rows.
+``QUERY_BLOCK`` vectors). ``KEEP`` distinct vectors of each ``ROWS``-row block are
+reranked, so that their share doesn't depend on the number of rows. Copies of a
+vector are scored once in a block and expanded by ascending id after reranking,
+so that a group of copies neither fills the list nor loses its smallest ids.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most rows, or hold null or non-finite parts take no part; equal distances go
@@ -145,6 +147,26 @@ def scan(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of equal rows, in order of their first: that row, all rows by class, and each class's start and size among these."""
+    whole = np.ascontiguousarray(x + 0.0)  # negative zeros are zeros
+    seen: dict[bytes, int] = {}
+    kind = np.array([seen.setdefault(row.tobytes(), len(seen)) for row in whole], dtype=np.int64)
+    of = np.argsort(kind, kind="stable")
+    size = np.bincount(kind)
+    start = np.cumsum(size) - size
+    return of[start], of, start, size
+
+
+def largest(score: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` largest; ties to the smaller place."""
+    if len(score) <= keep:
+        return np.arange(len(score))
+    least = np.partition(score, len(score) - keep)[len(score) - keep]
+    above = np.flatnonzero(score > least)
+    return np.concatenate([above, np.flatnonzero(score == least)[: keep - len(above)]])
+
+
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id`` and ``vector`` (array of double) of the rows that take part, whatever their length."""
     v = F.col(vector_col).cast("array<double>")
@@ -191,20 +213,26 @@ def search(index: DataFrame, book: Codebook, queries: DataFrame, k: int = 10, ke
             table = tables(book, q)
             for batch in batches:
                 for rows in (batch.iloc[i : i + ROWS] for i in range(0, len(batch), ROWS)):
+                    rows = rows.sort_values("id", kind="stable")
                     own, x = rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy())
                     packed = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
+                    first, of, start, size = distinct(x)
                     for at in range(0, len(ids), 256):
-                        yield best(scan(packed, table[:, :, at : at + 256]), ids[at : at + 256], q[at : at + 256], own, x)
+                        yield best(scan(packed[first], table[:, :, at : at + 256]), ids[at : at + 256], q[at : at + 256], own, x[first], of, start, size)
 
-        def best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-            """Exact reranking of each query's ``keep`` best of a block; ``k`` of them go on."""
-            n = len(own)
+        def best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, of: np.ndarray, start: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+            """Exact reranking of each query's ``keep`` best distinct vectors of a block; ``k`` rows go on."""
             out = []
-            picked = np.argpartition(-scores, keep, axis=0)[:keep].T if n > keep else np.tile(np.arange(n), (len(ids), 1))
-            for j, rows in enumerate(picked):
-                rows = rows[own[rows] != ids[j]]
-                d = x[rows] - q[j]
-                distance = np.sqrt(np.einsum("ij,ij->i", d, d))
+            # of a class, k rows besides the query's own can go on
+            size = np.minimum(size, k + int(np.unique(own, return_counts=True)[1].max()))
+            for j, score in enumerate(np.ascontiguousarray(scores.T)):
+                picked = largest(score, keep)
+                d = x[picked] - q[j]
+                distance = np.repeat(np.sqrt(np.einsum("ij,ij->i", d, d)), size[picked])
+                ends = np.cumsum(size[picked])
+                rows = of[np.repeat(start[picked] - ends + size[picked], size[picked]) + np.arange(ends[-1])]
+                other = own[rows] != ids[j]
+                rows, distance = rows[other], distance[other]
                 top = np.lexsort((own[rows], distance))[:k]
                 out.append(pd.DataFrame({"query_id": np.full(len(top), ids[j]), "vec_id": own[rows][top], "score": distance[top]}))
             return pd.concat(out, ignore_index=True)
