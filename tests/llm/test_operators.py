@@ -117,6 +117,23 @@ def test_wrappers_align():
     assert not wrappers.conforms(tuple(a), tuple(b))
 
 
+def test_wrappers_keep_the_whole_article():
+    lead, text, more = "A heading. " * 4, "The article's text. " * 8, "Another section. " * 8
+    inner = f'<div class="post"><h1>{lead}</h1><div class="entry-content"><p>{text}</p></div><section><p>{more}</p></section></div>'
+    beside = f'<div><div class="post a"><p>{text}</p></div><div class="story b"><p>{more}</p></div></div>'
+    apart = f'<div><div class="text"><p>{text}</p></div><div class="left"><p>{more}</p></div></div>'
+    assert wrappers.extract(inner, None) == "\n".join(t.strip() for t in (lead, text, more))
+    assert wrappers.extract(beside, None) == wrappers.extract(apart, None) == f"{text.strip()}\n{more.strip()}"
+
+
+def test_wrappers_root_of_the_host_is_that_of_the_page():
+    """A page that conforms, and has the host's root for little of its text, keeps the rest."""
+    less, most = "Less of the text. " * 3, "Most of the text is here. " * 9
+    page = f'<div class="x"><p>{less}</p></div><div class="y"><p>{most}</p></div>'
+    wrapper = {"expression": tuple(wrappers.skeleton(wrappers.read(page)[0])), "root": "div.x", "static": frozenset()}
+    assert wrappers.extract(page, wrapper) == f"{less.strip()}\n{most.strip()}"
+
+
 def test_wrappers_odd_pages(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (3, "https://a.org", "plain &lt;text&gt;"), (4, "https://a.org", "<p>open <b"), (None, "https://a.org", "<p>x</p>" * 5000), (4, "https://a.org", "<p>open <b")]
     got = [(r["page_id"], r["text"]) for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h")).withColumn("wrapper", F.lit("w"))).collect()]

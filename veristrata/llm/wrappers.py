@@ -7,7 +7,7 @@ becomes an optional group, a repeated group or a text slot, so that a wrapper
 is a union-free regular expression over tags and slots. Short texts that stand
 on nearly all different pages of a host are template text, not slots. The
 wrapper also names the host's content element, chosen by the text it holds over
-all pages. A page is read through its host's wrapper; a page that doesn't
+all pages; it is used where it holds nine tenths of a page's text too. A page is read through its host's wrapper; a page that doesn't
 conform, or whose host has none, is read by the same rules on its own stream.
 
 Scale: a page is folded where it is read; hosts meet only as counted distinct
@@ -82,6 +82,9 @@ def element(name: str, rest: str) -> tuple[str, bool, bool]:
     return name + ("." + ".".join(words) if words else ""), chrome, name in ("article", "main") or role == "main" or (name in ("div", "section", "td") and bool(parts & CONTENT))
 
 
+#: Places of text in ``masses``, besides the elements' keys.
+NAMED, ALL = "*named", "*"
+
 Piece = tuple[str, str, bool, tuple[str, ...]]
 
 
@@ -279,28 +282,39 @@ def conforms(items: tuple, page: tuple) -> bool:
 
 
 def masses(blocks: list[tuple[int, str, tuple[str, ...], bool]]) -> dict[str, int]:
-    """Characters of text outside chrome, by the key of every open element."""
+    """Characters of text outside chrome, by the key of every open element; of ``NAMED`` any element named as content, of ``ALL`` any place."""
     out: dict[str, int] = {}
     for _, text, keys, chrome in blocks:
         if not chrome:
-            for key in set(keys):
+            for key in places(keys):
                 out[key] = out.get(key, 0) + len(text)
     return out
 
 
+def places(keys: tuple[str, ...]) -> set[str]:
+    return {*keys, ALL, NAMED} if any(named(k) for k in keys) else {*keys, ALL}
+
+
 def named(key: str) -> bool:
     name, _, words = key.partition(".")
     return name in ("article", "main") or (name in ("div", "section", "td") and bool(CONTENT & set(words.split("."))))
 
 
 def root_of(mass: dict[str, int]) -> str:
-    """The content element: one named so that holds half of the text, else the narrowest that holds nine tenths, else ''."""
-    total = max(mass.values(), default=0)
-    good = [k for k, v in mass.items() if named(k) and 2 * v >= total]
-    if good:
-        return min(good, key=lambda k: (not k.startswith("article"), not k.startswith("main"), mass[k], k))
-    wide = [k for k, v in mass.items() if k.partition(".")[0] in ("div", "section", "td", "body") and 10 * v >= 9 * total]
-    return min(wide, key=lambda k: (mass[k], k)) if wide else ""
+    """The content: all elements named so, if they hold nine tenths of the text, else the narrowest that holds as much, else everything.
+
+    Of named elements all are taken, nested and beside each other, so that
+    neither a heading outside the innermost nor a sibling of another class is lost.
+    """
+    if holds(mass, NAMED):
+        return NAMED
+    wide = [k for k in mass if k.partition(".")[0] in ("div", "section", "td", "body") and holds(mass, k)]
+    return min(wide, key=lambda k: (mass[k], k)) if wide else ALL
+
+
+def holds(mass: dict[str, int], key: str) -> bool:
+    """Does an element hold nearly all of the text outside chrome?"""
+    return key in mass and 10 * mass[key] >= 9 * mass[ALL]
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
@@ -308,9 +322,9 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     stream, blocks = read(page)
     fits = wrapper is not None and conforms(wrapper["expression"], tuple(skeleton(stream)))
     mass = masses(blocks)
-    root = wrapper["root"] if fits and wrapper["root"] in mass else root_of(mass)
+    root = wrapper["root"] if fits and holds(mass, wrapper["root"]) else root_of(mass)
     static = wrapper["static"] if wrapper is not None else frozenset()
-    return "\n".join(text for _, text, keys, chrome in blocks if not chrome and (not root or root in keys) and text not in static)
+    return "\n".join(text for _, text, keys, chrome in blocks if not chrome and root in places(keys) and text not in static)
 
 
 # ---- distributed ----
