@@ -285,6 +285,30 @@ def test_passages(spark):
     assert got[3]["text"] == "" and got[4]["text"] == rows[3][1]
 
 
+def test_passages_of_short_sentences(spark):
+    """A list whose lines have three words or fewer is a repeated passage too, to its last line."""
+    rng = random.Random(2)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 4))) for _ in range(40)]
+    shared = "".join(f"{x}\n" for x in [*lines, "ten words stand in this one line before the end", "a", "b"])
+    rows = [(1, "Mine.\n" + shared + "Own end.\n"), (2, "Other.\n" + shared + "Its end.\n"), (3, "a\nb\nc d\n" * 2)]
+    got = {r["doc_id"]: r for r in passages.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "Other.\nIts end.\n" and list(got[2]["copied_from"]) == [1]
+    assert got[3]["text"] == rows[2][1]
+
+
+@given(st.lists(st.integers(0, 14), max_size=30), st.integers(0, 10), st.integers(0, 30))
+def test_passage_spans_cover_every_stretch(counts, a, size):
+    """Any stretch of enough sentences and words has each sentence with words under a span inside it, and no span occurs twice."""
+    text = "".join(" ".join(f"w{i}" for _ in range(c)) + "\x0b.\n" for i, c in enumerate(counts))
+    found = [len(x.strip(passages.TRIM).split()) for x in passages._SENTENCE.findall(text)]
+    got = [(i, n) for i, n, _ in passages.runs(text)]
+    assert len(set(got)) == len(got)
+    stretch = range(a, min(a + size, len(found)))
+    if len(stretch) >= passages.RUN and sum(found[i] for i in stretch) >= passages.RUN_WORDS:
+        under = {j for i, n in got if i >= stretch[0] and i + n <= stretch[-1] + 1 for j in range(i, i + n)}
+        assert {i for i in stretch if found[i]} <= under
+
+
 def test_passage_edges(spark):
     out = passages.remove_repeated(odd_rows(spark))
     assert out.columns == [*odd_rows(spark).columns, "n_sentences", "n_removed", "copied_from"]

@@ -2,8 +2,13 @@
 
 A text is cut into sentences (up to ``.``, ``!``, ``?`` or a line end, with the
 white space after it). Every run of ``RUN`` consecutive sentences is a span if
-it has ``RUN_WORDS`` words or more; so are two sentences of ``PAIR_WORDS`` words
-and one of ``LONE_WORDS``, for passages of few long sentences. Spans are hashed
+it has ``RUN_WORDS`` words or more. Where it has fewer (lists, verse, addresses),
+it is extended to the shortest run that has them, forwards from its first and
+backwards from its last sentence, so that of any stretch of ``RUN`` sentences and
+``RUN_WORDS`` words each sentence with words is under some span inside it
+(``extend``; the SQL of ``oracle`` states the rule without it). So are two
+sentences of ``PAIR_WORDS`` words and one of ``LONE_WORDS`` spans, for passages of
+few long sentences. Spans are hashed
 (128 bits over the sentences' trimmed texts), joined over all documents, and
 the sentences under any span that isn't the first of its kind are removed. The
 first is that of the smallest doc_id, and of the earliest place in it.
@@ -41,12 +46,13 @@ NO_ID = (1 << 63) - 1
 SPANS = "id long, tie long, hash_a long, hash_b long, place int, size int, first boolean"
 
 
-def runs(text: str) -> Iterator[tuple[int, int, bytes]]:
+def runs(text: str, extend: bool = True) -> Iterator[tuple[int, int, bytes]]:
     """(place, sentences, digest) of every span of a text."""
     found = [s.strip(TRIM) for s in _SENTENCE.findall(text)]
     count = [len(s.split()) for s in found]
     digest = [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in found]
     n = len(found)
+    end, start = (reach(count), [n - e for e in reversed(reach(count[::-1]))]) if extend else ([0] * n, [-1] * n)
     for i in range(n):
         if count[i] >= LONE_WORDS:
             yield i, 1, b"1" + digest[i]
@@ -54,9 +60,26 @@ def runs(text: str) -> Iterator[tuple[int, int, bytes]]:
             yield i, 2, b"2" + digest[i] + digest[i + 1]
         if i + RUN <= n and sum(count[i : i + RUN]) >= RUN_WORDS:
             yield i, RUN, b"".join(digest[i : i + RUN])
-
-
-def spans(docs: DataFrame) -> DataFrame:
+        # runs with too few words, extended; a run is given once if it is the shortest from both ends
+        elif count[i] and i + RUN < end[i] <= n:
+            yield i, end[i] - i, b"".join(digest[i : end[i]])
+        if count[i] and 0 <= start[i] < i + 1 - RUN and not (count[start[i]] and end[start[i]] == i + 1):
+            yield start[i], i + 1 - start[i], b"".join(digest[start[i] : i + 1])
+
+
+def reach(count: list[int]) -> list[int]:
+    """Where the shortest run of ``RUN`` sentences and ``RUN_WORDS`` words from each sentence ends; beyond the text if there is none."""
+    out, at, words = [], 0, 0
+    for i, c in enumerate(count):
+        while at < len(count) and (at < i + RUN or words < RUN_WORDS):
+            words += count[at]
+            at += 1
+        out.append(at if at >= i + RUN and words >= RUN_WORDS else len(count) + 1)
+        words -= c
+    return out
+
+
+def spans(docs: DataFrame, extend: bool = True) -> DataFrame:
     """Every span of every document. ``tie`` is a hash of the text; ``first`` tells a span's first place in its own text."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +89,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 for id_, tie, text in zip(part["id"].array, part["tie"].array, part["text"], strict=True):
                     seen: set[bytes] = set()
                     before = len(places)
-                    for place, size, key in runs(text):
+                    for place, size, key in runs(text, extend):
                         d = xxhash.xxh3_128_digest(key)
                         places.append(place)
                         sizes.append(size)
@@ -83,9 +106,9 @@ def spans(docs: DataFrame) -> DataFrame:
     return known.mapInPandas(run, SPANS)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, extend: bool = True) -> DataFrame:
     """Spans to remove: ``id``, ``tie``, ``place``, ``size`` and ``holder``, the id of the document that keeps the passage."""
-    every = spans(docs)
+    every = spans(docs, extend)
     held = every.groupBy("hash_a", "hash_b").agg(F.min("id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
     return every.join(held, ["hash_a", "hash_b"]).where((F.col("id") > F.col("holder")) | ~F.col("first")).select("id", "tie", "place", "size", "holder")
 
@@ -94,9 +117,9 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, extend: bool = True) -> DataFrame:
     """``docs``, all columns, with ``text`` shortened, and ``n_sentences``, ``n_removed`` and ``copied_from`` (ids) more."""
-    gone = repeated(docs).groupBy("id", "tie").agg(F.collect_set(F.struct("place", "size")).alias("__spans"), F.sort_array(F.collect_set("holder")).alias("__holders"))
+    gone = repeated(docs, extend).groupBy("id", "tie").agg(F.collect_set(F.struct("place", "size")).alias("__spans"), F.sort_array(F.collect_set("holder")).alias("__holders"))
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__tie", F.xxhash64("text"))
     both = keyed.join(gone, (F.col("__id") == gone["id"]) & (F.col("__tie") == gone["tie"]), "left").drop(gone["id"], gone["tie"])
     covered = F.flatten(F.transform("__spans", lambda s: F.sequence(s["place"], s["place"] + s["size"] - 1)))

@@ -39,7 +39,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # its SQL holds no extended runs; the pipeline, which has no SQL, takes them
+    return passages.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=False)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
