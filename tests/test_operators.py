@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veristrata.operators import drift, risk, similarity
 from veristrata.operators.graph import connected_components
+from veristrata.plans import queries
 from veristrata.plans.capability import Check, Registry, build_plan, execute
 
 
@@ -72,3 +73,17 @@ def test_a_failing_check_becomes_a_finding(spark, tmp_path):
     assert [p["decision"] for p in plan] == ["excluded", "run"]
     got = {r["detector_id"]: r["availability"] for r in execute(spark, registry, plan, {"scan_id": "s"}, str(tmp_path)).collect()}
     assert got == {"copies.image": "unavailable", "copies.text": "error"}
+
+
+def test_contributor_ranking_counts_copies_without_a_near_class(spark, tmp_path):
+    """Exact copies are a cluster, and clusters are sized by documents."""
+    words = ["alpha", "bravo", "thunder", "kilo", "zulu", "quartz", "ocean", "jigsaw"]
+    rows = [(i, "copied chorus of the same text", "copier", "en") for i in range(12)]
+    rows += [(100 + i, f"{words[i]} " * 5 + words[(3 * i + 1) % 8] * (i + 1), "other", "en") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["group"]: r for r in queries.contributor_ranking(spark, str(tmp_path)).collect()}
+    assert (got["copier"]["n"], got["copier"]["k"]) == (12, 12) and got["other"]["k"] < 8
+    hashes = docs.select(F.col("doc_id").alias("id"), similarity.profile_hash(F.col("text")).alias("hash"))
+    sized = similarity.sized_classes(hashes, spark.createDataFrame([(0, 0), (100, 0)], "id long, cluster_id long")).where("cluster_id = 0").collect()
+    assert {(r["cluster_n"], r["severity"]) for r in sized} == {(13, "high")} and len(sized) == 2

@@ -152,6 +152,17 @@ def cluster_stats(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return size.join(least, "cluster_id").withColumn("severity", severity_by_size(F.col("n")))
 
 
+def sized_classes(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The hash classes in a cluster: ``hash``, ``cluster_id``, ``cluster_n`` (documents, copies included) and ``severity``.
+
+    ``rows``: id, hash; ``members``: the clusters of the classes' smallest ids. A
+    class of two documents or more is a cluster even if no other class is near.
+    """
+    classes = rows.groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(members, "id", "left").select("hash", F.coalesce("cluster_id", "id").alias("cluster_id"), "n")
+    size = classes.groupBy("cluster_id").agg(F.sum("n").alias("cluster_n")).where("cluster_n >= 2")
+    return classes.join(size, "cluster_id").select("hash", "cluster_id", "cluster_n", severity_by_size(F.col("cluster_n")).alias("severity"))
+
+
 def label_agreement(neighbours: DataFrame, labels: DataFrame, least_neighbours: int = 5, most: float = 0.2) -> DataFrame:
     """Share of a row's neighbours with its own label; ``flagged`` if at most ``most``. ``labels``: id, label."""
     own = labels.select(F.col("id").alias("query_id"), F.col("label").alias("own"))

@@ -318,12 +318,9 @@ def group_counts(spark, sf_dir):
 def contributor_ranking(spark, sf_dir):
     """Which sources have an abnormal flagged rate? Copies found by hash, clustered, routed, counted, and ranked by posterior interval."""
     docs = table(spark, sf_dir, "documents")
-    hashes = cut(_hashes(spark, sf_dir))  # used by the pairs and by the classes
+    hashes = cut(_hashes(spark, sf_dir))  # used by the pairs, by the sizes and by the documents
     pairs = cut(similarity.hamming_pairs(hashes.groupBy("hash").agg(F.min("id").alias("id")), CUT, agree=2))
-    members = cut(similarity.clusters(pairs))
-    classes = similarity.hash_classes(hashes)
-    sized = members.join(similarity.cluster_stats(pairs, members).select("cluster_id", F.col("n").alias("cluster_n"), "severity"), "cluster_id")
-    found = classes.join(sized.withColumnRenamed("id", "class_id"), "class_id").select(
+    found = hashes.join(similarity.sized_classes(hashes, similarity.clusters(pairs)), "hash").select(
         F.col("id").cast("string").alias("target_ref"), F.lit("sample").alias("target_type"), F.lit("scan-0").alias("scan_id"), F.lit("copies.text").alias("detector_id"), F.lit("copies_near").alias("attack_class"),
         "severity", F.least(F.lit(0.95), F.lit(0.5) + F.col("cluster_n") / 20.0).alias("confidence"), F.lit(False).alias("calibrated"), F.lit("ran").alias("availability"),
     )
