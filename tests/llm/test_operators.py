@@ -401,6 +401,17 @@ def test_bpe_random_texts(library, text):
     assert np.frombuffer(bpe.load(bpe.default_path()).encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_every_character(library):
+    """Every code point alone, beside a letter and before a letter: white space, classes, lower case and normal form are the library's."""
+    codec = bpe.load(bpe.default_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"a{c}a {c}" for c in points[i : i + 20_000]]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(codec.encode(text), dtype="<u4").tolist() == want.ids, ascii(text)
+        codec.memo.clear()
+
+
 def test_bpe_documents(spark, library):
     texts = documents()
     for r in queries.op9_bpe(spark, SMALL).collect():

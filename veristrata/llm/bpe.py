@@ -8,7 +8,14 @@ it isn't, and steps back one token when none fits. A pair is compatible when
 merging the two tokens' text by rank would give exactly these two tokens; that
 is decided on the merge table alone. Every position is given up at most once,
 so the work is linear in the word's length, and the result equals that of
-applying the merges in order.
+applying the merges in order. (The automaton reports all tokens that end at a
+position, at most as many as the longest token has characters, so time is linear
+in the text for a vocabulary.)
+
+White space, letters, numbers, lower case and normal form differ between
+versions of Unicode. Up to U+024F Python and the library agree (a test compares
+every code point); a text with any other character is normalised, and a piece
+with one is cut into words, by the library's own tables.
 
 Decoding joins token strings through an offset table: one byte string of all
 tokens and the offset of each, gathered for a whole document at once.
@@ -24,7 +31,6 @@ import hashlib
 import json
 import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,9 +41,13 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 #: Fixed values of the vocabulary file's normaliser and pre-tokeniser.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Characters from here on are left to the library's tables.
+FAR = re.compile("[^\x00-\u024f]")
 #: str.split() also splits at these, the vocabulary's white space doesn't hold them.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -67,7 +77,6 @@ class Bpe:
         suffix = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_re = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.mark = next(iter(self.added), "")[:2]
         symbol = _byte_symbols()
         self.inner = {b: s for b, s in symbol.items()}
         self.bytes_to_inner = str.maketrans({chr(b): s for b, s in symbol.items()})
@@ -112,6 +121,8 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(strings), dtype=np.uint8)
         self.words = regex.compile(WORDS)
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut = library.normalizer, Split(Regex(WORDS.replace(r"\p{White_Space}", r"\s")), "removed", invert=True)
         self.memo: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
@@ -195,21 +206,18 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """The same of a text without white space. Words and chunks share one memo: a chunk of letters alone is a word."""
-        if chunk.isalpha():
+        far = FAR.search(chunk)
+        if not far and chunk.isalpha():
             return self._word(chunk)
         get, make = self.memo.get, self._word
-        ids = b"".join([get(w) or make(w) for w in self.words.findall(chunk)])
+        words = [w for w, _ in self.cut.pre_tokenize_str(chunk)] if far else self.words.findall(chunk)
+        ids = b"".join([get(w) or make(w) for w in words])
         if len(chunk) <= 64:
             self.memo[chunk] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # the library lowers each character by itself
-                text = text.replace("Σ", "σ")
-        text = text.lower()
+        text = self.normal.normalize_str(text) if FAR.search(text) else text.lower()
         chunks = regex.split(r"\p{White_Space}+", text) if NOT_SPACE.search(text) else text.split()
         get, make = self.memo.get, self._chunk
         return b"".join([get(c) or make(c) for c in chunks])
@@ -218,7 +226,7 @@ class Bpe:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.added_re is None or self.mark not in text:
+        if not any(a in text for a in self.added):
             return self._plain(text)
         added = self.added
         return b"".join(added[part].to_bytes(4, "little") if part in added else self._plain(part) for part in self.added_re.split(text))
