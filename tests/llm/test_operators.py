@@ -96,6 +96,37 @@ def test_neighbours_of_large_groups_of_copies(spark):
         assert got[q] == [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
 
 
+def spread(kind, n, rng):
+    x = rng.normal(size=(n, 32))
+    return {"norms": x * np.exp(rng.normal(size=(n, 1)) * 0.7), "moved": x + 20.0, "clusters": rng.normal(size=(40, 32))[rng.integers(0, 40, n)] + 0.1 * x}[kind]
+
+
+@pytest.mark.parametrize("kind", ["norms", "moved", "clusters"])
+def test_neighbours_recall_in_full_blocks(spark, monkeypatch, kind):
+    """More than one full block, with varied norms, far from the origin, and in clusters; several query blocks."""
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 8 * 32 * 64)
+    n = 10_000
+    x = spread(kind, n, np.random.default_rng(3))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(list)
+    for r in neighbours.nearest_of_hundredth(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, n, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({v for v, _ in got[q]} & set(np.argsort(d)[:10].tolist()))
+        assert len(got[q]) == 10 and all(s == pytest.approx(d[v], rel=1e-12) for v, s in got[q])
+    assert len(got) == n // 100 and hits / (n / 10) >= 0.9
+
+
+def test_neighbours_repeated_ids_and_ties(spark):
+    """A repeated query id is searched once, by its smallest vector; the tenth place goes to the smaller ids."""
+    rows = [(0, [5.0, 5.0]), (0, [1.0, 0.0])] + [(i, [1.0, 1.0] if i % 2 else [1.0, -1.0]) for i in range(1, 31)]
+    got = neighbours.nearest_of_hundredth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 11)]
+
+
 # ---- 3 ----
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>Title {i}</h1><p><b>Fish &amp; chips {i}.<br><p>More   text\n {i}<p>End</article><aside>Side</aside><div class="comments"><p>First!</p></div><div id="cookie-notice">Cookies</div><form><input><button>Go</button></form><footer>&copy; x</footer></body></html>'
