@@ -206,22 +206,74 @@ def test_toxicity_edges(spark):
 # ---- 5 ----
 
 
-def test_fingerprints(spark):
-    texts = documents()
+def brute_tree(text):
+    """Sections, paragraphs and leaves of a text, as nested tuples of texts."""
+    return tuple(tuple((p, tuple(re.findall(merkle.LEAVES, p))) for p in s.split("\n")) for s in text.split("\n\n"))
+
+
+def brute_fingerprint(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out, tops = [], ""
+    for s in brute_tree(text):
+        head = sha("".join(sha(p) for p, _ in s))
+        tops += head
+        out.append((head, sum(len(p) for p, _ in s), [(sha(p), len(p), [len(x) for x in parts]) for p, parts in s]))
+    return sha(tops), out
+
+
+def parsed_fingerprint(print_):
+    top, *sections = print_.split("|")
+    out = []
+    for s in sections:
+        head, n, inner = re.fullmatch(r"(\w{64})\.(\d+)\{(.*)\}", s).groups()
+        paragraphs = [re.fullmatch(r"(\w{64})\.(\d+):(.*)", p).groups() for p in inner.split(";")]
+        out.append((head, int(n), [(h, int(m), [int(x.split(".")[1]) for x in parts.split(",") if x]) for h, m, parts in paragraphs]))
+    return top, out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    both = one = 0
+    x, y = set(brute_tree(a)), set(brute_tree(b))
+    both += sum(len(p) for s in x & y for p, _ in s)
+    x, y = ({p for s in side for p in s} for side in (x - y, y - x))
+    both += sum(len(p) for p, _ in x & y)
+    x, y = ({leaf for _, parts in side for leaf in parts} for side in (x - y, y - x))
+    both += sum(map(len, x & y))
+    one = sum(map(len, x ^ y))
+    return 2 * both / (2 * both + one) if both + one else 0.0
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_fingerprints(spark, gaps):
+    """Every column against brute force; with gaps, ids are far apart and the texts' rows are repeated over several buckets."""
+    texts = {(k**3 if k % 5 else -(k**4)) if gaps else k: t for k, t in documents().items()}
     ids = sorted(texts, reverse=True)
-    got = {r["doc_id"]: r for r in queries.op5_fingerprints(spark, SMALL).collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in merkle.compare_with_edits(df, bucket_rows=16 if gaps else 512).collect()}
     assert got.keys() == texts.keys()
     for i, k in enumerate(ids):
-        n = len(texts[k])
-        edited = texts[k][: n - n // 2] + texts[ids[(i + 1) % len(ids)]][: n // 2]
+        n, after = len(texts[k]), texts[ids[(i + 1) % len(ids)]]
+        edited = texts[k][: n - n // 2] + after[: n // 2]
         assert got[k]["n_chars"] == n and got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[k]["near_next"] <= 1 and 0 <= got[k]["near_edited"] <= 1
+        assert parsed_fingerprint(got[k]["fingerprint"]) == brute_fingerprint(texts[k])
+        assert parsed_fingerprint(got[k]["edited_fingerprint"]) == brute_fingerprint(edited)
+        assert got[k]["near_edited"] == pytest.approx(brute_likeness(texts[k], edited)) and got[k]["near_next"] == pytest.approx(brute_likeness(texts[k], after))
     by_text = defaultdict(set)
     for k, t in texts.items():
         by_text[t].add(got[k]["fingerprint"])
     assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
 
 
+def test_fingerprint_buckets_are_even(spark):
+    """One far id doesn't put all other rows into one bucket, and null ids and a repeated id are cut by their texts."""
+    rows = [(i, f"t{i}") for i in range(400)] + [(1 << 60, "far")] + [(None, f"n{i}") for i in range(300)] + [(7, f"r{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"known": F.col("doc_id").isNotNull(), "at": F.coalesce("doc_id", F.lit(0).cast("long")), "tie": F.xxhash64("text")})
+    sizes = [r["count"] for r in df.groupBy(merkle.bucket_of(df, 1001, 50).alias("b")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150
+
+
 def test_fingerprint_locates_edits(spark):
     rows = spark.createDataFrame([("a\nb\n\nc\nd", "a\nX\n\nc\nd")], "a string, b string")
     got = rows.select(merkle.differing(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("d"), merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("a"))).alias("same")).first()
