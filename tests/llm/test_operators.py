@@ -331,6 +331,7 @@ def chained(seed, families, members, words, edits):
 def test_near_duplicates(spark, monkeypatch, size, group):
     if group:
         monkeypatch.setattr(neardup, "GROUP_SHINGLES", group)
+        monkeypatch.setattr(neardup, "BATCH_SHINGLES", 4000)
     texts = chained(size, 6, 25, 60, 9) if group else documents() | {10_000 + k: t for k, t in chained(size, 8, 12, 80, 8).items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, size, 80).collect()}
@@ -345,6 +346,28 @@ def test_dense_nodes(spark, monkeypatch):
     assert got == brute_components(texts, 2, 80)
 
 
+def test_groups_of_many_short_documents(spark, monkeypatch):
+    """A sketch group of many short documents is confirmed by pivots, however few its shingles."""
+    monkeypatch.setattr(neardup, "GROUP_DOCS", 12)
+    texts = chained(9, 4, 40, 12, 3)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2, 80).collect()}
+    assert got == brute_components(texts, 2, 80)
+
+
+def test_miss_probability():
+    """As the docstring states: pairs at the threshold, in trees and by the sketches' floor."""
+    for depth in (1, 2, 3, 4):
+        p = neardup.survival(0.8, depth + neardup.FURTHER)
+        trees = int(np.ceil(np.log(neardup.MISS) / np.log(1 - p)))
+        assert (1 - p) ** trees <= neardup.MISS and (1 - neardup.survival(0.85, depth + neardup.FURTHER)) ** trees < neardup.MISS / 10
+    need = int(np.ceil(neardup.floor_of(80) * neardup.COMPARED))
+    from math import comb
+
+    below = sum(comb(neardup.COMPARED, i) * 0.8**i * 0.2 ** (neardup.COMPARED - i) for i in range(need))
+    assert below < 5e-6
+
+
 def test_near_duplicate_edges(spark):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd_rows(spark), 2, 80).collect()), key=repr)
     assert (False, 1, 0, 1, True) in got and (False, 4, 1, 4, True) in got and (True, 0, 5, None, True) in got and len(got) == 8

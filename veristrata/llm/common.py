@@ -20,11 +20,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in ``parts`` if named, and read it back."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/veristrata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

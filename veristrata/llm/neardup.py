@@ -12,10 +12,20 @@ many trees are grown that a pair at the threshold is missed with probability
 
 Documents that are joined so, directly or by a chain, form sketch groups; every
 link lies inside one. Inside a group links are confirmed on the documents' full
-sets: a group of moderate size in one task, where documents known to be
-connected aren't compared again; a larger one against blocks of pivots, first
-some members, then every member that those didn't reach, so that each document
-outside the group's main part has been compared with all others.
+sets: a group of moderate size (in shingles, and in documents, which bounds the
+pairs) in one task, where documents known to be connected aren't compared again;
+a larger one against blocks of pivots, first some members, then every member
+that those didn't reach, so that each document outside the group's main part has
+been compared with all others. Large groups go in batches of bounded pivots, each
+stored as a part of its own.
+
+What can be lost: a pair of similarity s is missed by all trees with probability
+(1 - survival(s, depth))^trees, ``MISS`` at the threshold for nodes of the depth
+that trees are numbered for, which holds ``FURTHER`` rounds beyond the one that a
+node is expected to be small at; and its sketches fall below the floor with
+probability 4e-6 at the threshold (``SLACK`` deviations). Both fall quickly above
+the threshold. In a large node of alike documents a pair outside the part that
+pivots reach is compared only where a chunk, drawn anew in each node, holds both.
 
 Equal sets are joined before anything else, by a digest. Vertices are documents
 that stand for a set; the result names every document's component.
@@ -30,15 +40,16 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import cut, stored
+from veristrata.llm.common import checkpoint_folder, cut, stored
 from veristrata.operators.graph import connected_components
 
 #: Sketch places used for branching, and those compared.
@@ -50,16 +61,17 @@ SMALL_NODE = 192
 #: Pivots that the chunks of a dense node share.
 PIVOTS = 16
 #: A sketch estimate may fall so many standard deviations below the threshold.
-SLACK = 4.0
+SLACK = 5.0
 #: Unalike documents are taken to part by this factor at each step, for the depth to start from; nodes that are still large branch on.
 PART = 50
 #: Words of 64 bits in the filter that keeps texts of ungrouped documents out of a shuffle: a fixed size, whatever the corpus.
 FILTER_WORDS = 1 << 17
-#: Rounds of further branching for large nodes that aren't dense.
-FURTHER = 4
-#: A sketch group of more shingles than this is confirmed against pivots rather than in one task.
-GROUP_SHINGLES = 1_000_000
-BLOCK = 32
+#: Rounds of further branching that the number of trees allows for, and those after which an error is raised.
+FURTHER, MOST_ROUNDS = 2, 60
+#: A sketch group of more shingles or documents than this is confirmed against pivots rather than in one task.
+GROUP_SHINGLES, GROUP_DOCS = 1_000_000, 3_000
+#: Pivots of a large group, and the shingles of all pivots of a batch of groups (8 bytes each).
+BLOCK, BATCH_SHINGLES = 60, 2_000_000
 MEMO = 100_000
 
 _A = np.random.default_rng(20240601).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,7 +205,7 @@ def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that join every sketch group, from all trees. ``reps``: rep, sketch."""
     n = reps.count()
     depth = max(1, math.ceil(math.log(max(2, n) / SMALL_NODE) / math.log(PART)))
-    trees = math.ceil(math.log(MISS) / math.log(1 - survival(percent / 100, depth)))
+    trees = math.ceil(math.log(MISS) / math.log(1 - survival(percent / 100, depth + FURTHER)))
     least = floor_of(percent)
 
     def plant(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +241,7 @@ def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
     short = reps.select("rep", F.substring("sketch", 1, 2 * COMPARED).alias("sketch"))
     rows = reps.mapInPandas(plant, "node long, rep long")
     groups: list[DataFrame] = []
-    for k in range(FURTHER + 1):
+    for k in range(MOST_ROUNDS + 1):
         rows = stored(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
         rows = rows.join(sizes.where("size > 1"), "node")
@@ -240,17 +252,17 @@ def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
         large = cut(rows.where(F.col("size") > SMALL_NODE))
         if large.isEmpty():
             break
+        if k == MOST_ROUNDS:
+            raise RuntimeError(f"nodes still large after {MOST_ROUNDS} rounds of branching")
         draw = F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 40))
         sample = large.where(F.pmod(draw, F.ceil(F.col("size") / 48)) == 0).join(short, "rep").select("node", "rep", "sketch")
-        dense = sample.groupBy("node").applyInPandas(density, "node long, dense boolean") if k < FURTHER else large.select("node", F.lit(True).alias("dense")).distinct()
-        dense = cut(dense.where("dense").select("node"))
+        dense = cut(sample.groupBy("node").applyInPandas(density, "node long, dense boolean").where("dense").select("node"))
         thick = large.join(dense, "node")
         chunks = F.ceil(F.col("size") / (SMALL_NODE - PIVOTS)).cast("int")
-        own = thick.select("node", F.pmod(F.xxhash64("rep", F.lit(7)), chunks).cast("int").alias("chunk"), "rep")
+        own = thick.select("node", F.pmod(F.xxhash64("rep", "node", F.lit(7)), chunks).cast("int").alias("chunk"), "rep")
         pivots = thick.where(F.pmod(draw, F.ceil(F.col("size") / PIVOTS)) == 0).select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep")
         groups.append(own.unionByName(pivots).distinct())
-        if k < FURTHER:
-            rows = large.join(dense, "node", "left_anti").join(reps, "rep").select("node", "rep", "sketch").mapInPandas(branch, "node long, rep long")
+        rows = large.join(dense, "node", "left_anti").join(reps, "rep").select("node", "rep", "sketch").mapInPandas(branch, "node long, rep long")
     out = groups[0]
     for g in groups[1:]:
         out = out.unionByName(g)
@@ -281,24 +293,19 @@ def confirm_moderate(members: DataFrame, shingle: int, percent: int) -> DataFram
 
 
 def confirm_large(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Exact edges (a, b) that join each group's linked documents, by blocks of pivots. ``members``: group, rep, text, stored."""
+    """Exact edges (a, b) that join each group's linked documents, by blocks of pivots. ``members``: batch, group, rep, text, stored by batch."""
     spark = members.sparkSession
-    batches = math.ceil(members.select("group").distinct().count() / 8)
-    edges = spark.createDataFrame([], "a long, b long")
-    for b in range(batches):
-        part = members.where(F.pmod(F.xxhash64("group"), F.lit(batches)) == b)
+    path = f"{checkpoint_folder(spark)}/veristrata-links-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "a long, b long").write.parquet(path)
+    for r in members.select("batch").distinct().orderBy("batch").collect():  # batches, not documents
+        part = members.where(F.col("batch") == r["batch"]).drop("batch")
         left = part.select("group", "rep")
-        done = spark.createDataFrame([], "group long, rep long")
         main: DataFrame | None = None
         while True:
-            # BLOCK pivots a group, chosen by hash; few groups are in a batch, so their texts are bounded
-            ranked = left.withColumn("h", F.xxhash64("rep", F.lit(3))).groupBy("group").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "rep"))), 1, BLOCK).alias("p")) if main is not None else None
-            if ranked is None:
-                share = part.groupBy("group").agg(F.count("*").alias("m"))
-                some = part.select("group", "rep").join(share, "group").where(F.pmod(F.xxhash64("rep", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("m") / (2 * BLOCK)))) == 0)
-                ranked = some.groupBy("group").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("rep", F.lit(3)).alias("h"), "rep"))), 1, BLOCK).alias("p"))
-            chosen = cut(ranked.select("group", F.posexplode("p").alias("bit", "x")).select("group", "bit", F.col("x.rep").alias("rep")))
-            held = [(r["group"], r["bit"], r["rep"], shingle_set(r["text"], shingle)) for r in part.join(F.broadcast(chosen), ["group", "rep"]).collect()]
+            # BLOCK pivots a group, chosen by hash; a batch's pivots are bounded by BATCH_SHINGLES
+            place = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("rep", F.lit(3)), "rep"))
+            chosen = cut(left.withColumn("place", place).where(F.col("place") <= BLOCK).select("group", (F.col("place") - 1).alias("bit"), "rep"))
+            held = [(r["group"], r["bit"], r["rep"], shingle_set(r["text"], shingle)) for r in part.join(F.broadcast(chosen), ["group", "rep"]).toLocalIterator()]
             if not held:
                 break
             by_group: dict[int, list] = {}
@@ -316,7 +323,7 @@ def confirm_large(members: DataFrame, shingle: int, percent: int) -> DataFrame:
             got = cut(part.mapInPandas(masks, "group long, rep long, mask long").where("mask <> 0"))
             low_bit = F.expr("cast(round(log2(mask & -mask)) as int)")
             set_bits = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda x: F.getbit("mask", x) == 1)
-            pivots = chosen.withColumnRenamed("rep", "pivot")  # BLOCK rows a group, few groups
+            pivots = chosen.withColumnRenamed("rep", "pivot")  # BLOCK rows a group of the batch
             if main is None:
                 # the main part: what the pivot with most links reaches, by pivots that share a member
                 alike_rows = got.groupBy("group", "mask").agg(F.count("*").alias("n")).withColumn("bit", F.explode(set_bits))
@@ -343,17 +350,15 @@ def confirm_large(members: DataFrame, shingle: int, percent: int) -> DataFrame:
                 first = got.join(main, ["group", "rep"], "left_semi").groupBy("group", "mask").agg(F.min("rep").alias("rep")).select("group", "rep", "mask")
                 members_ = got.join(main, ["group", "rep"], "left_anti").unionByName(first)
             # an edge from each member to its lowest pivot, and from each pivot to the lowest one that it shares a member with
-            edges = edges.unionByName(members_.withColumn("bit", low_bit).join(F.broadcast(pivots), ["group", "bit"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+            edges = members_.withColumn("bit", low_bit).join(F.broadcast(pivots), ["group", "bit"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
             shared = got.select("group", "mask").distinct().select("group", low_bit.alias("low"), F.explode(set_bits).alias("bit")).distinct()
             lowest = pivots.select("group", F.col("bit").alias("low"), F.col("pivot").alias("b"))
-            edges = edges.unionByName(shared.join(F.broadcast(pivots), ["group", "bit"]).join(F.broadcast(lowest), ["group", "low"]).select(F.col("pivot").alias("a"), "b"))
-            done = done.unionByName(chosen.select("group", "rep"))
-            left = cut(left.join(done, ["group", "rep"], "left_anti"))
-            done = spark.createDataFrame([], "group long, rep long")
-            edges = cut(edges.where("a <> b").distinct())
+            among = shared.join(F.broadcast(pivots), ["group", "bit"]).join(F.broadcast(lowest), ["group", "low"]).select(F.col("pivot").alias("a"), "b").where("a <> b").distinct()
+            edges.where("a <> b").unionByName(among).write.mode("append").parquet(path)
+            left = cut(left.join(F.broadcast(chosen.select("group", "rep")), ["group", "rep"], "left_anti"))
             if left.isEmpty():
                 break
-    return edges
+    return spark.read.schema("a long, b long").parquet(path)
 
 
 def texts_of(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -374,13 +379,16 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     reps = sets.select("rep", "sketch")
     groups = connected_components(sketch_edges(reps, percent))
     grouped = groups.select(F.col("vertex").alias("rep"), F.col("component").alias("group")).join(sets.select("rep", "n"), "rep")
-    weights = grouped.groupBy("group").agg(F.sum("n").alias("weight"))
-    grouped = stored(grouped.join(weights, "group").select("group", "rep", "weight"), "groups")
+    weights = grouped.groupBy("group").agg(F.sum("n").alias("weight"), F.count("*").alias("docs"), F.max("n").alias("longest"))
+    large = (F.col("weight") > GROUP_SHINGLES) | (F.col("docs") > GROUP_DOCS)
+    grouped = stored(grouped.join(weights.withColumn("large", large).drop("docs"), "group").select("group", "rep", "large", "longest"), "groups")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    moderate = confirm_moderate(texts_of(texts, grouped.where(F.col("weight") <= GROUP_SHINGLES)), shingle, percent)
-    big = grouped.where(F.col("weight") > GROUP_SHINGLES)
+    moderate = confirm_moderate(texts_of(texts, grouped.where("not large").select("group", "rep")), shingle, percent)
+    big = grouped.where("large")
     if not big.isEmpty():
-        members = stored(texts_of(texts, big), "members")
+        held = big.select("group", "longest").distinct().agg(F.sum(F.col("longest") * BLOCK)).first()[0]
+        batch = F.pmod(F.xxhash64("group"), F.lit(max(1, math.ceil(held / BATCH_SHINGLES)))).cast("int")
+        members = stored(texts_of(texts, big.select("group", "rep")).withColumn("batch", batch), "members", "batch")
         wide = connected_components(confirm_large(members, shingle, percent))
         moderate = moderate.unionByName(wide.select(F.col("vertex").alias("rep"), "component"))
     labels = sets.select("digest", "rep").join(moderate.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("digest", F.coalesce("component", "rep").alias("label"))
