@@ -1,6 +1,7 @@
 """The ten operators against brute force, libraries, planted cases and edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from veristrata.llm import bpe, licenses, merkle, neardup, neighbours, packing, passages, pii, queries, toxicity, wrappers
+from veristrata.llm import bpe, licenses, merkle, neardup, neighbours, packing, passages, pii, pii_cases, queries, toxicity, wrappers
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -659,6 +660,63 @@ def test_field_adds_spans(spark):
     assert pii.find(odd_rows(spark).limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def found_by(field, text):
+    base = pii.base_spans(text)
+    return set(base), set(pii.added_spans(text, base, field))
+
+
+#: Forms that no written case has.
+HELD_OUT = [
+    ("id", "her SSN: 123-45-6789 was lost"), ("id", "social security no 219 09 9999 on file"), ("phone", "call 555-123-4567 now"), ("phone", "phone 020 7946 0958 after six"), ("phone", "mobile: 0171 5550 123."), ("phone", "tel (206) 555 0147 x"),
+    ("iban", "pay to DE89 3704 0044 0532 0130 00 please"), ("iban", "NL91ABNA0417164300 is mine"), ("email", "mail john.smith at gmail dot com today"), ("email", "ask info [at] cern [dot] ch then"), ("email", "jane (at) web.de answers"),
+    ("ip", "from 2001:db8::ff00:42:8329 again"), ("ip", "fe80::1ff:fe23:4567:890a is local"), ("secret", 'aws_secret = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE1KEY"'), ("secret", "password: hunter2hunter2 yes"), ("secret", "token = '04dbebab91ab85687d33eeaaf9ac699e1188f962'"),
+]
+CLEAN = [
+    "Chapter 12, page 340. In 1999 we had 1,250 of 3.14 or 2024-05-06.", "Version 2.0.1 of 12/05/2021 at 12:30:45, room 12-14.", "He looked at home. The dot on it was red.", "ISBN 978-3-16-148410-0 costs $12,499.00", "1234567 units, 99.9 % of 10,000,000",
+    "the well-known-and-very-long-hyphenated-word", "SOME_CONSTANT_NAME_OF_A_PROGRAM", "order 9807915762804490 shipped", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "0.123 0.456 0.789 1.234 5.678", "CC BY-NC 4.0 and Apache-2.0", "550e8400-e29b-41d4-a716-446655440000",
+]
+
+
+def test_field_on_held_out_forms(field):
+    """Recall and precision as the README states them; nothing is found that no base pattern gives in clean texts."""
+    hits = [kind for kind, text in HELD_OUT if kind in {k for k, *_ in found_by(field, text)[1]}]
+    assert len(hits) / len(HELD_OUT) >= 0.75, hits  # measured: 13 of 16
+    assert not any(found_by(field, text)[1] for text in CLEAN)
+    right = wrong = missed = 0
+    for text, truth in pii_cases.cases(700, seed=99):
+        base, more = found_by(field, text)
+        right, wrong, missed = right + len((base | more) & truth), wrong + len(more - truth), missed + len(truth - base - more)
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.85
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 5), st.sampled_from(["phone", "id"]), st.integers(1, 9)), max_size=8))
+def test_field_decodes_jointly(found):
+    """The segments chosen are those, of all sets of segments that are apart, whose scores sum highest."""
+    spans = [(s, s + n, kind, float(score)) for s, n, kind, score in found]
+    best = max((sum(x[3] for x in some) for r in range(len(spans) + 1) for some in itertools.combinations(spans, r) if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(some, 2))), default=0.0)
+    got = pii.decode(spans)
+    assert all(a[2] <= b[1] for a, b in itertools.pairwise(got))
+    assert sum(max(x[3] for x in spans if (x[2], x[0], x[1]) == y) for y in got) == best
+
+
+def test_field_on_very_long_texts(field):
+    """A megabyte of numbers, of digits, or of text that nearly matches takes seconds."""
+    import time
+
+    for unit in ("123 456 7890 12 ", "1", "12.5 ", "a1b2", "john at example dot ", "12:30:", "((+", "DE12 "):
+        began = time.time()
+        pii.added_spans(unit * (300_000 // len(unit)), [], field)
+        assert time.time() - began < 20, unit
+    tail = "x " * 200_000 + "call 555-123-4567 now"
+    assert found_by(field, tail)[1] == {("phone", 400_005, 400_017)}
+
+
 def test_layout_words_and_captions():
     page = '<body class="no-sidebar"><div class="content has-sidebar"><p>Long enough text of the article.</p><figure><img src="x"><figcaption>A caption.</figcaption></figure></div><div class="sidebar">Side</div></body>'
     assert wrappers.extract(page, None) == "Long enough text of the article.\nA caption."
