@@ -475,6 +475,14 @@ def test_passages_sql(same):
     same(queries.op7_passages, passages.oracle())
 
 
+def test_passages_of_rows_without_ids(spark):
+    """Rows of no id, and of one id, are told apart by their texts; the first by id and text hash keeps a passage."""
+    p = " ".join(f"Sentence number {i} of the shared passage has some words." for i in range(4))
+    rows = [(None, f"One. {p}"), (None, f"Two. {p}"), (None, "Own text that nobody has. At all. Here."), (7, "Clean."), (7, "Clean.")]
+    got = passages.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 0, 0, 4] and all(list(r["copied_from"]) == [] for r in got)
+
+
 def test_passages(spark):
     p = " ".join(f"Sentence number {i} of the shared passage has some words." for i in range(8))
     rows = [(1, f"Own start here. {p} Own end."), (2, f"Another one begins. {p} It ends."), (3, p + " " + p), (4, "Clean text. Be. Is. Clean text. Be. Is.")]

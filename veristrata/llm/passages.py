@@ -6,12 +6,12 @@ it has ``RUN_WORDS`` words or more. Where it has fewer (lists, verse, addresses)
 it is extended to the shortest run that has them, forwards from its first and
 backwards from its last sentence, so that of any stretch of ``RUN`` sentences and
 ``RUN_WORDS`` words each sentence with words is under some span inside it
-(``extend``; the SQL of ``oracle`` states the rule without it). So are two
+(``extend``). So are two
 sentences of ``PAIR_WORDS`` words and one of ``LONE_WORDS`` spans, for passages of
 few long sentences. Spans are hashed
 (128 bits over the sentences' trimmed texts), joined over all documents, and
 the sentences under any span that isn't the first of its kind are removed. The
-first is that of the smallest doc_id, and of the earliest place in it.
+first is that of the smallest doc_id, then text hash, and of the earliest place in it.
 
 Scale: a span is two hashes, an id and a place; copies inside a document are
 settled where it is read. The first holder of each span comes from a
@@ -20,8 +20,9 @@ combined before the shuffle; only spans with two holders or more join back,
 one row a span, so that no pairs are made and a skewed side can be split.
 
 Defined results: null texts stay null and empty ones empty; texts are read
-whole; rows that share an id (null ids: all of them) are taken for the same
-document, whose spans don't count as repeats of each other across its rows;
+whole; rows that share an id, or have none, are told apart by their texts (null
+ids come last, and no id is given for one that keeps a passage); rows that share
+both are taken for one document, whose spans don't count as repeats of each other;
 columns other than the id and the text play no part.
 """
 
@@ -109,8 +110,10 @@ def spans(docs: DataFrame, extend: bool = True) -> DataFrame:
 def repeated(docs: DataFrame, extend: bool = True) -> DataFrame:
     """Spans to remove: ``id``, ``tie``, ``place``, ``size`` and ``holder``, the id of the document that keeps the passage."""
     every = spans(docs, extend)
-    held = every.groupBy("hash_a", "hash_b").agg(F.min("id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return every.join(held, ["hash_a", "hash_b"]).where((F.col("id") > F.col("holder")) | ~F.col("first")).select("id", "tie", "place", "size", "holder")
+    row = F.struct("id", "tie")  # rows of one id, or of none, are told apart by their texts
+    held = every.groupBy("hash_a", "hash_b").agg(F.min(row).alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = every.join(held, ["hash_a", "hash_b"]).where((row > F.col("holder")) | ~F.col("first"))
+    return gone.select("id", "tie", "place", "size", F.nullif(F.col("holder.id"), F.lit(NO_ID)).alias("holder"))
 
 
 def sentences(text: Column) -> Column:
@@ -143,12 +146,20 @@ with d as (select doc_id, text, regexp_extract_all(text, '{SENTENCE}') parts fro
 s as (select doc_id, i - 1 as place, trim(parts[i], {trim}) s from d, unnest(range(1, len(parts) + 1)) u(i)),
 w as (select doc_id, place, s, len({words}) c from s),
 r as (select doc_id, place, s, c, lead(s) over q s2, lead(c) over q c2, lead(s, 2) over q s3, lead(c, 2) over q c3 from w window q as (partition by doc_id order by place)),
+summed as (select doc_id, place, c, sum(c) over (partition by doc_id order by place) upto, lead(c, 1, 0) over q + lead(c, 2, 0) over q + c ahead, lag(c, 1, 0) over q + lag(c, 2, 0) over q + c behind from w window q as (partition by doc_id order by place)),
+lists as (select doc_id, list(s order by place) s from s group by doc_id),
+extended as (
+  select x.doc_id, x.place, (min(y.place) - x.place + 1)::int size from summed x join summed y on x.doc_id = y.doc_id and y.place >= x.place + {RUN} and y.upto - x.upto + x.c >= {RUN_WORDS}
+    where x.c > 0 and x.ahead < {RUN_WORDS} group by x.doc_id, x.place
+  union select x.doc_id, max(y.place), (x.place - max(y.place) + 1)::int from summed x join summed y on x.doc_id = y.doc_id and y.place <= x.place - {RUN} and x.upto - y.upto + y.c >= {RUN_WORDS}
+    where x.c > 0 and x.behind < {RUN_WORDS} group by x.doc_id, x.place),
 spans as (
   select doc_id, place, 1 size, [s] k from r where c >= {LONE_WORDS}
   union all select doc_id, place, 2, [s, s2] from r where s2 is not null and c + c2 >= {PAIR_WORDS}
-  union all select doc_id, place, 3, [s, s2, s3] from r where s3 is not null and c + c2 + c3 >= {RUN_WORDS}),
+  union all select doc_id, place, 3, [s, s2, s3] from r where s3 is not null and c + c2 + c3 >= {RUN_WORDS}
+  union all select x.doc_id, x.place, x.size, a.s[x.place + 1 : x.place + x.size] from extended x join lists a using (doc_id)),
 ranked as (select *, row_number() over (partition by k order by doc_id, place) n, first_value(doc_id) over (partition by k order by doc_id, place) holder from spans),
-gone as (select distinct doc_id, place + j place, holder from ranked, unnest(range(0, 3)) v(j) where n > 1 and j < size),
+gone as (select distinct doc_id, place + j place, holder from ranked, unnest(range(0, size)) v(j) where n > 1),
 gone_at as (select distinct doc_id, place from gone),
 kept as (select w.doc_id, string_agg(d.parts[w.place + 1], '' order by w.place) text, count(*) n from w join d using (doc_id) where not exists (select 1 from gone_at g where g.doc_id = w.doc_id and g.place = w.place) group by w.doc_id),
 lost as (select doc_id, count(*) n from gone_at group by doc_id),
