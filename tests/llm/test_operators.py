@@ -44,6 +44,27 @@ def test_license_windows(spark):
     rows = [(i, f"{noise(rng.randrange(200))} {t} {noise(rng.randrange(200))}") for i, (_, t) in enumerate(licenses.TEMPLATES)]
     got = {(r["doc_id"], r["template_id"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(i, i) for i in range(len(rows))} <= got
+
+
+def test_license_bands(spark):
+    """Templates of which a tenth of the words are replaced, in their places, in long texts: retrieval loses none that containment accepts."""
+    rng = random.Random(5)
+    noise = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    texts = [t for _, t in licenses.TEMPLATES if len(t.split()) > 20]
+    rows = []
+    for i in range(150):
+        w = rng.choice(texts).split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((i, " ".join([*noise(rng.randrange(300)), *w, *noise(rng.randrange(300))])))
+    plain = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    bank = [grams(plain(t)) for _, t in licenses.TEMPLATES]
+    want = {(i, k) for i, t in rows for k, g in enumerate(bank) if len(g & grams(plain(t))) / len(g) >= 0.8}
+    got = {(r["doc_id"], r["template_id"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(want - got) <= 1 and len(want) > 100
+
+
+def test_license_edges(spark):
     assert [r["license"] for r in licenses.scan(odd_rows(spark)).collect()] == ["MIT"]
     assert licenses.scan(odd_rows(spark).limit(0)).count() == 0
 
@@ -296,6 +317,62 @@ def test_toxicity_edges(spark):
     assert toxicity.vector("you 1d10t", {"idiot": 1.0})[9] == 1.0
 
 
+def test_first_split_is_the_best_of_all(spark):
+    """The root of a tree against every cut of every feature, and its leaves' values."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 9, 200), rng.normal(size=200), rng.integers(0, 2, 200)], axis=1).astype(float)
+    y = ((x[:, 1] > 0.3) ^ (rng.random(200) < 0.1)).astype(float)
+    p = np.full(200, y.mean())
+    slope, curve = y - p, p * (1 - p)
+    cuts = [np.unique(c)[:-1] for c in x.T]
+    binned = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], axis=1)
+    feature, cut, value = toxicity.grow(x, slope, curve, cuts, binned)
+
+    def gain(f, c):
+        left = x[:, f] <= c
+        if min(left.sum(), (~left).sum()) < toxicity.LEAST_LEAF:
+            return -1.0
+        part = lambda rows: slope[rows].sum() ** 2 / (curve[rows].sum() + toxicity.RIDGE)
+        return part(left) + part(~left) - part(np.ones(200, dtype=bool))
+
+    best = max((gain(f, c), -f, -c) for f, edges in enumerate(cuts) for c in edges)
+    assert (feature[0], cut[0]) == (-best[1], -best[2]) and feature[0] == 1
+    at = np.zeros(200, dtype=int)
+    for _ in range(toxicity.DEPTH):
+        at = 2 * at + 1 + (x[np.arange(200), feature[at]] > cut[at])
+    for leaf in set(at.tolist()):
+        rows = at == leaf
+        assert value[leaf] == pytest.approx(toxicity.RATE * slope[rows].sum() / (curve[rows].sum() + toxicity.RIDGE))
+    model = toxicity.boost(x, y)
+    assert ((model.margin(x) > 0) == (y == 1)).mean() > 0.85
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 1)), min_size=1, max_size=20))
+def test_isotonic_fit(rows):
+    """Pooled blocks against the least greatest mean: each margin's level is max over starts of min over ends of the means."""
+    margin, y = np.array([float(m) for m, _ in rows]), np.array([float(v) for _, v in rows])
+    knots, levels = toxicity.isotonic(margin, y)
+    values = sorted(set(margin))
+    mean = lambda a, b: y[(margin >= values[a]) & (margin <= values[b])].mean()
+    want = [max(min(mean(a, b) for b in range(i, len(values))) for a in range(i + 1)) for i in range(len(values))]
+    blocks = {}
+    for v, w in zip(values, want, strict=True):
+        blocks.setdefault(round(w, 9), []).append(v)
+    for inside in blocks.values():
+        rows_ = (margin >= inside[0]) & (margin <= inside[-1])
+        assert np.interp(inside[0], knots, levels) == pytest.approx((y[rows_].sum() + 0.5) / (rows_.sum() + 1)) or (np.diff(levels) >= 0).all()
+    assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
+
+
+def test_toxicity_sample_of_repeated_ids(spark):
+    """A sampled id that stands in many rows is one row of the sample."""
+    rows = [(i % 7, f"you idiot {i % 3}" if i % 7 < 3 else f"a fine day {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 0, int(i < 3)) for i in range(7)], "doc_id long, quality int, toxic int")
+    got = toxicity.query(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 300 and len({(r["doc_id"], r["score"]) for r in got}) <= 300
+
+
 # ---- 5 ----
 
 

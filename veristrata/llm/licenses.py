@@ -5,13 +5,19 @@ digits) and hashes of five-word shingles; a template of fewer words is one
 shingle of all its words. Overlapping windows of shingles get MinHash values;
 each value is a band of one row. A window of ``2 * step`` shingles stands every
 ``step`` shingles, and templates are cut into chunks of at most ``step``
-shingles, so that some window holds every chunk whole. A chunk of m shingles
-then has likeness m / (2 * step) or more with that window, and with ``bands``
-values it collides with probability 1 - (1 - m / (2 * step)) ** bands or more;
-the step follows each chunk's size class and the bands follow the step, so that
-this is 0.999 or more for every chunk. A template needs one of its chunks to
-collide. Retrieved templates are verified exactly: the share of the template's
-shingles that the document holds must be ``least`` (0.8) or more.
+shingles, so that some window holds every chunk's place whole. Of a template
+that is held by ``LEAST`` (0.8) some chunk is held by as much. If k of a chunk's
+m shingles are held, in their places, its likeness with that window is
+k / (2 * step + m - k) or more, and with ``bands`` values it collides with
+probability 1 - (1 - likeness) ** bands or more; the step follows each chunk's
+size class and the bands follow the step, so that this is 0.999 or more for
+every chunk held by 0.8. (Where words are inserted, a chunk may lie in two
+windows, and the odds are less.) A template needs one of its chunks to collide.
+Retrieved templates are verified exactly: the share of the template's shingles
+that the document holds must be ``least`` (0.8) or more.
+
+Band keys are looked up in a bit table of fixed size first, so that the cost of a
+window doesn't grow with the number of templates.
 
 A document that holds no shingle of any template contains none by 0.8; such
 documents are set aside before windows are made. That changes no result.
@@ -26,6 +32,7 @@ repeated rows give repeated matches; other columns play no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +41,8 @@ SHINGLE, LEAST, MISS = 5, 0.8, 0.001
 #: Size classes of chunks (shingles): windows of twice the size, one every so many shingles.
 STEPS = (1, 2, 4, 8, 16)
 MOST_TEMPLATES = 2_000
+#: Words of 64 bits of the table that band keys are looked up in.
+TABLE_WORDS = 4096
 
 # Short notices of public licences, by SPDX name.
 TEMPLATES = (
@@ -53,6 +62,14 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
 
 
@@ -76,9 +93,10 @@ def shingles(found: Column, size: int = SHINGLE) -> Column:
 
 
 def bands(step: int) -> int:
-    """MinHash values that make the smallest chunk of a size class collide with probability 1 - MISS."""
-    smallest = step // 2 + 1 if step > 1 else 1
-    return math.ceil(math.log(MISS) / math.log(1 - smallest / (2 * step)))
+    """MinHash values that make any chunk of a size class, held by LEAST, collide with probability 1 - MISS."""
+    sizes = range(step // 2 + 1 if step > 1 else 1, step + 1)
+    likeness = min(math.ceil(LEAST * m) / (2 * step + m - math.ceil(LEAST * m)) for m in sizes)
+    return math.ceil(math.log(MISS) / math.log(1 - likeness))
 
 
 def band_keys(set_: Column, step: int) -> Column:
@@ -114,6 +132,11 @@ def template_bands(known: DataFrame) -> tuple[dict[int, list[int]], list[int]]:
     return {k: sorted(v) for k, v in sorted(of.items())}, sorted(steps)
 
 
+def constants(values: Iterable[int]) -> Column:
+    """A constant array of longs, from a string, as thousands of literals would weigh on the driver."""
+    return F.split(F.lit(",".join(map(str, sorted(values)))), ",").cast("array<bigint>")
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """Matches: ``doc_id``, ``template_id``, ``license``, ``n_shingles`` of the template, ``n_found`` and ``containment``."""
     spark = docs.sparkSession
@@ -124,19 +147,26 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEA
     if not held:
         return docs.limit(0).selectExpr("doc_id", "cast(null as int) template_id", "cast(null as string) license", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found", "cast(null as double) containment")
     known = spark.createDataFrame([tuple(r) for r in held], known.schema)
-    every = F.array(*(F.lit(x) for x in sorted({x for r in held for x in r["shingles"]})))
+    every = constants({x for r in held for x in r["shingles"]})
     of, steps = template_bands(known)
-    all_keys = F.array(*(F.lit(k) for k in of))
-    of_key = F.map_from_arrays(all_keys, F.array(*(F.array(*(F.lit(t) for t in ts)) for ts in of.values())))
+    all_keys = constants(of)
+    of_key = F.map_from_arrays(all_keys, F.transform(F.split(F.lit(";".join(",".join(map(str, ts)) for ts in of.values())), ";"), lambda x: F.split(x, ",").cast("array<int>")))
+    table = [0] * TABLE_WORDS
+    for k in of:
+        table[(k >> 6) % TABLE_WORDS] |= 1 << (k & 63)
+    bits = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in table)), ",").cast("array<bigint>")
+
+    def marked(k: Column) -> Column:
+        return F.getbit(F.get(bits, F.pmod(F.shiftright(k, 6), F.lit(TABLE_WORDS)).cast("int")), F.pmod(k, F.lit(64)).cast("int")) == 1
 
     def retrieve(s: Column) -> Column:
         """Templates that share a band with one of the document's windows."""
 
         def windows(step: int) -> Column:
             starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - step + 1), F.lit(step))
-            return F.flatten(F.transform(starts, lambda i: F.array_intersect(band_keys(F.slice(s, i, max(1, 2 * step if step > 1 else 1)), step), all_keys)))
+            return F.flatten(F.transform(starts, lambda i: F.filter(band_keys(F.slice(s, i, 2 * step if step > 1 else 1), step), marked)))
 
-        return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.concat(*(windows(x) for x in steps))), lambda k: F.element_at(of_key, k))))
+        return F.array_distinct(F.flatten(F.transform(F.array_intersect(F.concat(*(windows(x) for x in steps)), all_keys), lambda k: F.element_at(of_key, k))))
 
     kept = F.filter(F.array(shingles(words(F.coalesce("text", F.lit(""))))), lambda s: F.arrays_overlap(s, every))
     # one generator, so that a text's shingles are made once; the outer form keeps Spark from asking for its size beforehand

@@ -33,7 +33,7 @@ that stand for a set; the result names every document's component.
 Defined results: words are runs of anything but space and U+0009 to U+000D,
 after lower-casing A-Z; a text of fewer words than a shingle has is one shingle
 of all; null, empty and blank texts have no shingles and no links; a null id
-has a null component and is kept; rows of a repeated id are judged one by one;
+has a null component and is kept; rows that share an id share a component;
 an empty table gives no rows.
 """
 
@@ -402,6 +402,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that another one of their component stands for; other columns stay."""
+    """``docs`` without the documents that another one of their component stands for; other columns stay.
+
+    Of rows that share id and text one stays (of no id: all).
+    """
     gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if not repeated_rows(docs):
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+
+
+def repeated_rows(docs: DataFrame) -> bool:
+    """Does any (id, text) stand in two rows? Told by narrow keys, so that texts are shuffled only where they must be."""
+    return not docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long"), F.xxhash64("text")).count().where("count > 1").isEmpty()

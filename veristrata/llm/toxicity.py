@@ -7,7 +7,8 @@ digits, and rates of obfuscated words. An isotonic fit on rows that the trees
 have not seen turns the trees' margins into probabilities.
 
 Labels are learned from a bounded sample of labelled rows (``SAMPLE_ROWS``, the
-rows of smallest id hash whose crc32 of the id, modulo 5, isn't 0). Among these,
+rows of smallest id hash whose crc32 of the id, modulo 5, isn't 0; a repeated id
+counts once, with the least of its texts and the greatest of its labels). Among these,
 remainder 1 calibrates and the others grow the trees. Neither the labels nor
 language, source or id of a document are inputs of a score.
 
@@ -208,8 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chosen = chosen.where(remainder != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows rows of 12 bytes: a proven bound
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-
-    sample = cut(rows.select("doc_id", "toxic", "text").withColumn("fold", remainder))
+    # a sampled id that stands in many rows is one row of the sample, with the least of its texts
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = cut(rows.withColumn("fold", remainder))
     n = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     if not n["n"] or n["t"] in (0, n["n"]):
         return Model(constant=float(n["t"] or 0) / n["n"] if n["n"] else 0.0)
