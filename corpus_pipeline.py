@@ -6,7 +6,15 @@
 4. personal data: e-mail and IP addresses, card and phone numbers are masked.
 5. packing: the texts become token pieces in sequences of at most 4096.
 
-Stages 1 to 4 return the columns of ``documents``, ``n_chars`` following the text.
+Stages 1 to 4 return the columns of ``documents``, ``n_chars`` following the text
+in stages 3 and 4; further columns of the input are left out.
+
+Defined results: a document of null or empty text, or of null id, is scored as
+its operators say (null texts have all features 0), is in no component, keeps its
+null or empty text, and is packed as its end id alone. Rows that share id and
+text are one document after stage 2 (rows of null id all stay). An empty table
+gives no rows at every stage; without labels no document is rejected. Texts are
+read whole at every stage.
 """
 
 from __future__ import annotations
