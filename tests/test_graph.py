@@ -34,15 +34,18 @@ def graphs():
     return {"star": star, "chain": rng.sample(chain, len(chain)), "loose": loose, "ends": ends, "odd": [(1, 1), (2, 3), (3, 2), (2, 3), (None, 4), (5, None)], "empty": []}
 
 
+@pytest.mark.parametrize("finish", [0, 300])
 @pytest.mark.parametrize("name", sorted(graphs()))
-def test_components(spark, monkeypatch, name):
+def test_components(spark, monkeypatch, name, finish):
     monkeypatch.setattr(graph, "HUBS", 20)
+    monkeypatch.setattr(graph, "FINISH", finish)
     edges = graphs()[name]
     got = graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5))
     rows = got.collect()
     assert {r["vertex"]: r["component"] for r in rows} == brute(edges) and len(rows) == len(brute(edges))
 
 
-def test_unsettled_components_raise(spark):
+def test_unsettled_components_raise(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FINISH", 0)
     with pytest.raises(RuntimeError):
         graph.connected_components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(40), most_rounds=1)

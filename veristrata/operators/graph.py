@@ -10,6 +10,8 @@ neighbour is found by partial aggregation, and its edges don't meet in a task:
 a vertex that holds more than a ``HUBS``-th of all edges is a hub, of which there
 are at most ``HUBS``; hubs are broadcast to where the edges lie, and only other
 vertices' edges are shuffled. Each round is cut off by a reliable checkpoint.
+Once no more than ``FINISH`` edges are left, a bounded number whatever the input,
+one task contracts the rest: rounds on so few cost more in tasks than in work.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from veristrata.sources.session import cut
 
 #: A hub holds more than one in so many edges, so this bounds their number too.
 HUBS = 2048
-#: Edges that are contracted at once.
-CHUNK = 500_000
+#: Edges that are contracted at once, and those that the last task finishes.
+CHUNK, FINISH = 500_000, 200_000
 
 
 def contract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,6 +54,11 @@ def contract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"u": below, "v": [find(x) for x in below]}, dtype="int64")
 
 
+def whole_forest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    yield from contract([pd.concat(parts)] if parts else [])
+
+
 def with_least(edges: DataFrame, n: int) -> DataFrame:
     """``edges`` (u, v) with ``m``, the least v of each u. ``n``: at least a third of the number of edges."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
@@ -70,6 +77,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     now = cut(whole.mapInPandas(contract, "u long, v long").distinct())
     n, before = now.count(), None
     for _ in range(most_rounds):
+        if n <= min(FINISH, CHUNK):
+            # at most FINISH rows, in one batch: a forest of stars is the result
+            now = cut(now.coalesce(1).mapInPandas(whole_forest, "u long, v long"))
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # every edge now runs from the larger vertex u to the smaller v
