@@ -181,17 +181,18 @@ def compare_with_edits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     seen = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((seen["bytes"] or 0) / TASK_BYTES))
-    # both uses of the dealt rows take all of their columns, so that one shuffle serves them
-    dealt = rows.withColumn("bucket", bucket_of(rows, seen["n"], bucket_rows)).select("doc_id", "text", "tie", "bucket").repartition(tasks, "bucket")
-    key = (F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("long")), F.col("tie"))
+    bucket = bucket_of(rows, seen["n"], bucket_rows)
+    dealt = rows.withColumn("bucket", bucket).repartition(tasks, "bucket")
 
-    heads = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(*key)).alias("head_text"))
+    # a bucket's head: its greatest key, from narrow rows, then the text of that key, BUCKETS texts at most
+    tops = rows.select(bucket.alias("bucket"), F.struct(*KEY).alias("key")).groupBy("bucket").agg(F.max("key").alias("key")).select("bucket", "key.*")
+    heads = rows.join(F.broadcast(tops), list(KEY)).groupBy("bucket").agg(F.first("text").alias("head_text"))
     below = heads.select("bucket").withColumn("above", F.lead("bucket").over(Window.orderBy("bucket")))
     # the lowest bucket's last row is followed by the first of all
     above = F.coalesce("above", F.min("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     guests = heads.join(below.select("bucket", above.alias("above")), "bucket").select(F.col("above").alias("bucket"), "head_text")
 
-    order = Window.partitionBy("bucket").orderBy(*(k.desc() for k in key))
+    order = Window.partitionBy("bucket").orderBy(*(F.desc(k) for k in KEY))
     beside = dealt.withColumn("next_text", F.lead("text").over(order)).join(guests, "bucket", "left")
     n_chars = F.length("text")
     made = (
