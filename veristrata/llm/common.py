@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veristrata.sources.session import checkpoint_dir, cut, table
 
-__all__ = ["checkpoint_folder", "cut", "stored", "table", "text_or_empty"]
+__all__ = ["checkpoint_folder", "cut", "in_batches", "stored", "table", "text_or_empty"]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -20,6 +20,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
+#: Rows of a batch that Python is handed.
+BATCH_ROWS = 2000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts Python is to get in batches of ``BATCH_ROWS`` rows at most: a worker holds a batch several times over."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder, in ``parts`` if named, and read it back."""
     spark = df.sparkSession

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import checkpoint_folder, cut, stored
+from veristrata.llm.common import checkpoint_folder, cut, in_batches, stored
 from veristrata.operators.graph import connected_components
 
 #: Sketch places used for branching, and those compared.
@@ -198,7 +198,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch(s).tobytes()) if len(s) else (doc_id, 0, None, None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, digest binary, sketch binary")
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, digest binary, sketch binary")
 
 
 def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
     def plant(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roots = _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
         for batch in batches:
-            for part in (batch.iloc[i : i + 4096] for i in range(0, len(batch), 4096)):
+            for part in (batch.iloc[i : i + 4096] for i in range(0, len(batch), 1024)):
                 s, reps_ = _array(part["sketch"], PLACES), part["rep"].to_numpy()
                 rows, nodes = np.repeat(np.arange(len(part)), trees), np.tile(roots, len(part))
                 for _ in range(depth):

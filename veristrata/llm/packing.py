@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.llm import bpe
+from veristrata.llm.common import in_batches
 
 #: Documents of a group: some ten thousand pieces, 1 MB in a task.
 GROUP_DOCS = 8192
@@ -89,7 +90,7 @@ def pieces(docs: DataFrame, length: int = 4096, end_id: int = 2, tokenizer: str
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, *([part] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES + (", ids binary" if with_ids else ""))
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack(docs: DataFrame, length: int = 4096, end_id: int = 2, tokenizer: str | None = None, with_ids: bool = False, group_docs: int = GROUP_DOCS) -> DataFrame:

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.common import in_batches
+
 RUN, RUN_WORDS, PAIR_WORDS, LONE_WORDS = 3, 12, 30, 50
 #: A sentence with what follows it, or a text's unfinished end. The same pattern holds in Python, Java and RE2.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
@@ -103,7 +105,7 @@ def spans(docs: DataFrame, extend: bool = True) -> DataFrame:
                 h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "tie": np.array(ties, dtype=np.int64), "hash_a": h[:, 0], "hash_b": h[:, 1], "place": np.array(places, dtype=np.int32), "size": np.array(sizes, dtype=np.int32), "first": np.array(firsts, dtype=bool)})
 
-    known = docs.where("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tie"), "text")
+    known = in_batches(docs).where("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tie"), "text")
     return known.mapInPandas(run, SPANS)
 
 

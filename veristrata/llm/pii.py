@@ -40,6 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.common import in_batches
 from veristrata.llm.pii_cases import cases
 
 KINDS = ("email", "ip", "card", "phone")
@@ -442,7 +443,7 @@ def find(docs: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:
                 rows.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(base) + len(more)))
             yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def mask(text: str, spans: Iterable[tuple[str, int, int]]) -> str:
@@ -469,4 +470,4 @@ def redact(docs: DataFrame, weight: dict[str, float] | None = None) -> DataFrame
 
         return pd.Series([one(t) for t in texts], index=texts.index, dtype=object)
 
-    return docs.withColumn("text", clean("text"))
+    return in_batches(docs).withColumn("text", clean("text"))

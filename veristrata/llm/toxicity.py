@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import cut
+from veristrata.llm.common import cut, in_batches
 
 #: Bounds of the training sample, and of the learned lexicon.
 SAMPLE_ROWS, LEARNED_WORDS = 6000, 96
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([vector(t, model.learned) for t in texts]).reshape(len(texts), len(NAMES))))
 
-    return docs.withColumn("toxicity", scored("text"))
+    return in_batches(docs).withColumn("toxicity", scored("text"))
 
 
 def held_out(doc_id: int) -> bool:
