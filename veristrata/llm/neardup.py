@@ -72,6 +72,8 @@ FURTHER, MOST_ROUNDS = 2, 60
 GROUP_SHINGLES, GROUP_DOCS = 1_000_000, 3_000
 #: Pivots of a large group, and the shingles of all pivots of a batch of groups (8 bytes each).
 BLOCK, BATCH_SHINGLES = 60, 2_000_000
+#: Most nodes whose rows stay out of the shuffle, and rows of chunks that one task compares.
+HUBS, TASK_ROWS = 2048, 10_000
 MEMO = 100_000
 
 _A = np.random.default_rng(20240601).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -240,16 +242,22 @@ def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
 
     short = reps.select("rep", F.substring("sketch", 1, 2 * COMPARED).alias("sketch"))
     rows = reps.mapInPandas(plant, "node long, rep long")
-    groups: list[DataFrame] = []
+    path = f"{checkpoint_folder(reps.sparkSession)}/veristrata-chunks-{uuid.uuid4().hex}"
+
+    def keep(chunks: DataFrame) -> None:
+        chunks.select("node", F.col("chunk").cast("int").alias("chunk"), "rep").write.mode("append").parquet(path)
+
     for k in range(MOST_ROUNDS + 1):
         rows = stored(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
-        rows = rows.join(sizes.where("size > 1"), "node")
-        lists = rows.where(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1)
+        # a node that holds more than a HUBS-th of all rows is one of HUBS at most: only other nodes' rows meet in a task
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        hub = F.col("size") > max(SMALL_NODE, rows.count() // HUBS)
+        hubs = sizes.where(hub)
+        rest = rows.join(F.broadcast(hubs.select("node")), "node", "left_anti").join(sizes.where(~hub), "node")
+        lists = rest.where(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1)
         # trees agree on most small nodes: each set of members is compared once
-        small = lists.select("reps").distinct().select(F.xxhash64("reps").alias("node"), F.lit(0).alias("chunk"), F.explode("reps").alias("rep"))
-        groups.append(small)
-        large = cut(rows.where(F.col("size") > SMALL_NODE))
+        keep(lists.select("reps").distinct().select(F.xxhash64("reps").alias("node"), F.lit(0).alias("chunk"), F.explode("reps").alias("rep")))
+        large = cut(rest.where(F.col("size") > SMALL_NODE).unionByName(rows.join(F.broadcast(hubs), "node")))
         if large.isEmpty():
             break
         if k == MOST_ROUNDS:
@@ -257,16 +265,17 @@ def sketch_edges(reps: DataFrame, percent: int) -> DataFrame:
         draw = F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 40))
         sample = large.where(F.pmod(draw, F.ceil(F.col("size") / 48)) == 0).join(short, "rep").select("node", "rep", "sketch")
         dense = cut(sample.groupBy("node").applyInPandas(density, "node long, dense boolean").where("dense").select("node"))
-        thick = large.join(dense, "node")
-        chunks = F.ceil(F.col("size") / (SMALL_NODE - PIVOTS)).cast("int")
-        own = thick.select("node", F.pmod(F.xxhash64("rep", "node", F.lit(7)), chunks).cast("int").alias("chunk"), "rep")
-        pivots = thick.where(F.pmod(draw, F.ceil(F.col("size") / PIVOTS)) == 0).select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep")
-        groups.append(own.unionByName(pivots).distinct())
+        if not dense.isEmpty():
+            thick = large.join(dense, "node")
+            chunks = F.ceil(F.col("size") / (SMALL_NODE - PIVOTS)).cast("int")
+            own = thick.select("node", F.pmod(F.xxhash64("rep", "node", F.lit(7)), chunks).cast("int").alias("chunk"), "rep")
+            pivots = thick.where(F.pmod(draw, F.ceil(F.col("size") / PIVOTS)) == 0).select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep")
+            keep(own.unionByName(pivots).distinct())
         rows = large.join(dense, "node", "left_anti").join(reps, "rep").select("node", "rep", "sketch").mapInPandas(branch, "node long, rep long")
-    out = groups[0]
-    for g in groups[1:]:
-        out = out.unionByName(g)
-    return out.join(short, "rep").select("node", "chunk", "rep", "sketch").groupBy("node", "chunk").applyInPandas(compare, "a long, b long").distinct()
+    chunks = reps.sparkSession.read.schema("node long, chunk int, rep long").parquet(path)
+    # narrow rows, much work: tasks are numbered by rows, as their bytes would make them too few
+    tasks = max(1, math.ceil(chunks.count() / TASK_ROWS))
+    return chunks.join(short, "rep").select("node", "chunk", "rep", "sketch").repartition(tasks, "node", "chunk").groupBy("node", "chunk").applyInPandas(compare, "a long, b long").distinct()
 
 
 # ---- exact confirmation ----
