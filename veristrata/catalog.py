@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.plans import more_queries  # noqa: F401  registers its queries
+from veristrata.plans import entries, more_queries  # noqa: F401  register their queries
 from veristrata.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "contributor_ranking"

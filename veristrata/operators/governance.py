@@ -12,7 +12,9 @@ from veristrata.operators.risk import SEVERITIES, rank_of
 
 # Actions of the workflow and codes of its checks.
 ACTIONS = ("assign", "acknowledge", "override", "approve", "quarantine", "release")
-REASON_CODES = ("false_positive", "accepted_risk", "duplicate", "fixed", "other")
+REASON_CODES = ("quality_issue", "known_benign", "insufficient_evidence", "accepted_risk", "superseded_by_rescan", "other_with_justification")
+#: Of findings on provenance only these may be given, and the last one is marked for audit.
+PROV_REASON_CODES = ("known_restore", "test_data", "superseded_ledger", "false_positive_confirmed")
 
 
 def page_of_findings(findings: DataFrame, limit: int = 50, offset: int = 0, disposition: str | None = None, nature: str | None = None, availability: str | None = None, module: str | None = None) -> DataFrame:
@@ -70,16 +72,22 @@ def once(events: DataFrame) -> DataFrame:
 
 
 def error_code(least_text: int = 10) -> Column:
-    """Null for a valid request, else the first rule it breaks."""
+    """Null for a valid request, else the first rule it breaks. Findings of ``prov.*`` detectors have reason codes of their own."""
+    allowed = F.when(F.col("detector_id").startswith("prov."), F.col("reason_code").isin(*PROV_REASON_CODES)).otherwise(F.col("reason_code").isin(*REASON_CODES))
     return (
         F.when(~F.col("action").isin(*ACTIONS), "unknown_action")
         .when(~F.coalesce(F.col("request_id").rlike("^[0-9a-f]{8,64}$"), F.lit(False)), "bad_request_id")
         .when(F.col("action").isin("override", "release") & (F.length(F.trim(F.coalesce("justification", F.lit("")))) < least_text), "justification_too_short")
-        .when((F.col("action") == "override") & ~F.coalesce(F.col("reason_code").isin(*REASON_CODES), F.lit(False)), "unknown_reason_code")
+        .when((F.col("action") == "override") & ~F.coalesce(allowed, F.lit(False)), "unknown_reason_code")
         .when((F.col("action") == "assign") & F.col("assignee").isNull(), "no_assignee")
     )
 
 
+def audit_flagged() -> Column:
+    """Is an event's reason one that is allowed, but shown to auditors?"""
+    return F.col("reason_code") == PROV_REASON_CODES[-1]
+
+
 # ---- fold of analyst events into a finding's state ----
 
 STATE = "finding_id string, status string, assignee string, disposition string, pending_disposition string, pending_by string, last_seq long, rejected long"

@@ -159,14 +159,22 @@ def rank_groups(counts: DataFrame, quarantine_mean: float = 0.25) -> DataFrame:
 
 
 def calibrate(findings: DataFrame, steps: DataFrame) -> DataFrame:
-    """Replace scores by calibrated confidences: step lookup with a 1e-12 tolerance. ``steps``: detector_id, edges, levels."""
-    both = findings.join(F.broadcast(steps), "detector_id", "left")
-    at = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e <= F.col("score") + 1e-12)))
-    return both.withColumn("calibrated", F.col("edges").isNotNull()).withColumn("confidence", F.when(F.col("edges").isNotNull(), F.element_at("levels", at)).otherwise(F.col("confidence"))).drop("edges", "levels")
+    """Replace scores by calibrated confidences. ``steps``: detector_id, edges (the upper end of each block of scores) and levels.
+
+    A score belongs to the first block whose upper end isn't below it by more than 1e-12; scores above all belong to the last.
+    Findings that didn't run keep what they have, if ``availability`` is told.
+    """
+    both = findings.join(steps, "detector_id", "left")
+    at = F.least(F.size("levels"), 1 + F.size(F.filter("edges", lambda e: e <= F.col("score") - 1e-12)))
+    known = F.col("edges").isNotNull()
+    if "availability" in findings.columns:
+        known = known & F.col("availability").isin("ran", "ok", "degraded")
+    level = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.element_at("levels", at)))
+    return both.withColumn("__known", known).withColumn("confidence", F.when(F.col("__known"), level).otherwise(F.col("confidence"))).withColumn("calibrated", F.col("__known")).drop("__known", "edges", "levels")
 
 
 def fit_calibration(records: DataFrame) -> DataFrame:
-    """Isotonic steps by detector. ``records``: detector_id, score, attacked. Equal scores are combined before they meet."""
+    """Isotonic steps by detector: the upper end and the level of each block. ``records``: detector_id, score, attacked. Equal scores are combined before they meet."""
     combined = records.groupBy("detector_id", "score").agg(F.count("*").alias("n"), F.sum(F.col("attacked").cast("double")).alias("k"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +182,8 @@ def fit_calibration(records: DataFrame) -> DataFrame:
         for row in part.sort_values("score").itertuples():
             blocks.append([row.score, row.k, row.n])
             while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-                _, k, n = blocks.pop()
+                upper, k, n = blocks.pop()
+                blocks[-1][0] = upper
                 blocks[-1][1] += k
                 blocks[-1][2] += n
         return pd.DataFrame({"detector_id": [part["detector_id"].iloc[0]], "edges": [[b[0] for b in blocks]], "levels": [[b[1] / b[2] for b in blocks]]})

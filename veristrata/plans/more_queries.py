@@ -26,13 +26,13 @@ def batches(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", datasets.resolve_batch(path, F.when(i % 5 == 0, F.concat(F.lit("b "), "lang")).otherwise("")).alias("batch"))
 
 
-@query("P25_request_errors", "with r as (select event_id, ['assign', 'override', 'release', 'dance', 'approve'][(event_id % 5 + 1)::int] as action, case when event_id % 11 = 0 then 'XYZ' else substr(sha256(props), 1, 16) end request_id, case when event_id % 3 = 0 then 'too short' else 'long enough text' end justification, case when event_id % 4 = 0 then 'fixed' else 'nothing' end reason_code, case when event_id % 2 = 0 then 'u' end assignee from events) select event_id, case when action = 'dance' then 'unknown_action' when not regexp_matches(request_id, '^[0-9a-f]{8,64}$') then 'bad_request_id' when action in ('override', 'release') and length(trim(justification)) < 10 then 'justification_too_short' when action = 'override' and reason_code <> 'fixed' then 'unknown_reason_code' when action = 'assign' and assignee is null then 'no_assignee' end error from r")
+@query("P25_request_errors", "with r as (select event_id, ['assign', 'override', 'release', 'dance', 'approve'][(event_id % 5 + 1)::int] as action, event_id % 8 < 2 prov, case when event_id % 11 = 0 then 'XYZ' else substr(sha256(props), 1, 16) end request_id, case when event_id % 3 = 0 then 'too short' else 'long enough text' end justification, case event_id % 4 when 0 then 'known_benign' when 1 then 'test_data' else 'nothing' end reason_code, case when event_id % 2 = 0 then 'u' end assignee from events) select event_id, case when action = 'dance' then 'unknown_action' when not regexp_matches(request_id, '^[0-9a-f]{8,64}$') then 'bad_request_id' when action in ('override', 'release') and length(trim(justification)) < 10 then 'justification_too_short' when action = 'override' and reason_code <> case when prov then 'test_data' else 'known_benign' end then 'unknown_reason_code' when action = 'assign' and assignee is null then 'no_assignee' end error from r")
 def request_errors(spark, sf_dir):
     i = F.col("event_id")
     r = table(spark, sf_dir, "events").select(
         "event_id", F.element_at(F.array(*(F.lit(a) for a in ("assign", "override", "release", "dance", "approve"))), (i % 5 + 1).cast("int")).alias("action"),
         F.when(i % 11 == 0, "XYZ").otherwise(F.left(F.sha2(F.col("props").cast("binary"), 256), F.lit(16))).alias("request_id"), F.when(i % 3 == 0, "too short").otherwise("long enough text").alias("justification"),
-        F.when(i % 4 == 0, "fixed").otherwise("nothing").alias("reason_code"), F.when(i % 2 == 0, "u").alias("assignee"),
+        F.when(i % 4 == 0, "known_benign").when(i % 4 == 1, "test_data").otherwise("nothing").alias("reason_code"), F.when(i % 8 < 2, "prov.chain").otherwise("copies.text").alias("detector_id"), F.when(i % 2 == 0, "u").alias("assignee"),
     )
     return r.select("event_id", governance.error_code().alias("error"))
 
@@ -65,10 +65,10 @@ def activation_stats(spark, sf_dir):
     return models.activation_stats(a).withColumn("saturation", F.round("saturation", 9))
 
 
-@query("A67_weakest_tier", "with t as (select source contributor, case when doc_id % 7 = 0 then 'none' when doc_id % 3 = 0 then 'format' else 'directory' end tier from documents where doc_id % 2 = 1) select contributor, arg_max(tier, case tier when 'none' then 3 when 'format' then 2 when 'directory' then 1 else 0 end) weakest from t group by contributor")
+@query("A67_weakest_tier", "with t as (select source contributor, case when doc_id % 7 = 0 then 'none' when doc_id % 3 = 0 then 'format' else 'directory' end tier from documents) select contributor, arg_max(tier, case tier when 'none' then 3 when 'format' then 2 when 'directory' then 1 else 0 end) weakest from t group by contributor")
 def weakest_tier(spark, sf_dir):
     i = F.col("doc_id")
-    t = table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select(F.col("source").alias("contributor"), F.when(i % 7 == 0, "none").when(i % 3 == 0, "format").otherwise("directory").alias("tier"))
+    t = table(spark, sf_dir, "documents").select(F.col("source").alias("contributor"), F.when(i % 7 == 0, "none").when(i % 3 == 0, "format").otherwise("directory").alias("tier"))
     return t.groupBy("contributor").agg(F.max_by("tier", risk.rank_of(F.col("tier"), ("sidecar", "directory", "format", "none"))).alias("weakest"))
 
 

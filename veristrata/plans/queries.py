@@ -102,12 +102,11 @@ def label_agreement(spark, sf_dir):
     return similarity.label_agreement(near, v.select("id", "label"))
 
 
-@query("J02_confirmed_pairs", f"with p as (select a.vec_id id_a, b.vec_id id_b, {_COS} c from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label and a.vec_id % 20 = b.vec_id % 20) select id_a, id_b, round(c, 6) as cosine from p where c >= 0.1")
+@query("J02_confirmed_pairs", f"with {KNN_SQL}, p as (select distinct least(query_id, id) id_a, greatest(query_id, id) id_b from knn), c as (select id_a, id_b, {_COS} c from p join embeddings a on a.vec_id = id_a join embeddings b on b.vec_id = id_b) select id_a, id_b, round(c, 6) as cosine from c where c >= 0.1")
 def confirmed_pairs(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") % 20 == F.col("b.id") % 20) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    return similarity.confirm_pairs(pairs, v.select("id", "vector"), 0.1).select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
+    v = _vectors(spark, sf_dir).select("id", "vector")
+    pairs = similarity.nearest(v, v, 10).select(F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")).distinct()
+    return similarity.confirm_pairs(pairs, v, 0.1).select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("J04_reference_distance", f"with k as (select a.vec_id query_id, {_COS} c, row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) r from embeddings a join embeddings b on a.label = 0 and b.label = 1) select query_id, round(1 - avg(c), 6) distance from k where r <= 5 group by query_id")
@@ -297,9 +296,9 @@ def finding_counts(spark, sf_dir):
     return _routed(spark, sf_dir).groupBy("severity", "disposition").agg(F.count("*").alias("n"))
 
 
-@query("A61_combined_confidence", "select lang target_ref, round(least(0.95e0, 1 - product(1 - c)), 9) confidence, count(*) methods from (select lang, (doc_id % 5) / 100.0e0 c from documents where doc_id < 100) group by lang")
+@query("A61_combined_confidence", "select lang target_ref, round(least(0.95e0, 1 - product(1 - c)), 9) confidence, count(*) methods from (select lang, (doc_id % 5) / 100.0e0 c from documents) group by lang")
 def combined_confidence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 100").select(F.col("lang").alias("target_ref"), ((F.col("doc_id") % 5) / 100.0).alias("confidence"))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("target_ref"), ((F.col("doc_id") % 5) / 100.0).alias("confidence"))
     return risk.combine_methods(d).withColumn("confidence", F.round("confidence", 9))
 
 
@@ -329,7 +328,7 @@ def contributor_ranking(spark, sf_dir):
     return risk.rank_groups(counts)
 
 
-@query("F31_calibrated", "with e as (select [0.0e0, 1.0, 2.0, 4.0] e, [0.05e0, 0.2, 0.6, 0.9] l) select doc_id, l[greatest(1, len(list_filter(e, lambda x: x <= n_chars / 1000.0e0 + 1e-12)))] confidence from documents, e")
+@query("F31_calibrated", "with e as (select [0.0e0, 1.0, 2.0, 4.0] e, [0.05e0, 0.2, 0.6, 0.9] l) select doc_id, l[least(4, 1 + len(list_filter(e, lambda x: x <= n_chars / 1000.0e0 - 1e-12)))] confidence from documents, e")
 def calibrated(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("score"), F.lit("d").alias("detector_id"), F.lit(0.0).alias("confidence"))
     steps = spark.createDataFrame([("d", [0.0, 1.0, 2.0, 4.0], [0.05, 0.2, 0.6, 0.9])], "detector_id string, edges array<double>, levels array<double>")
@@ -500,17 +499,17 @@ def coverage_diff(spark, sf_dir):
     return governance.coverage_diff(c.where("side = 0"), c.where("side = 1"))
 
 
-@query("A42_coverage_matrix", "with k as (select p_brand detector_id, p_type attack_class, p_size % 5 > 0 ran from part where p_size <= 10), g as (select attack_class, list_sort(list(distinct detector_id) filter (ran)) assessed, list_sort(list(distinct detector_id) filter (not ran)) not_assessed from k group by all), t as (select distinct p_type attack_class from part) select attack_class, len(coalesce(assessed, [])) n_assessed, case when g.attack_class is null then 'never covered' when len(coalesce(assessed, [])) > 0 then 'assessed' else 'not assessed' end state from t left join g using (attack_class)")
+@query("A42_coverage_matrix", "with k as (select p_brand detector_id, p_type attack_class, p_size % 5 > 0 ran from part), g as (select attack_class, list_sort(list(distinct detector_id) filter (ran)) assessed, list_sort(list(distinct detector_id) filter (not ran)) not_assessed from k group by all), t as (select distinct p_type attack_class from part) select attack_class, len(coalesce(assessed, [])) n_assessed, case when g.attack_class is null then 'never covered' when len(coalesce(assessed, [])) > 0 then 'assessed' else 'not assessed' end state from t left join g using (attack_class)")
 def coverage_matrix(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    checks = p.where("p_size <= 10").select(F.col("p_brand").alias("detector_id"), F.array("p_type").alias("attack_classes"), (F.col("p_size") % 5 > 0).alias("ran"))
+    checks = p.select(F.col("p_brand").alias("detector_id"), F.array("p_type").alias("attack_classes"), (F.col("p_size") % 5 > 0).alias("ran"))
     out = governance.coverage_matrix(checks, p.select(F.col("p_type").alias("attack_class")).distinct())
     return out.select("attack_class", F.size(F.coalesce("assessed", F.array().cast("array<string>"))).cast("long").alias("n_assessed"), "state")
 
 
-@query("P09_capabilities", "with c as (select p_partkey, list_sort(list_distinct(['images', p_brand])) req, [p_type, 'labels'] opt from part where p_partkey <= 200), r as (select p_partkey, list_sort(list_filter(req, lambda x: x not in ('images', 'labels', 'Brand#11', 'Brand#12'))) need, list_sort(list_filter(opt, lambda x: x not in ('images', 'labels', 'Brand#11', 'Brand#12'))) want from c) select cast(p_partkey as varchar) detector_id, case when len(need) > 0 then 'unavailable' when len(want) > 0 then 'degraded' else 'ok' end availability, array_to_string(case when len(need) > 0 then need else want end, ',') missing from r")
+@query("P09_capabilities", "with c as (select p_partkey, list_sort(list_distinct(['images', p_brand])) req, [p_type, 'labels'] opt from part), r as (select p_partkey, list_sort(list_filter(req, lambda x: x not in ('images', 'labels', 'Brand#11', 'Brand#12'))) need, list_sort(list_filter(opt, lambda x: x not in ('images', 'labels', 'Brand#11', 'Brand#12'))) want from c) select cast(p_partkey as varchar) detector_id, case when len(need) > 0 then 'unavailable' when len(want) > 0 then 'degraded' else 'ok' end availability, array_to_string(case when len(need) > 0 then need else want end, ',') missing from r")
 def capabilities(spark, sf_dir):
-    checks = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").cast("string").alias("detector_id"), F.array(F.lit("images"), F.col("p_brand")).alias("requires"), F.array(F.col("p_type"), F.lit("labels")).alias("optional"))
+    checks = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("detector_id"), F.array(F.lit("images"), F.col("p_brand")).alias("requires"), F.array(F.col("p_type"), F.lit("labels")).alias("optional"))
     return capability.resolve_table(checks, ["images", "labels", "Brand#11", "Brand#12"])
 
 
