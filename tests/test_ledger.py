@@ -48,17 +48,43 @@ def test_accumulator():
         assert tree.root() == reference_root([leaf(i) for i in range(n)]).hex()
 
 
+#: (seq, actor, action, refs_seq, new disposition) and what holds after it: disposition, pending seq, last seq.
+STORY = [
+    (1, "a", "override", None, "accept", ("review", 1, 1)),  # lowering waits
+    (2, "a", "approve", 1, None, ("review", 1, 2)),  # the same person can't approve
+    (3, "b", "approve", 7, None, ("review", 1, 3)),  # nor by another number
+    (4, "c", "override", None, "accept", ("review", 4, 4)),  # a later request takes the place of the first
+    (5, "b", "approve", 1, None, ("review", 4, 5)),  # which can't be approved any more
+    (6, "b", "approve", 4, None, ("accept", None, 6)),
+    (7, "a", "override", None, "quarantine", ("quarantine", None, 7)),  # raising takes effect at once
+    (8, "a", "acknowledge", None, None, ("quarantine", None, 8)),
+    (9, "a", "acknowledge", None, None, ("quarantine", None, 9)),
+    (10, "a", "override", None, "quarantine", ("quarantine", 10, 10)),  # the same again isn't raising
+    (11, "b", "assign", None, None, ("quarantine", 10, 11)),
+]
+
+
 def test_fold_rules():
-    s = governance.new_state("f", "quarantine")
-    e = {"seq": 1, "actor_id": "a", "action": "release", "expected_prev_seq": None}
-    s = governance.step(s, e)
-    assert s["disposition"] == "quarantine" and s["pending_disposition"] == "accept"
-    same_person = governance.step(s, {"seq": 2, "actor_id": "a", "action": "approve", "expected_prev_seq": None})
-    assert same_person["disposition"] == "quarantine" and same_person["rejected"] == 1
-    s = governance.step(s, {"seq": 3, "actor_id": "b", "action": "approve", "expected_prev_seq": 1})
-    assert s["disposition"] == "accept" and s["status"] == "approved"
-    stale = governance.step(s, {"seq": 4, "actor_id": "b", "action": "assign", "expected_prev_seq": 1, "assignee": "x"})
-    assert stale["rejected"] == 1 and stale["last_seq"] == 3
+    s = governance.new_state("f", "review")
+    for seq, actor, action, refs, new, want in STORY:
+        s = governance.step(s, {"seq": seq, "actor_id": actor, "action": action, "refs_seq": refs, "new_disposition": new, "assignee": "x"})
+        assert (s["disposition"], s["pending_seq"], s["last_seq"]) == want, seq
+    assert s["original"] == "review" and s["superseded"] == [1] and s["acknowledged_by"] == ["a"] and s["assignee"] == "x" and s["cited_seq"] == 7
+    assert governance.admissible(s, {"action": "assign", "actor_id": "b", "expected_prev_seq": 3}) == "stale"
+    assert governance.admissible(s, {"action": "approve", "actor_id": "a", "refs_seq": 10}) == "same_person"
+    assert governance.admissible(s, {"action": "approve", "actor_id": "b", "refs_seq": 1}) == "nothing_to_approve"
+
+
+def test_fold_of_findings_and_targets(spark):
+    """Quarantine and release are the target's; an approval goes where the change that it names is."""
+    rows = [(1, "a", "quarantine", None, "s1"), (2, "a", "release", None, "s1"), (3, "a", "approve", 2, "s1"), (4, "a", "override", None, "s1"), (5, "b", "approve", 2, "s1"), (6, "b", "approve", 4, "s1"), (7, "c", "release", None, "s2"), (8, "c", "quarantine", None, "s2"), (9, "d", "approve", 7, "s2"), (10, "d", "approve", 99, "s3")]
+    e = spark.createDataFrame([(*r, f"f{r[4]}", "accept", None, "sample") for r in rows], "seq long, actor_id string, action string, refs_seq long, target_ref string, finding_id string, new_disposition string, assignee string, target_type string")
+    found = spark.createDataFrame([("fs1", "quarantine"), ("fs2", "review"), ("fs9", "accept")], "finding_id string, disposition string")
+    got = {r["finding_id"]: (r["disposition"], r["last_seq"], r["cited_seq"]) for r in governance.fold(found, e).collect()}
+    assert got == {"fs1": ("accept", 6, 6), "fs2": ("review", -1, None), "fs9": ("accept", -1, None)}
+    targets = {r["target_ref"]: (r["status"], r["pending_seq"], r["cited_seq"], r["last_seq"]) for r in governance.fold_targets(e).collect()}
+    assert targets == {"s1": ("active", None, 5, 5), "s2": ("quarantined", None, 8, 9)}
+    assert governance.fold_targets(e.limit(0)).count() == 0
 
 
 def test_in_order_crosses_runs(spark):

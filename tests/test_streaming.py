@@ -18,8 +18,8 @@ def test_windows(spark, tmp_path):
 
 
 def test_fold_stream_equals_batch(spark, tmp_path):
-    rows = [(i, f"u{i % 3}", governance.ACTIONS[i % 6], f"f{i % 4}", None, "accept", "u9") for i in range(40)]
-    schema = "seq long, actor_id string, action string, finding_id string, expected_prev_seq long, new_disposition string, assignee string"
+    rows = [(i, f"u{i % 3}", governance.ACTIONS[i % 6], f"f{i % 4}", i - 1 if i % 6 == 3 else None, "accept", "u9") for i in range(40)]
+    schema = "seq long, actor_id string, action string, finding_id string, refs_seq long, new_disposition string, assignee string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streaming.fold_stream(streaming.file_stream(spark, str(tmp_path / "in"), schema))
     got = {r["finding_id"]: tuple(r) for r in streaming.run_available(stream, "folded", str(tmp_path / "ck"), "update").collect()}

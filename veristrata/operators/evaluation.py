@@ -55,8 +55,12 @@ def pick_threshold(rows: DataFrame, most_false: float = 0.05, points: int = 200)
     span = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     lo, hi = float(span["lo"] or 0.0), float(span["hi"] or 0.0)
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-    array = F.array(*(F.lit(g) for g in grid))
-    counted = rows.withColumn("place", F.size(F.filter(array, lambda g: g <= F.col("score")))).groupBy("place").agg(F.count_if("attacked").alias("pos"), F.count_if(~F.col("attacked")).alias("neg"))
+    score = F.col("score")
+    # the place by division, put right where rounding is off by one
+    guess = F.floor((score - lo) / ((hi - lo) or 1.0) * (points - 1)).cast("int")
+    line = lambda i: F.lit(lo) + F.lit(hi - lo) * i / (points - 1)
+    place = F.when(line(guess) > score, guess).when((guess < points - 1) & (line(guess + 1) <= score), guess + 2).otherwise(guess + 1)
+    counted = rows.withColumn("place", F.lit(points) if hi == lo else place).groupBy("place").agg(F.count_if("attacked").alias("pos"), F.count_if(~F.col("attacked")).alias("neg"))
     table = {r["place"]: (r["pos"], r["neg"]) for r in counted.collect()}  # points + 1 rows at most
     pos, neg = sum(v[0] for v in table.values()), sum(v[1] for v in table.values())
     best = None

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.operators.risk import SEVERITIES, rank_of
+from veristrata.operators.risk import DISPOSITIONS, SEVERITIES, rank_of
 
 # Actions of the workflow and codes of its checks.
 ACTIONS = ("assign", "acknowledge", "override", "approve", "quarantine", "release")
@@ -88,46 +88,79 @@ def audit_flagged() -> Column:
     return F.col("reason_code") == PROV_REASON_CODES[-1]
 
 
-# ---- fold of analyst events into a finding's state ----
+# ---- fold of analyst events into the states of findings and of targets ----
 
-STATE = "finding_id string, status string, assignee string, disposition string, pending_disposition string, pending_by string, last_seq long, rejected long"
-_LOWER = {"quarantine": 2, "review": 1, "accept": 0}
+STATE = "finding_id string, original string, disposition string, assignee string, acknowledged_by array<string>, pending_disposition string, pending_by string, pending_seq long, superseded array<bigint>, cited_seq long, last_seq long"
+TARGET = "target_type string, target_ref string, status string, pending_by string, pending_seq long, cited_seq long, last_seq long"
+#: Actions on a target (a sample, contributor, batch or model) rather than on a finding.
+ON_TARGETS = ("quarantine", "release")
+_RANKS = {name: rank for rank, name in enumerate(DISPOSITIONS)}
+_SETTLED = {"pending_disposition": None, "pending_by": None, "pending_seq": None}
 
 
 def new_state(finding_id: str, disposition: str) -> dict:
-    return {"finding_id": finding_id, "status": "open", "assignee": None, "disposition": disposition, "pending_disposition": None, "pending_by": None, "last_seq": -1, "rejected": 0}
+    return {"finding_id": finding_id, "original": disposition, "disposition": disposition, "assignee": None, "acknowledged_by": [], **_SETTLED, "superseded": [], "cited_seq": None, "last_seq": -1}
+
+
+def new_target(target_type: str, target_ref: str) -> dict:
+    return {"target_type": target_type, "target_ref": target_ref, "status": "active", "pending_by": None, "pending_seq": None, "cited_seq": None, "last_seq": -1}
+
+
+def approves(state: dict, event: dict) -> bool:
+    """Does an approval name the change that waits, and come from another person than asked for it?"""
+    return state["pending_seq"] is not None and event.get("refs_seq") == state["pending_seq"] and event["actor_id"] != state["pending_by"]
 
 
 def step(state: dict, event: dict) -> dict:
-    """One event. Raising a disposition takes effect at once; lowering it waits until a second person approves. A stale ``expected_prev_seq`` is rejected."""
-    s = dict(state)
-    expected = event.get("expected_prev_seq")
-    if expected is not None and int(expected) != s["last_seq"]:
-        s["rejected"] += 1
-        return s
-    action, actor = event["action"], event["actor_id"]
+    """One event on a finding. A ledger's event is a fact: it is never rejected here, and moves ``last_seq`` even where it changes nothing.
+
+    Raising a disposition takes effect at once and ends what waits; lowering it
+    waits until a second person approves it by its ``seq``, and takes the place
+    of what waited before.
+    """
+    seq, actor, action = int(event["seq"]), event["actor_id"], event["action"]
+    s = state | {"last_seq": max(state["last_seq"], seq)}
     if action == "assign":
-        s["assignee"] = event.get("assignee")
-    elif action == "acknowledge":
-        s["status"] = "acknowledged" if s["status"] == "open" else s["status"]
-    elif action in ("override", "release", "quarantine"):
-        new = "quarantine" if action == "quarantine" else "accept" if action == "release" else event.get("new_disposition") or s["disposition"]
-        if _LOWER.get(new, 1) < _LOWER.get(s["disposition"], 1):
-            s["pending_disposition"], s["pending_by"] = new, actor
-        else:
-            s["disposition"], s["pending_disposition"], s["pending_by"] = new, None, None
-            s["status"] = "overridden" if action == "override" else s["status"]
-    elif action == "approve":
-        if s["pending_disposition"] is None or actor == s["pending_by"]:
-            s["rejected"] += 1
-            return s
-        s["disposition"], s["pending_disposition"], s["pending_by"], s["status"] = s["pending_disposition"], None, None, "approved"
-    s["last_seq"] = int(event["seq"])
+        return s | {"assignee": event.get("assignee")}
+    if action == "acknowledge":
+        return s if actor in s["acknowledged_by"] else s | {"acknowledged_by": [*s["acknowledged_by"], actor]}
+    if action == "override":
+        new = event.get("new_disposition") or s["disposition"]
+        if _RANKS.get(new, 0) > _RANKS.get(s["disposition"], 0):
+            return s | {"disposition": new, "cited_seq": seq} | _SETTLED
+        waiting = [] if s["pending_seq"] is None else [s["pending_seq"]]
+        return s | {"superseded": [*s["superseded"], *waiting], "pending_disposition": new, "pending_by": actor, "pending_seq": seq}
+    if action == "approve" and approves(s, event):
+        return s | {"disposition": s["pending_disposition"], "cited_seq": seq} | _SETTLED
     return s
 
 
+def target_step(state: dict, event: dict) -> dict:
+    """One event on a target: quarantine at once, release when a second person approves it by its ``seq``."""
+    seq, action = int(event["seq"]), event["action"]
+    s = state | {"last_seq": max(state["last_seq"], seq)}
+    if action == "quarantine":
+        return s | {"status": "quarantined", "cited_seq": seq, "pending_by": None, "pending_seq": None}
+    if action == "release":
+        return s | {"pending_by": event["actor_id"], "pending_seq": seq}
+    if action == "approve" and approves(s, event):
+        return s | {"status": "active", "cited_seq": seq, "pending_by": None, "pending_seq": None}
+    return s
+
+
+def on_targets(events: DataFrame) -> DataFrame:
+    """Events with ``on_target``: quarantines, releases, and approvals of an earlier release."""
+    releases = events.where(F.col("action") == "release").select(F.col("seq").alias("__release")).distinct()
+    named = (F.col("action") == "approve") & (F.col("refs_seq") == F.col("__release")) & (F.col("__release") < F.col("seq"))
+    return events.join(releases, named, "left").withColumn("on_target", F.col("action").isin(*ON_TARGETS) | F.col("__release").isNotNull()).drop("__release")
+
+
+def _records(events: pd.DataFrame) -> list[dict]:
+    return [{k: None if v is None or v != v else v for k, v in r.items()} for r in events.sort_values("seq").astype(object).to_dict("records")]
+
+
 def fold(findings: DataFrame, events: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Each finding's state after its events, in the order of ``seq``. ``findings``: finding_id, disposition.
+    """Each finding's state after its events, in the order of ``seq``. ``findings``: finding_id, disposition. ``events``: seq, finding_id, actor_id, action, refs_seq, new_disposition, assignee.
 
     Findings go to tasks in buckets of about ``rows`` rows, not one by one.
     """
@@ -135,16 +168,37 @@ def fold(findings: DataFrame, events: DataFrame, rows: int = 50_000) -> DataFram
 
     def run(f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         of: dict[str, list[dict]] = {}
-        for event in e.sort_values("seq").astype(object).where(e.notna(), None).to_dict("records"):
+        for event in _records(e):
             of.setdefault(event["finding_id"], []).append(event)
         out = [fold_all(new_state(i, d), of.get(i, ())) for i, d in zip(f["finding_id"], f["disposition"], strict=True)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+        return _frame(out, STATE)
 
     known = findings.select("finding_id", "disposition", F.pmod(F.xxhash64("finding_id"), buckets).alias("bucket"))
-    told = events.withColumn("bucket", F.pmod(F.xxhash64("finding_id"), buckets))
+    told = on_targets(events).where("not on_target").drop("on_target").withColumn("bucket", F.pmod(F.xxhash64("finding_id"), buckets))
     return known.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(run, STATE)
 
 
+def fold_targets(events: DataFrame, rows: int = 50_000) -> DataFrame:
+    """The state of every target that an event quarantines, releases, or approves the release of. ``events``: as for ``fold``, with target_type and target_ref."""
+    told = on_targets(events).where("on_target").drop("on_target")
+    buckets = F.lit(max(1, told.count() // rows + 1))
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        states: dict[tuple[str, str], dict] = {}
+        for event in _records(e):
+            key = (event["target_type"], event["target_ref"])
+            states[key] = target_step(states.get(key) or new_target(*key), event)
+        return _frame(list(states.values()), TARGET)
+
+    return told.groupBy(F.pmod(F.xxhash64("target_type", "target_ref"), buckets).alias("bucket")).applyInPandas(run, TARGET)
+
+
+def _frame(states: list[dict], schema: str) -> pd.DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = pd.DataFrame(states, columns=names)
+    return out.astype({c.split()[0]: "Int64" for c in schema.split(", ") if c.endswith(" long")})
+
+
 def orphans(findings: DataFrame, events: DataFrame) -> DataFrame:
     """Events of findings that aren't there."""
     return events.join(findings.select("finding_id"), "finding_id", "left_anti")
@@ -158,8 +212,8 @@ def admissible(state: dict, event: dict, least_text: int = 10) -> str | None:
     """Why an event can't be appended to a finding in this state; None if it can."""
     if event.get("expected_prev_seq") is not None and event["expected_prev_seq"] != state["last_seq"]:
         return "stale"
-    if event["action"] == "approve" and (state["pending_disposition"] is None or event["actor_id"] == state["pending_by"]):
-        return "nothing_to_approve" if state["pending_disposition"] is None else "same_person"
+    if event["action"] == "approve" and not approves(state, event):
+        return "same_person" if event.get("refs_seq") == state["pending_seq"] and state["pending_seq"] is not None else "nothing_to_approve"
     if event["action"] in ("override", "release") and len((event.get("justification") or "").strip()) < least_text:
         return "justification_too_short"
     return None

@@ -67,24 +67,33 @@ def clock_regressions(ledger: DataFrame) -> DataFrame:
     return in_order(ledger.select("seq", "created_at"), {"before": "created_at"}).where("created_at < before")
 
 
-def interval_of(ledger: DataFrame) -> DataFrame:
-    """``interval``: how many anchor rows precede a row; an anchor opens the interval after its own row."""
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return ledger.withColumn("interval", F.coalesce(F.sum((F.col("type") == "anchor_event").cast("long")).over(w), F.lit(0)))
+def count_before(rows: DataFrame, flag: Column, name: str, width: int = 4096) -> DataFrame:
+    """``name``: how many rows of smaller ``seq`` hold ``flag``. Counted inside runs of ``width`` numbers; only run totals, a row each, are summed in one task."""
+    marked = rows.withColumn("__run", F.floor(F.col("seq") / width)).withColumn("__flag", F.coalesce(flag, F.lit(False)).cast("long"))
+    totals = marked.groupBy("__run").agg(F.sum("__flag").alias("__n"))
+    upto = totals.select("__run", F.coalesce(F.sum("__n").over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__upto"))
+    inside = F.coalesce(F.sum("__flag").over(Window.partitionBy("__run").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("__inside", inside).join(upto, "__run").withColumn(name, F.col("__upto") + F.col("__inside")).drop("__run", "__flag", "__inside", "__upto")
 
 
 def repeated_nonces(ledger: DataFrame) -> DataFrame:
-    """Second and later uses of a nonce inside an anchoring interval; intervals come from the few anchor rows by a range join."""
-    anchors = ledger.where("type = 'anchor_event'").select(F.col("seq").alias("opens")).withColumn("number", F.row_number().over(Window.orderBy("opens")))
-    spans = anchors.withColumn("until", F.lead("opens").over(Window.orderBy("opens")))
-    found = ledger.join(spans, (F.col("seq") > F.col("opens")) & (F.col("until").isNull() | (F.col("seq") <= F.col("until"))), "left").withColumn("interval", F.coalesce("number", F.lit(0)))
+    """Second and later uses of a nonce inside an anchoring interval; an anchor opens the interval after its own row."""
+    found = count_before(ledger, F.col("type") == "anchor_event", "interval")
     return found.withColumn("use", F.row_number().over(Window.partitionBy("interval", "nonce").orderBy("seq"))).where("use > 1").select("seq", "nonce", "interval", "use")
 
 
-def in_effect(ledger: DataFrame, key: str, event: Column, value: str) -> DataFrame:
-    """``in_effect``: ``value`` of the last row, before each, of the same ``key`` for which ``event`` holds (an as-of join)."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return ledger.withColumn("in_effect", F.last(F.when(event, F.col(value)), ignorenulls=True).over(w))
+def in_effect(ledger: DataFrame, key: str, event: Column, value: str, width: int = 4096) -> DataFrame:
+    """``in_effect``: ``value`` of the last row, before each, of the same ``key`` for which ``event`` holds (an as-of join).
+
+    Found inside runs of ``width`` numbers, so that a key with a third of all rows
+    is many windows; each run of a key hands on its last value, a row each.
+    """
+    marked = ledger.withColumn("__run", F.floor(F.col("seq") / width)).withColumn("__value", F.when(event, F.struct(F.col(value).alias("v"))))
+    inside = F.last("__value", ignorenulls=True).over(Window.partitionBy(key, "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    tails = marked.groupBy(key, "__run").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("seq"))).alias("__tail"))
+    handed = tails.select(key, "__run", F.last("__tail", ignorenulls=True).over(Window.partitionBy(key).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    both = marked.withColumn("__inside", inside).alias("l").join(handed.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l.__run") == F.col("r.__run")))
+    return both.select(*(F.col(f"l.{c}") for c in ledger.columns), F.coalesce("l.__inside", "r.__before")["v"].alias("in_effect"))
 
 
 def failure_runs(checked: DataFrame) -> DataFrame:
@@ -93,8 +102,7 @@ def failure_runs(checked: DataFrame) -> DataFrame:
     An island starts where the failure before isn't the row directly before, by sequence number.
     """
     bad = checked.where("failed").select("seq")
-    w = Window.orderBy("seq")
-    marked = bad.withColumn("island", F.col("seq") - F.row_number().over(w))
+    marked = count_before(bad, F.lit(True), "n").select("seq", (F.col("seq") - F.col("n")).alias("island"))
     return marked.groupBy("island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n")).drop("island")
 
 

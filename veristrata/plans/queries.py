@@ -513,14 +513,26 @@ def capabilities(spark, sf_dir):
     return capability.resolve_table(checks, ["images", "labels", "Brand#11", "Brand#12"])
 
 
+def _analyst_events(spark, sf_dir):
+    """``events`` read as an analyst's: approvals name the event six before them, by another person or the same."""
+    i = F.col("event_id")
+    action = F.element_at(F.array(*(F.lit(a) for a in governance.ACTIONS)), (F.floor(i / 6) % 2 * 3 + i % 3 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(i.alias("seq"), F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("actor_id"), action.alias("action"), (i % 3).alias("place"), F.element_at(F.array(F.lit("quarantine"), F.lit("accept"), F.lit("review")), (i % 3 + 1).cast("int")).alias("new_disposition"), F.lit("u9").alias("assignee"), (F.floor(i / 12) % 400).cast("string").alias("target_ref"))
+    return e.withColumn("refs_seq", F.when(F.col("action") == "approve", F.col("seq") - F.when(F.col("seq") % 2 == 0, 4).otherwise(5)).cast("long")).withColumn("target_type", F.lit("sample")).drop("place")
+
+
 @query("L17_event_fold")
 def event_fold(spark, sf_dir):
     found = _routed(spark, sf_dir).select("finding_id", "disposition", "target_ref")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("actor_id"), F.element_at(F.array(*(F.lit(a) for a in governance.ACTIONS)), ((F.col("event_id") % 6) + 1).cast("int")).alias("action"), (F.col("event_id") % 400).cast("string").alias("target_ref"), F.lit(None).cast("long").alias("expected_prev_seq"), F.lit("accept").alias("new_disposition"), F.lit("u9").alias("assignee"))
-    events = e.join(_routed(spark, sf_dir).select("finding_id", "target_ref"), "target_ref").drop("target_ref")
+    events = _analyst_events(spark, sf_dir).join(found.select("finding_id", "target_ref"), "target_ref")
     return governance.fold(found.select("finding_id", "disposition"), events)
 
 
+@query("L17_target_fold")
+def target_fold(spark, sf_dir):
+    return governance.fold_targets(_analyst_events(spark, sf_dir))
+
+
 # ---- scalar functions ----
 
 

@@ -19,16 +19,19 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """State of every finding after each micro-batch. Order inside a batch is by ``seq``, never by clock; the state is small JSON."""
+    """State of every finding after each micro-batch. Order inside a batch is by ``seq``, never by clock; the state is small JSON.
+
+    Actions on targets are left to a stream of their own; an approval that names none of the finding's changes alters nothing but ``last_seq``.
+    """
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = json.loads(state.get[0]) if state.exists else governance.new_state(key[0], "review")
         rows = pd.concat(list(batches)).sort_values("seq").to_dict("records")
         s = governance.fold_all(s, ({k: None if pd.isna(v) else v for k, v in r.items()} for r in rows))
         state.update((json.dumps(s),))
-        yield pd.DataFrame([s], columns=[c.split()[0] for c in governance.STATE.split(", ")])
+        yield governance._frame([s], governance.STATE)
 
-    return events.groupBy("finding_id").applyInPandasWithState(run, governance.STATE, "state string", "update", GroupStateTimeout.NoTimeout)
+    return events.where(~F.col("action").isin(*governance.ON_TARGETS)).groupBy("finding_id").applyInPandasWithState(run, governance.STATE, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def append_once(events: DataFrame) -> DataFrame:
