@@ -73,7 +73,7 @@ GROUP_SHINGLES, GROUP_DOCS = 1_000_000, 3_000
 #: Pivots of a large group, and the shingles of all pivots of a batch of groups (8 bytes each).
 BLOCK, BATCH_SHINGLES = 60, 2_000_000
 #: Most nodes whose rows stay out of the shuffle, and rows of chunks that one task compares.
-HUBS, TASK_ROWS = 2048, 10_000
+HUBS, TASK_ROWS = 16_384, 10_000
 MEMO = 100_000
 
 _A = np.random.default_rng(20240601).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
