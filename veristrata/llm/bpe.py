@@ -217,7 +217,7 @@ class Bpe:
         return ids
 
     def _plain(self, text: str) -> bytes:
-        text = self.normal.normalize_str(text) if FAR.search(text) else text.lower()
+        text = text.lower() if text.isascii() or not FAR.search(text) else self.normal.normalize_str(text)
         chunks = regex.split(r"\p{White_Space}+", text) if NOT_SPACE.search(text) else text.split()
         get, make = self.memo.get, self._chunk
         return b"".join([get(c) or make(c) for c in chunks])
