@@ -523,9 +523,8 @@ def _analyst_events(spark, sf_dir):
 
 @query("L17_event_fold")
 def event_fold(spark, sf_dir):
-    found = _routed(spark, sf_dir).select("finding_id", "disposition", "target_ref")
-    events = _analyst_events(spark, sf_dir).join(found.select("finding_id", "target_ref"), "target_ref")
-    return governance.fold(found.select("finding_id", "disposition"), events)
+    events = _analyst_events(spark, sf_dir).join(_routed(spark, sf_dir).select("finding_id", "target_ref"), "target_ref")
+    return governance.fold(_routed(spark, sf_dir).select("finding_id", "disposition"), events)
 
 
 @query("L17_target_fold")
