@@ -88,8 +88,14 @@ def mislabel_tests(rows: DataFrame, least_rate: float = 0.25, lead: float = 0.2,
     return out.withColumn("flagged", (F.col("rate") >= least_rate) & (F.col("rate") - F.col("worst_peer") >= lead) & (F.col("p") < alpha) & (F.col("contributors") > 1))
 
 
-def box_features(boxes: DataFrame) -> DataFrame:
-    """Long form of a box's log area, log aspect and centre: contributor, category, feature, value. Boxes: x, y, w, h."""
+#: The least spread that counts for each box feature; places are shares of the image's sides.
+SPREAD_FLOORS = {"log_area": 0.05, "log_aspect": 0.03, "cx": 0.02, "cy": 0.02}
+#: Ranges of values into which a feature's rows are dealt for running counts.
+RANGES = 64
+
+
+def box_features(boxes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Long form of a box's log area, log aspect and centre: contributor, category, feature, value. Boxes: x, y, w, h as shares of the image's sides."""
     ok = boxes.where("w > 0 and h > 0")
     pairs = F.array(
         F.struct(F.lit("log_area").alias("feature"), F.ln(F.col("w") * F.col("h")).alias("value")),
@@ -97,21 +103,107 @@ def box_features(boxes: DataFrame) -> DataFrame:
         F.struct(F.lit("cx").alias("feature"), (F.col("x") + F.col("w") / 2).alias("value")),
         F.struct(F.lit("cy").alias("feature"), (F.col("y") + F.col("h") / 2).alias("value")),
     )
-    return ok.select("contributor", "category", F.explode(pairs).alias("f")).select("contributor", "category", "f.feature", "f.value")
+    names = ["contributor", "category", *(keep or [])]
+    return ok.select(*names, F.explode(pairs).alias("f")).select(*names, "f.feature", "f.value")
+
 
+def geometry_shift(features: DataFrame, least: int = 15, effect: float = 1.0) -> DataFrame:
+    """Median and spread of each contributor's boxes by category and feature, and on which side of every peer it stands.
 
-def geometry_shift(features: DataFrame, least: int = 15, floor: float = 0.05) -> DataFrame:
-    """A contributor's median against each peer's, in the peer's MADs: the nearest peer's shift, and whether all have the same sign."""
+    ``side`` is 1 (-1) if the median lies ``effect`` of the peer's spreads or more
+    above (below) every other contributor's median, else 0; null without a peer.
+    The extreme bound of the others is the first or second of an ordered window of
+    one short row a contributor, so no contributors are paired.
+    """
     by = ["category", "feature", "contributor"]
-    med = features.groupBy(*by).agg(F.median("value").alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
-    spread = features.join(med, by).groupBy(*by).agg((F.median(F.abs(F.col("value") - F.col("m"))) * MAD_SCALE).alias("s"))
-    g = med.join(spread, by)
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.feature") == F.col("b.feature")) & (F.col("a.contributor") != F.col("b.contributor")))
-    shift = (F.col("a.m") - F.col("b.m")) / F.greatest(F.col("b.s"), F.lit(floor))
-    return pairs.select("a.category", "a.feature", "a.contributor", shift.alias("shift")).groupBy("category", "feature", "contributor").agg(
-        F.min_by("shift", F.abs("shift")).alias("nearest_shift"), (F.min("shift") * F.max("shift") > 0).alias("same_sign"), F.count("*").alias("peers")
-    )
+    middle = features.groupBy(*by).agg(F.median("value").alias("median"), F.count("value").alias("n")).where(F.col("n") >= least)
+    floor = F.coalesce(*(F.when(F.col("feature") == name, F.lit(v)) for name, v in SPREAD_FLOORS.items()), F.lit(0.0))
+    spread = features.join(middle, by).groupBy(*by).agg((F.median(F.abs(F.col("value") - F.col("median"))) * MAD_SCALE).alias("spread"))
+    g = middle.join(spread, by).withColumn("spread", F.greatest("spread", floor))
+    high, low = F.col("median") + effect * F.col("spread"), F.col("median") - effect * F.col("spread")
+
+    def others(bound: Column, order: Column) -> Column:
+        w = Window.partitionBy("category", "feature").orderBy(order, "contributor")
+        return F.when(F.row_number().over(w) == 1, F.lead(bound).over(w)).otherwise(F.first(bound).over(w))
+
+    peers = F.count("*").over(Window.partitionBy("category", "feature")) - 1
+    marked = g.withColumn("others_high", others(high, F.desc(high))).withColumn("others_low", others(low, F.asc(low))).withColumn("peers", peers)
+    side = F.when(F.col("peers") == 0, F.lit(None)).when(F.col("median") >= F.col("others_high"), 1).when(F.col("median") <= F.col("others_low"), -1).otherwise(0)
+    return marked.select(*by, "n", "median", "spread", "peers", side.alias("side"))
+
+
+def ecdf_against_peers(features: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Two-sample KS statistic of each chosen contributor against each peer: category, feature, contributor, peer, ks.
+
+    Running counts are made inside ranges of values and carried over by one short
+    row a range, so no task orders a whole feature. A chosen contributor's counts
+    are read where a peer's step, at the step and just before it: between two
+    steps of the peer the distance is largest at an end.
+    """
+    key = ["category", "feature"]
+    wanted = chosen.select(*key, F.col("contributor").alias("target"))
+    some = features.join(wanted.select(*key).distinct(), key)
+    bounds = some.groupBy(*key).agg(F.percentile_approx("value", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(1000)).alias("bounds"))
+    each = some.where("value is not null").groupBy(*key, "value", "contributor").agg(F.count("*").alias("k")).join(bounds, key)
+    each = each.select(*key, "contributor", "value", "k", F.size(F.filter("bounds", lambda b: b <= F.col("value"))).alias("range"))
+    rows = each.join(wanted, key).withColumn("own", F.when(F.col("contributor") == F.col("target"), F.col("k")).otherwise(0))
+    inside = Window.partitionBy(*key, "target", "range").orderBy("value")
+    to, at = F.sum("own").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum("own").over(inside.rangeBetween(Window.currentRow, Window.currentRow))
+    mine = F.sum("k").over(Window.partitionBy(*key, "target", "range", "contributor").orderBy("value"))
+    steps = rows.withColumn("to", to).withColumn("at", at).withColumn("mine", mine)
+    # what lies in the ranges before: one row a range and contributor
+    short = each.groupBy(*key, "range", "contributor").agg(F.sum("k").alias("k"))
+    before = Window.partitionBy(*key, "contributor").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    carried = short.select(*key, "range", "contributor", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("mine_before"))
+    size = short.groupBy(*key, "contributor").agg(F.sum("k").alias("size"))
+    target = short.withColumnRenamed("contributor", "target").join(wanted, [*key, "target"])
+    # a target needn't have rows in every range
+    ranges = short.select(*key, "range").distinct().join(wanted, key).join(target, [*key, "target", "range"], "left").fillna(0, ["k"])
+    held = Window.partitionBy(*key, "target").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*key, "target", "range", F.coalesce(F.sum("k").over(held), F.lit(0)).alias("to_before"))
+    target_size = size.select(*key, F.col("contributor").alias("target"), F.col("size").alias("target_size"))
+    full = steps.where("contributor <> target").join(carried, [*key, "range", "contributor"]).join(ranges, [*key, "target", "range"]).join(size, [*key, "contributor"]).join(target_size, [*key, "target"])
+    theirs, ours = F.col("mine_before") + F.col("mine"), F.col("to_before") + F.col("to")
+    gap = F.greatest(F.abs(ours / F.col("target_size") - theirs / F.col("size")), F.abs((ours - F.col("at")) / F.col("target_size") - (theirs - F.col("k")) / F.col("size")))
+    return full.groupBy(*key, F.col("target").alias("contributor"), F.col("contributor").alias("peer")).agg(F.max(gap).alias("ks"))
+
+
+def geometry_tests(features: DataFrame, least: int = 15, effect: float = 1.0, alpha: float = 1e-3) -> DataFrame:
+    """Contributors whose boxes of a category lie to one side of every peer's, with a KS test against each peer.
+
+    The weakest of a contributor's p-values, times the number of (contributor,
+    category, feature) groups that have a peer, has to stay below ``alpha``.
+    ``shift``, ``peer_median`` and ``peer_spread`` are the nearest peer's. At most
+    one contributor stands above and one below all others of a category and
+    feature, so rows grow with contributors and not with their pairs.
+    """
+    key = ["category", "feature"]
+    g = geometry_shift(features, least, effect).where("peers > 0").cache()
+    family = g.count()
+    chosen = g.where("side <> 0")
+    usable = features.join(g.select(*key, "contributor"), [*key, "contributor"])
+    near = g.select(*key, F.col("contributor").alias("peer"), F.col("n").alias("peer_n"), F.col("median").alias("peer_median"), F.col("spread").alias("peer_spread"))
+
+    @F.pandas_udf("double")
+    def p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([stats.ks_p_value(x, int(y), int(z))[0] for x, y, z in zip(d, n, m, strict=True)])
+
+    both = ecdf_against_peers(usable, chosen).join(chosen, [*key, "contributor"]).join(near, [*key, "peer"])
+    both = both.withColumn("shift", (F.col("median") - F.col("peer_median")) / F.col("peer_spread")).withColumn("p", p("ks", "n", "peer_n"))
+    closest = F.min_by(F.struct("shift", "peer", "peer_median", "peer_spread"), F.struct(F.abs("shift"), "peer")).alias("nearest")
+    tested = both.groupBy(*key, "contributor", "n", "median", "side", "peers").agg(closest, F.max("p").alias("weakest"))
+    adjusted = F.least(F.lit(1.0), F.col("weakest") * family)
+    return tested.select(*key, "contributor", "n", "median", "side", "peers", "nearest.*", adjusted.alias("p_adjusted"), (adjusted < alpha).alias("flagged"))
+
+
+def geometry_hits(features: DataFrame, tests: DataFrame, least_z: float = 1.5) -> DataFrame:
+    """Samples with a box in the tail of a flagged shift: ``features`` (list), ``z`` (largest), severity, confidence. ``features``: sample_id too."""
+    key = ["category", "feature", "contributor"]
+    flagged = tests.where("flagged").select(*key, "side", "peer_median", "peer_spread")
+    far = features.join(flagged, key).withColumn("z", F.col("side") * (F.col("value") - F.col("peer_median")) / F.col("peer_spread")).where(F.col("z") >= least_z)
+    out = far.groupBy("sample_id").agg(F.array_sort(F.collect_set("feature")).alias("features"), F.max("z").alias("z"))
+    confidence = F.least(F.lit(0.7), 0.3 + 0.1 * F.size("features") + 0.02 * F.least("z", F.lit(10.0)))
+    return out.withColumn("severity", F.when(F.size("features") > 1, "medium").otherwise("low")).withColumn("confidence", confidence)
 
 
 def iou(a: str, b: str) -> Column:

@@ -236,9 +236,36 @@ def box_features(spark, sf_dir):
     return wide.join(n, ["contributor", "category"])
 
 
-@query("A22_geometry_shift")
+_MOVED = f"mv as (select sample_id, contributor, category, x + case when contributor = 'c3' then 40 else 0 end x, y, w, h from ({inputs.BOXES_SQL}) where w > 0 and h > 0), f as (select contributor, category, unnest(['log_area', 'log_aspect', 'cx', 'cy']) feature, unnest([ln(w * h), ln(w / h), x + w / 2, y + h / 2]) as value from mv)"
+
+
+def _moved(spark, sf_dir):
+    """Box features by sample; the boxes of contributor c3 are moved to the right."""
+    boxes = inputs.boxes(spark, sf_dir).withColumn("x", F.col("x") + F.when(F.col("contributor") == "c3", 40).otherwise(0))
+    return cohorts.box_features(boxes, ["sample_id"])
+
+
+@query(
+    "A22_geometry_shift",
+    f"with {_MOVED}, m as (select category, feature, contributor, median(value) as mid, count(*) n from f group by all having count(*) >= 15), "
+    "g as (select category, feature, contributor, any_value(n) n, any_value(mid) mid, greatest(median(abs(value - mid)) * 1.4826e0, any_value(case feature when 'log_area' then 0.05e0 when 'log_aspect' then 0.03e0 else 0.02e0 end)) spread from f join m using (category, feature, contributor) group by all) "
+    "select a.category, a.feature, a.contributor, a.n, round(a.mid, 6) as median, round(a.spread, 6) spread, (select count(*) from g b where b.category = a.category and b.feature = a.feature and b.contributor <> a.contributor) peers, "
+    "(select case when count(*) = 0 then null when bool_and(a.mid >= b.mid + b.spread) then 1 when bool_and(a.mid <= b.mid - b.spread) then -1 else 0 end from g b where b.category = a.category and b.feature = a.feature and b.contributor <> a.contributor)::int side from g a",
+)
 def geometry_shift(spark, sf_dir):
-    return cohorts.geometry_shift(cohorts.box_features(inputs.boxes(spark, sf_dir)))
+    return cohorts.geometry_shift(_moved(spark, sf_dir)).withColumn("median", F.round("median", 6)).withColumn("spread", F.round("spread", 6))
+
+
+@query("J07_geometry_tests")
+def geometry_tests(spark, sf_dir):
+    """KS tests of the contributors to one side of every peer; tests hold them against brute force."""
+    return cohorts.geometry_tests(_moved(spark, sf_dir))
+
+
+@query("A22_geometry_hits")
+def geometry_hits(spark, sf_dir):
+    moved = _moved(spark, sf_dir)
+    return cohorts.geometry_hits(moved, cohorts.geometry_tests(moved))
 
 
 _IOU = "greatest(0, least(d.x + d.w, b.x + b.w) - greatest(d.x, b.x)) * greatest(0, least(d.y + d.h, b.y + b.h) - greatest(d.y, b.y))"
