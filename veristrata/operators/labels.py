@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import stats
@@ -91,18 +91,31 @@ def heavy_contributors(rows: DataFrame, least: int = 10, share: float = 0.2) ->
     return g.withColumn("share", F.col("k") / F.col("n")).withColumn("heavy", (F.col("k") >= least) & (F.col("share") >= share))
 
 
-def negative_space(missed: DataFrame, detections: DataFrame, least_rate: float = 0.15, factor: float = 3.0, floor: float = 0.02, alpha: float = 0.01) -> DataFrame:
-    """Contributors who leave out more objects than their worst peer by ``factor``. Both: contributor (one row a detection)."""
-    g = detections.groupBy("contributor").agg(F.count("*").alias("n")).join(missed.groupBy("contributor").agg(F.count("*").alias("k")), "contributor", "left").fillna(0, ["k"])
-    rows = g.orderBy("contributor").toPandas()  # one row a contributor
-    out = []
-    for i, r in rows.iterrows():
-        rest = rows.drop(i)
-        worst = float((rest["k"] / rest["n"]).max()) if len(rest) else 0.0
-        p = stats.fisher_greater(int(r["k"]), int(r["n"] - r["k"]), int(rest["k"].sum()), int((rest["n"] - rest["k"]).sum())) if len(rest) else 1.0
-        rate = r["k"] / r["n"]
-        out.append((r["contributor"], int(r["n"]), int(r["k"]), float(rate), worst, min(1.0, p * len(rows)), bool(len(rest) and rate >= least_rate and rate >= factor * max(worst, floor) and p * len(rows) < alpha)))
-    return missed.sparkSession.createDataFrame(out, "contributor string, n long, k long, rate double, worst_peer double, p double, flagged boolean")
+def negative_space(missed: DataFrame, detections: DataFrame, least_rate: float = 0.15, factor: float = 3.0, floor: float = 0.02, alpha: float = 1e-3, least_missed: int = 5, least_peer: int = 10) -> DataFrame:
+    """Contributors who leave out more objects than their worst peer by ``factor``. Both: contributor (one row a detection).
+
+    Peers are contributors of ``least_peer`` rows or more. Their sums are totals
+    less the contributor's own, the worst is the first or second of an ordered
+    window of one short row a contributor; p-values are corrected over all
+    contributors. Rows without a contributor take no part.
+    """
+    counts = detections.where("contributor is not null").groupBy("contributor").agg(F.count("*").alias("n"))
+    g = counts.join(missed.groupBy("contributor").agg(F.count("*").alias("k")), "contributor", "left").fillna(0, ["k"])
+    peer = F.col("n") >= least_peer
+    g = g.withColumn("rate", F.col("k") / F.col("n")).withColumn("as_peer", F.when(peer, F.col("rate")))
+    every, order = Window.partitionBy(), Window.orderBy(F.desc_nulls_last("as_peer"), "contributor")
+    own = lambda c: F.when(peer, F.col(c)).otherwise(0)
+    worst = F.when(F.row_number().over(order) == 1, F.lead("as_peer").over(order)).otherwise(F.first("as_peer").over(order))
+    g = g.withColumn("worst_peer", worst).withColumn("rest_n", F.sum(own("n")).over(every) - own("n")).withColumn("rest_k", F.sum(own("k")).over(every) - own("k"))
+    g = g.withColumn("family", F.count("*").over(every))
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series, n: pd.Series, c: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([stats.fisher_greater(int(w), int(x - w), int(y), int(z - y)) if z else 1.0 for w, x, y, z in zip(a, n, c, m, strict=True)])
+
+    out = g.withColumn("p", F.least(F.lit(1.0), p("k", "n", "rest_k", "rest_n") * F.col("family")))
+    stands = (F.col("rate") >= least_rate) & (F.col("rate") >= factor * F.greatest("worst_peer", F.lit(floor))) & (F.col("k") >= least_missed) & (F.col("p") < alpha)
+    return out.select("contributor", "n", "k", "rate", F.coalesce("worst_peer", F.lit(0.0)).alias("worst_peer"), "p", ((F.col("rest_n") > 0) & stands).alias("flagged"))
 
 
 def best_missed(detections: DataFrame, boxes: DataFrame, least: float = 0.3) -> DataFrame:

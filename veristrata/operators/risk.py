@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,21 +112,39 @@ def group_counts(samples: DataFrame, flagged: DataFrame, keys: tuple[str, ...] =
     return marked.select(each.alias("g"), "__hit").select("g.kind", "g.group", "__hit").where("group is not null and group <> ''").groupBy("kind", "group").agg(F.count("*").alias("n"), F.count("__hit").alias("k"))
 
 
-@dataclass(frozen=True)
-class Priors:
-    rate: float
-    strength: float
+#: A prior's strength: the least and the most, and what stands where it can't be learnt.
+STRENGTHS, WEAK = (2.0, 200.0), 10.0
+
+
+def _clipped(rate: np.ndarray) -> np.ndarray:
+    return np.clip(rate, 1e-4, 1 - 1e-4)
 
 
-def moments_strength(n: list[int], k: list[int], rate: float) -> float:
-    """Strength of a beta prior by the spread of group shares; 10 for fewer than two groups."""
-    if len(n) < 2 or rate <= 0 or rate >= 1:
-        return 10.0
-    chi = sum((b - a * rate) ** 2 / (a * rate * (1 - rate)) for a, b in zip(n, k, strict=True) if a)
-    total = sum(n)
-    mean_size = (total - sum(a * a for a in n) / total) / (len(n) - 1)
-    rho = (chi - (len(n) - 1)) / ((len(n) - 1) * (mean_size - 1)) if mean_size > 1 else 0.0
-    return 200.0 if rho <= 0 else min(200.0, max(2.0, 1 / rho - 1))
+def priors_without_own(n: np.ndarray, k: np.ndarray, baseline: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rate and strength of each group's beta prior, learnt from the other groups of the baseline.
+
+    All sums are totals less the group's own term. With fewer than two others the
+    pooled rate and a strength of ``WEAK`` stand; so does that strength where every
+    other group is a single sample, as spread can't be told then.
+    """
+    n, k, held = n.astype(float), k.astype(float), baseline.astype(float)
+    share = np.divide(k * k, n, out=np.zeros_like(n), where=n > 0)
+
+    def others(x: np.ndarray) -> np.ndarray:
+        return (x * held).sum() - x * held
+
+    groups, size, hits = others(np.ones_like(n)), others(n), others(k)
+    learnt = (groups >= 2) & (size > 0)
+    some = np.where(learnt, size, 1.0)
+    pooled = k.sum() / n.sum() if n.sum() else 0.0
+    rate = _clipped(np.where(learnt, hits / some, pooled))
+    free = np.where(learnt, groups - 1, 1.0)
+    mean_size = (size - others(n * n) / some) / free
+    spread = others(share) - 2 * rate * hits + rate * rate * size
+    told = learnt & (mean_size > 1 + 1e-12)
+    rho = (spread / (rate * (1 - rate)) / free - 1) / np.where(told, mean_size - 1, 1.0)
+    strength = np.where(told, np.clip(1 / np.clip(rho, 1e-6, 1.0) - 1, *STRENGTHS), WEAK)
+    return rate, strength
 
 
 def rank_groups(counts: DataFrame, quarantine_mean: float = 0.25) -> DataFrame:
@@ -138,20 +157,15 @@ def rank_groups(counts: DataFrame, quarantine_mean: float = 0.25) -> DataFrame:
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("group").reset_index(drop=True)
-        n, k = part["n"].tolist(), part["k"].tolist()
-        pooled = sum(k) / max(1, sum(n))
-        stands = [stats.binomial_tail(b, a, pooled) < OUTLIER for a, b in zip(n, k, strict=True)]
-        rows = []
-        for i in range(len(n)):
-            rest = [j for j in range(len(n)) if not stands[j] and j != i]
-            rn, rk = [n[j] for j in rest], [k[j] for j in rest]
-            rate = (sum(rk) + 0.5) / (sum(rn) + 1)
-            strength = moments_strength(rn, rk, rate)
-            a, b = rate * strength + k[i], (1 - rate) * strength + n[i] - k[i]
-            low, high = stats.beta_quantile(0.025, a, b), stats.beta_quantile(0.975, a, b)
-            worse = low > rate and a / (a + b) >= quarantine_mean
-            rows.append((part["kind"][i], part["group"][i], n[i], k[i], rate, strength, a / (a + b), low, high, bool(stands[i]), "quarantine" if worse else "review" if low > rate else "accept"))
-        out = pd.DataFrame(rows, columns=["kind", "group", "n", "k", "prior_rate", "prior_strength", "mean", "ci_low", "ci_high", "outlier", "disposition"])
+        n, k = part["n"].to_numpy(), part["k"].to_numpy()
+        pooled = float(_clipped(np.float64(k.sum() / max(1, n.sum()))))
+        stands = np.array([stats.binomial_tail(int(b), int(a), pooled) < OUTLIER for a, b in zip(n, k, strict=True)], dtype=bool)
+        rate, strength = priors_without_own(n, k, ~stands)
+        a, b = rate * strength + k, (1 - rate) * strength + n - k
+        ends = [(stats.beta_quantile(0.025, x, y), stats.beta_quantile(0.975, x, y)) for x, y in zip(a, b, strict=True)]
+        out = part[["kind", "group", "n", "k"]].assign(prior_rate=rate, prior_strength=strength, mean=a / (a + b), ci_low=[e[0] for e in ends], ci_high=[e[1] for e in ends], outlier=stands)
+        above = out["ci_low"] > out["prior_rate"]
+        out["disposition"] = np.where(above & (out["mean"] >= quarantine_mean), "quarantine", np.where(above, "review", "accept"))
         out = out.sort_values(["ci_low", "mean", "group"], ascending=[False, False, True]).reset_index(drop=True)
         return out.assign(rank=(out.index + 1).astype("int32"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.functions import scalars
-from veristrata.operators import cohorts, drift, evaluation, governance, ledger, models, risk, similarity
+from veristrata.operators import cohorts, drift, evaluation, governance, labels, ledger, models, risk, similarity
 from veristrata.plans import capability, inputs
 from veristrata.sources import datasets
 from veristrata.sources.session import cut, table
@@ -277,6 +277,30 @@ def unmatched_detections(spark, sf_dir):
     return cohorts.unmatched_detections(a.where("det_id % 2 = 1"), a.where("det_id % 2 = 0").drop("det_id")).select("sample_id", "det_id")
 
 
+@query("A65_best_missed", f"with a as ({inputs.BOXES_SQL}), d as (select * from a where det_id % 2 = 1), b as (select * from a where det_id % 2 = 0) select sample_id, det_id, d.x as score from d where not exists (select 1 from b where b.sample_id = d.sample_id and coalesce({_IOU} / nullif(d.w * d.h + b.w * b.h - {_IOU}, 0), 0) >= 0.3) qualify row_number() over (partition by sample_id order by d.x desc, det_id) = 1")
+def best_missed(spark, sf_dir):
+    a = inputs.boxes(spark, sf_dir).select("sample_id", "det_id", "x", "y", "w", "h")
+    return labels.best_missed(a.where("det_id % 2 = 1").withColumn("score", F.col("x")), a.where("det_id % 2 = 0").drop("det_id"))
+
+
+_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+
+
+@query(
+    "A25_negative_space",
+    "with r as (select 'c' || (l_suppkey % 10) contributor, l_partkey % case l_suppkey % 10 when 4 then 3 when 5 then 9 else 40 end = 0 missed from lineitem), "
+    "g as (select contributor, count(*) n, count(*) filter (missed) k from r group by 1), "
+    "o as (select a.contributor, a.n, a.k, coalesce(max(b.k / b.n), 0.0e0) worst_peer, coalesce(sum(b.n), 0)::double rest_n, coalesce(sum(b.k), 0)::double rest_k, (select count(*) from g) family from g a left join g b on b.contributor <> a.contributor and b.n >= 10 group by all), "
+    f"p as (select *, least(1.0e0, family * (select sum(exp({_CHOOSE.format('o.n', 'i')} + {_CHOOSE.format('o.rest_n', '(o.k + o.rest_k - i)')} - ({_CHOOSE.format('(o.n + o.rest_n)', '(o.k + o.rest_k)')}))) from (select unnest(generate_series(o.k, least(o.n, o.k + o.rest_k)::bigint)) i) s)) p from o) "
+    "select contributor, n, k, k / n as rate, worst_peer, round(p, 6) p, rest_n > 0 and k >= 5 and k / n >= 0.15e0 and k / n >= 3.0e0 * greatest(worst_peer, 0.02e0) and p < 1e-3 flagged from p",
+)
+def negative_space(spark, sf_dir):
+    """Contributor c4 leaves out a third of its rows, c5 a ninth."""
+    who = F.col("l_suppkey") % 10
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), who.cast("string")).alias("contributor"), (F.col("l_partkey") % F.when(who == 4, 3).when(who == 5, 9).otherwise(40) == 0).alias("missed"))
+    return labels.negative_space(rows.where("missed"), rows).withColumn("p", F.round("p", 6))
+
+
 # ---- findings, rules, risk ----
 
 _RANK = "case severity when 'info' then 0 when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 end"
