@@ -144,12 +144,22 @@ def severity_by_size(n: Column) -> Column:
     return F.when(n >= 10, "high").when(n >= 3, "medium").otherwise("low")
 
 
+def document_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every document in a cluster of two or more, exact copies included: ``id``, ``hash``, ``cluster_id`` (smallest member).
+
+    ``rows``: id, hash; ``pairs``: those of the classes' smallest ids. A hash held
+    by two documents is a cluster even without a pair.
+    """
+    return rows.join(sized_classes(rows, clusters(pairs)).select("hash", "cluster_id"), "hash").select("id", "hash", "cluster_id")
+
+
 def cluster_stats(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Size, least distance, and severity of every cluster."""
-    of = members.select(F.col("id").alias("id_a"), "cluster_id")
-    least = pairs.join(of, "id_a").groupBy("cluster_id").agg(F.min("distance").alias("min_distance"))
-    size = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    return size.join(least, "cluster_id").withColumn("severity", severity_by_size(F.col("n")))
+    """Documents, least distance (0 where a hash repeats), and severity of every cluster. ``members``: those of ``document_clusters``."""
+    classes = members.groupBy("cluster_id", "hash").agg(F.count("*").alias("k"), F.min("id").alias("id_a"))
+    least = pairs.join(classes.select("id_a", "cluster_id"), "id_a").groupBy("cluster_id").agg(F.min("distance").alias("d"))
+    size = classes.groupBy("cluster_id").agg(F.sum("k").alias("n"), F.max("k").alias("most"))
+    apart = F.when(F.col("most") > 1, 0).otherwise(F.col("d")).alias("min_distance")
+    return size.join(least, "cluster_id", "left").select("cluster_id", "n", apart, severity_by_size(F.col("n")).alias("severity"))
 
 
 def sized_classes(rows: DataFrame, members: DataFrame) -> DataFrame:

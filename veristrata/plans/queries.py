@@ -42,7 +42,7 @@ _BITS = [f"{_count(c)} * 26 > {_TOTAL}" for c in similarity.LETTERS] + [f"{_coun
 HASH_SQL = "select doc_id as id, " + " + ".join(f"case when {b} then {1 << i} else 0 end::bigint" for i, b in enumerate(_BITS)) + " as hash from documents"
 CUT = 2
 PAIRS_SQL = f"h as materialized ({HASH_SQL}), r as materialized (select hash, min(id) id from h group by hash), pairs as materialized (select a.id id_a, b.id id_b, bit_count(xor(a.hash, b.hash))::int distance from r a join r b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= {CUT})"
-CLUSTERS_SQL = f"{PAIRS_SQL}, e as (select id_a a, id_b b from pairs union select id_b, id_a from pairs), reach as (select a id, a c from e union select e.b, reach.c from reach join e on e.a = reach.id), clusters as materialized (select id, min(c) cluster_id from reach group by id)"
+CLUSTERS_SQL = f"{PAIRS_SQL}, e as (select id_a a, id_b b from pairs union select id_b, id_a from pairs), reach as (select a id, a c from e union select e.b, reach.c from reach join e on e.a = reach.id), near as (select id, min(c) cluster_id from reach group by id), whole as (select h.id, h.hash, coalesce(near.cluster_id, r.id) cluster_id from h join r on h.hash = r.hash left join near on near.id = r.id), clusters as materialized (select id, hash, cluster_id from whole qualify count(*) over (partition by cluster_id) >= 2)"
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.hamming_pairs(one, CUT, agree=2)
 
 
+def _rows_and_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashes of all documents, and the pairs of hash classes; each is read more than once."""
+    rows = cut(_hashes(spark, sf_dir))
+    return rows, cut(similarity.hamming_pairs(rows.groupBy("hash").agg(F.min("id").alias("id")), CUT, agree=2))
+
+
 @query("F06_profile_hash", HASH_SQL)
 def profile_hash(spark, sf_dir):
     return _hashes(spark, sf_dir)
@@ -64,21 +70,21 @@ def hamming_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query("A63_clusters", f"with recursive {CLUSTERS_SQL} select * from clusters")
+@query("A63_clusters", f"with recursive {CLUSTERS_SQL} select id, cluster_id from clusters")
 def clusters(spark, sf_dir):
-    return similarity.clusters(_pairs(spark, sf_dir))
+    return similarity.document_clusters(*_rows_and_pairs(spark, sf_dir)).select("id", "cluster_id")
 
 
-@query("A31_cluster_stats", f"with recursive {CLUSTERS_SQL} select cluster_id, count(distinct id) n, min(distance) min_distance, case when count(distinct id) >= 10 then 'high' when count(distinct id) >= 3 then 'medium' else 'low' end severity from clusters join pairs on id in (id_a, id_b) group by cluster_id")
+@query("A31_cluster_stats", f"with recursive {CLUSTERS_SQL}, d as (select cluster_id, min(distance) d from clusters join pairs on id in (id_a, id_b) group by cluster_id) select cluster_id, count(*) n, case when count(distinct hash) < count(*) then 0 else any_value(d) end min_distance, case when count(*) >= 10 then 'high' when count(*) >= 3 then 'medium' else 'low' end severity from clusters left join d using (cluster_id) group by cluster_id")
 def cluster_stats(spark, sf_dir):
-    pairs = cut(_pairs(spark, sf_dir))
-    return similarity.cluster_stats(pairs, similarity.clusters(pairs))
+    rows, pairs = _rows_and_pairs(spark, sf_dir)
+    return similarity.cluster_stats(pairs, similarity.document_clusters(rows, pairs))
 
 
-@query("A32_label_conflicts", f"with recursive {CLUSTERS_SQL}, sets as (select cluster_id, id, lang label_set from clusters join documents on doc_id = id), n as (select cluster_id, label_set, count(*) n from sets group by all), ranked as (select *, row_number() over (partition by cluster_id order by n desc, label_set) k, count(*) over (partition by cluster_id) n_sets from n) select a.cluster_id, a.n_sets, a.label_set majority_set, a.n > b.n strict_majority from ranked a join ranked b on a.cluster_id = b.cluster_id and a.k = 1 and b.k = 2")
+@query("A32_label_conflicts", f"with recursive {CLUSTERS_SQL}, sets as (select cluster_id, id, source label_set from clusters join documents on doc_id = id), n as (select cluster_id, label_set, count(*) n from sets group by all), ranked as (select *, row_number() over (partition by cluster_id order by n desc, label_set) k, count(*) over (partition by cluster_id) n_sets from n) select a.cluster_id, a.n_sets, a.label_set majority_set, a.n > b.n strict_majority from ranked a join ranked b on a.cluster_id = b.cluster_id and a.k = 1 and b.k = 2")
 def label_conflicts(spark, sf_dir):
-    labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    return similarity.label_conflicts(similarity.clusters(_pairs(spark, sf_dir)), labels)
+    labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("label"))
+    return similarity.label_conflicts(similarity.document_clusters(*_rows_and_pairs(spark, sf_dir)).select("id", "cluster_id"), labels)
 
 
 _COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
@@ -368,8 +374,7 @@ def group_counts(spark, sf_dir):
 def contributor_ranking(spark, sf_dir):
     """Which sources have an abnormal flagged rate? Copies found by hash, clustered, routed, counted, and ranked by posterior interval."""
     docs = table(spark, sf_dir, "documents")
-    hashes = cut(_hashes(spark, sf_dir))  # used by the pairs, by the sizes and by the documents
-    pairs = cut(similarity.hamming_pairs(hashes.groupBy("hash").agg(F.min("id").alias("id")), CUT, agree=2))
+    hashes, pairs = _rows_and_pairs(spark, sf_dir)
     found = hashes.join(similarity.sized_classes(hashes, similarity.clusters(pairs)), "hash").select(
         F.col("id").cast("string").alias("target_ref"), F.lit("sample").alias("target_type"), F.lit("scan-0").alias("scan_id"), F.lit("copies.text").alias("detector_id"), F.lit("copies_near").alias("attack_class"),
         "severity", F.least(F.lit(0.95), F.lit(0.5) + F.col("cluster_n") / 20.0).alias("confidence"), F.lit(False).alias("calibrated"), F.lit("ran").alias("availability"),
