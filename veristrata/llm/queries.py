@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veristrata.llm import bpe, licenses, merkle, neardup, neighbours, packing, passages, pii, toxicity, wrappers
+from veristrata.llm import audit, bpe, exact, licenses, merkle, neardup, neighbours, packing, passages, pii, resample, toxicity, wrappers
 from veristrata.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_neighbours": op2_neighbours,
@@ -65,6 +77,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_resample": op13_resample,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op7_passages": passages.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op7_passages": passages.oracle(),
+    "op11_filter_audit": audit.oracle(),
+    "op12_exact_dedup": exact.oracle(),
+    "op13_resample": resample.oracle(),
+}
