@@ -6,6 +6,8 @@ import json
 from typing import Any
 
 MOST = 2**53 - 1
+#: Said of a value that is sound but written in another way.
+OTHER_FORM = "not in canonical form"
 
 
 def _pairs(found: list[tuple[str, Any]]) -> dict:
@@ -46,7 +48,7 @@ def parse(data: bytes) -> Any:
     """The value, if ``data`` is exactly its canonical form."""
     x = json.loads(data.decode("utf-8"), object_pairs_hook=_pairs, parse_float=_no_float, parse_constant=_no_float)
     if encode(x) != data:
-        raise ValueError("not in canonical form")
+        raise ValueError(OTHER_FORM)
     return x
 
 
