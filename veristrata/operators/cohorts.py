@@ -7,24 +7,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import stats
+from veristrata.operators.running import quantiles
 
 MAD_SCALE = 1.4826
 
 
 def robust_z(rows: DataFrame, by: list[str], value: str, floor: float = 0.1) -> DataFrame:
     """``z``: distance from the group's median in scaled MADs, the MAD kept from zero by ``floor``."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias("__m"))
-    one = rows.join(middle, by)
-    spread = one.groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("__m"))) * MAD_SCALE).alias("__s"))
-    return one.join(spread, by).withColumn("z", (F.col(value) - F.col("__m")) / F.greatest("__s", F.lit(floor))).drop("__m", "__s")
+    middle = quantiles(rows, value, [0.5], by).select(*by, F.get("quantiles", F.lit(0)).alias("__m"))
+    one = rows.join(middle, by, "left")
+    spread = quantiles(one.withColumn("__d", F.abs(F.col(value) - F.col("__m"))), "__d", [0.5], by).select(*by, (F.get("quantiles", F.lit(0)) * MAD_SCALE).alias("__s"))
+    return one.join(spread, by, "left").withColumn("z", (F.col(value) - F.col("__m")) / F.greatest("__s", F.lit(floor))).drop("__m", "__s")
 
 
 def mad_index(rows: DataFrame, value: str = "value") -> DataFrame:
     """How far each value lies below the median: (median - x) / max(MAD, 5 % of the median, 1e-9)."""
-    m = rows.agg(F.median(value).cast("double")).first()[0]
-    if m is None:
+    middle = quantiles(rows, value, [0.5]).first()
+    if middle is None:
         return rows.withColumn("anomaly_index", F.lit(None).cast("double"))
-    s = rows.agg(F.median(F.abs(F.col(value) - m)) * MAD_SCALE).first()[0]
+    m = middle["quantiles"][0]
+    s = quantiles(rows.select(F.abs(F.col(value) - m).alias("d")), "d", [0.5]).first()["quantiles"][0] * MAD_SCALE
     return rows.withColumn("anomaly_index", (F.lit(m) - F.col(value)) / max(s, m * 0.05, 1e-9))
 
 

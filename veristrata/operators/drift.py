@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions import stats
+from veristrata.operators.running import quantiles, running
+from veristrata.sources.session import cut
 
 #: Deciles cut the pooled values.
 QUANTILES = [i / 10 for i in range(1, 10)]
@@ -17,18 +19,22 @@ QUANTILES = [i / 10 for i in range(1, 10)]
 
 def bin_edges(values: DataFrame) -> DataFrame:
     """Inner edges of an axis: the different pooled deciles, exact linear interpolation. ``values``: axis, batch, value."""
-    return values.groupBy("axis").agg(F.array_sort(F.array_distinct(F.percentile("value", F.array(*(F.lit(q) for q in QUANTILES))))).alias("edges"))
+    return quantiles(values, "value", QUANTILES, ["axis"]).select("axis", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
 
 
 def bin_counts(values: DataFrame) -> DataFrame:
     """Counts of reference (batch 0) and incoming (batch 1) rows by axis and bin; bins are closed on the left, empty ones are absent."""
-    binned = values.join(F.broadcast(bin_edges(values)), "axis").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+    binned = values.join(bin_edges(values), "axis").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
     return binned.groupBy("axis", "bin").agg(F.count_if(F.col("batch") == 0).alias("n_ref"), F.count_if(F.col("batch") == 1).alias("n_inc"))
 
 
 def stability_index(values: DataFrame) -> DataFrame:
     """PSI by axis with half a count added to each bin: ``axis``, ``psi``, ``bins``, ``n_ref``, ``n_inc``."""
-    c = bin_counts(values)
+    return stability_of(cut(bin_counts(values)))
+
+
+def stability_of(c: DataFrame) -> DataFrame:
+    """The same of counts by axis and bin."""
     whole = c.groupBy("axis").agg(F.sum("n_ref").alias("n"), F.sum("n_inc").alias("m"), F.count("*").alias("bins"))
     p = (F.col("n_ref") + 0.5) / (F.col("n") + 0.5 * F.col("bins"))
     q = (F.col("n_inc") + 0.5) / (F.col("m") + 0.5 * F.col("bins"))
@@ -36,22 +42,25 @@ def stability_index(values: DataFrame) -> DataFrame:
 
 
 def ks_statistic(values: DataFrame) -> DataFrame:
-    """Largest distance of the two ECDFs, by axis. Equal values are combined first, so ties step together and a window row is a distinct value."""
+    """Largest distance of the two ECDFs, by axis. Equal values are combined first, so ties step together; running counts go over ranges of values."""
     each = values.groupBy("axis", "value").agg(F.count_if(F.col("batch") == 0).alias("r"), F.count_if(F.col("batch") == 1).alias("i"))
     total = each.groupBy("axis").agg(F.sum("r").alias("n"), F.sum("i").alias("m"))
-    run = Window.partitionBy("axis").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = each.withColumn("cr", F.sum("r").over(run)).withColumn("ci", F.sum("i").over(run)).join(F.broadcast(total), "axis")
+    steps = running(each, ["value"], {"cr": ("sum", F.col("r")), "ci": ("sum", F.col("i"))}, ["axis"]).join(total, "axis")
     return steps.groupBy("axis").agg(F.max(F.abs(F.col("cr") / F.col("n") - F.col("ci") / F.col("m"))).alias("ks"), F.first("n").alias("n_ref"), F.first("m").alias("n_inc"))
 
 
 def adjust_bh(p_values: DataFrame, family: str | None = None) -> DataFrame:
     """Benjamini-Hochberg: ``q`` beside ``p``. ``p_values``: name, p (and a family column)."""
     by = [family] if family else []
-    size = Window.partitionBy(*by)
-    rank = Window.partitionBy(*by).orderBy("p", "name")
-    back = Window.partitionBy(*by).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scaled = p_values.withColumn("rank", F.row_number().over(rank)).withColumn("scaled", F.col("p") * F.count("*").over(size) / F.col("rank"))
-    return scaled.withColumn("q", F.least(F.lit(1.0), F.min("scaled").over(back))).drop("scaled")
+    ranked = running(p_values, ["p", "name"], {"rank": ("sum", F.lit(1))}, by).withColumn("rank", F.col("rank").cast("int"))
+    # the smallest scaled value from a rank upwards; sizes are those of the last ranks
+    if family:
+        size = ranked.groupBy(family).agg(F.max("rank").alias("__n")).withColumnRenamed(family, "__family")
+        sized = ranked.join(size, F.col(family).eqNullSafe(F.col("__family"))).drop("__family")
+    else:
+        sized = ranked.withColumn("__n", F.lit(ranked.agg(F.max("rank")).first()[0]))
+    back = running(sized, ["p", "name"], {"__least": ("min", F.col("p") * F.col("__n") / F.col("rank"))}, by, backward=True)
+    return back.withColumn("q", F.least(F.lit(1.0), F.col("__least"))).drop("__least", "__n")
 
 
 def axis_summary(values: DataFrame) -> DataFrame:
@@ -97,8 +106,9 @@ def assess(values: DataFrame, alpha: float = 0.01, effect: float = 0.1, seed: in
 
     Statistics are distributed; p-values are worked out on one row an axis.
     """
-    found = stability_index(values).join(ks_statistic(values).drop("n_ref", "n_inc"), "axis")
-    low = bin_counts(values).groupBy("axis").agg(F.collect_list(F.struct("bin", "n_ref", "n_inc")).alias("cells"))
+    counts = cut(bin_counts(values))
+    found = stability_of(counts).join(ks_statistic(values).drop("n_ref", "n_inc"), "axis")
+    low = counts.groupBy("axis").agg(F.collect_list(F.struct("bin", "n_ref", "n_inc")).alias("cells"))
 
     def p_values(batches):
         for batch in batches:
@@ -113,7 +123,7 @@ def assess(values: DataFrame, alpha: float = 0.01, effect: float = 0.1, seed: in
                 out.append((row.axis, row.psi, row.ks, n, m, psi_p, ks_p, method))
             yield pd.DataFrame(out, columns=["axis", "psi", "ks", "n_ref", "n_inc", "psi_p", "ks_p", "ks_method"])
 
-    tested = found.join(low, "axis").mapInPandas(p_values, "axis string, psi double, ks double, n_ref long, n_inc long, psi_p double, ks_p double, ks_method string")
+    tested = cut(found.join(low, "axis").mapInPandas(p_values, "axis string, psi double, ks double, n_ref long, n_inc long, psi_p double, ks_p double, ks_method string"))
     long = tested.select("axis", F.explode(F.array(F.struct(F.lit("psi").alias("test"), F.col("psi_p").alias("p")), F.struct(F.lit("ks").alias("test"), F.col("ks_p").alias("p")))).alias("t")).select("axis", F.concat("axis", F.lit(":"), "t.test").alias("name"), "t.p")
     q = adjust_bh(long).groupBy("axis").agg(F.min("q").alias("q"))
     return tested.join(q, "axis").withColumn("material", (F.col("q") <= alpha) & (F.col("ks") >= effect))

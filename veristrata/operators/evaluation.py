@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+import json
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions import stats
+from veristrata.operators.running import running
 
+#: Families of attacks that are held out in turn.
+MOST_FAMILIES = 100_000
 Z95 = stats.normal_quantile(0.975)
 
 
@@ -24,29 +28,16 @@ def wilson_columns(k: Column, n: Column) -> tuple[Column, Column]:
 def auroc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the curve and Cliff's delta, ties counted half. ``rows``: score, attacked.
 
-    Equal scores are combined first; average ranks follow from running counts.
+    Equal scores are combined first; average ranks follow from running counts over ranges of scores.
     """
     by = by or []
     each = rows.groupBy(*by, "score").agg(F.count_if("attacked").alias("pos"), F.count_if(~F.col("attacked")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = each.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    wins = running(each, ["score"], {"upto": ("sum", F.col("neg"))}, by).withColumn("less", F.col("upto") - F.col("neg"))
     out = wins.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("less") + F.col("neg") * 0.5)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     area = F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg"))
     return out.select(*by, "n_pos", "n_neg", area.alias("auroc"), (area * 2 - 1).alias("cliffs_delta"))
 
 
-def bootstrap_auroc(scores: list[float], attacked: list[bool], draws: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval on a bounded list, with average ranks."""
-    s, y = np.asarray(scores), np.asarray(attacked)
-    pos, neg = s[y], s[~y]
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(draws):
-        a, b = rng.choice(pos, len(pos)), np.sort(rng.choice(neg, len(neg)))
-        out.append((np.searchsorted(b, a, "left") + np.searchsorted(b, a, "right")).mean() / (2 * len(b)))
-    return tuple(np.quantile(out, [0.025, 0.975]).tolist())
-
-
 def pick_threshold(rows: DataFrame, most_false: float = 0.05, points: int = 200) -> DataFrame:
     """Of an even grid of thresholds, the one of most hits with few enough false alarms; the first of equals.
 
@@ -73,9 +64,16 @@ def pick_threshold(rows: DataFrame, most_false: float = 0.05, points: int = 200)
 
 
 def leave_one_family_out(rows: DataFrame) -> DataFrame:
-    """For each family: the other families' attacked rows as ``train``, its own as ``test``; clean rows in both."""
-    families = sorted(r["family"] for r in rows.where("attacked and family is not null").select("family").distinct().limit(1000).collect())  # a handful of names
-    both = rows.withColumn("held", F.explode(F.array(*(F.lit(f) for f in families)).cast("array<string>")))
+    """For each family with attacked rows: the other families' attacked rows as ``train``, its own as ``test``; clean rows in both.
+
+    Every row goes into the split of every family, as the method asks: the result
+    is as many times the input. More than ``MOST_FAMILIES`` are an error, none is
+    left out.
+    """
+    families = [r["family"] for r in rows.where("attacked and family is not null").groupBy("family").count().limit(MOST_FAMILIES + 1).collect()]
+    if len(families) > MOST_FAMILIES:
+        raise ValueError(f"more than {MOST_FAMILIES} families: one model each is no plan")
+    both = rows.withColumn("held", F.explode(F.from_json(F.lit(json.dumps(sorted(families))), "array<string>")))  # one literal, however many
     part = F.when(~F.col("attacked"), F.array(F.lit("train"), F.lit("test"))).when(F.col("family") == F.col("held"), F.array(F.lit("test"))).otherwise(F.array(F.lit("train")))
     return both.withColumn("part", F.explode(part))
 

@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veristrata.operators.running import value_ranks
+
 
 def read_ledger(ledger: DataFrame, types: Iterable[str] = (), since: int | None = None) -> DataFrame:
     """Records of some types, after a sequence number."""
@@ -62,10 +64,8 @@ def gaps(rows: DataFrame, by: str, time: str, tie: str) -> DataFrame:
 
 def shares(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Each distinct value's share of rows at or below it (``ecdf``) and average rank (``mean_rank``, from 1; ties share theirs)."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.groupBy(by).agg(F.sum("n").alias("total"))
-    return counts.withColumn("upto", upto).join(total, by).select(by, value, "n", (F.col("upto") / F.col("total")).alias("ecdf"), (F.col("upto") - F.col("n") / 2 + 0.5).alias("mean_rank"))
+    ranked = value_ranks(rows, value, [by])
+    return ranked.select(by, value, "n", ((F.col("below") + F.col("n")) / F.col("total")).alias("ecdf"), F.col("average_rank").alias("mean_rank"))
 
 
 def top_by(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:

@@ -69,3 +69,21 @@ def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
         same = F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
         on = same if on is None else on & same
     return run.alias("l").join(whole.alias("r"), on).select(*(F.col(f"l.`{c}`") for c in by), f"l.{value}", "n", below, "total", average)
+
+
+def quantiles(rows: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``quantiles`` of each group, exact, by linear interpolation between ranks; nulls are left out, a group of nulls alone has no row.
+
+    Values are combined and ranked in ranges; of each group the few that hold a
+    wanted rank are kept. No task holds a group.
+    """
+    by = list(by)
+    ranked = value_ranks(rows.select(*by, F.col(value).cast("double").alias("__v")), "__v", by)
+    place = lambda q: F.lit(float(q)) * (F.col("total") - 1)
+    inside = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), inside(F.floor(place(q))).alias("lo"), inside(F.ceil(place(q))).alias("hi"), (place(q) - F.floor(place(q))).alias("part")) for i, q in enumerate(at)))
+    held = ranked.select(*by, "__v", F.explode(F.filter(wanted, lambda w: w["lo"] | w["hi"])).alias("w"))
+    ends = held.groupBy(*by, F.col("w.i").alias("i")).agg(F.max(F.when(F.col("w.lo"), F.col("__v"))).alias("lo"), F.max(F.when(F.col("w.hi"), F.col("__v"))).alias("hi"), F.first("w.part").alias("part"))
+    point = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    got = ends.withColumn("x", F.struct("i", point.alias("v"))).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("quantiles"))
+    return got.where(F.size("quantiles") == len(at))  # without groups, no rows are one row of nothing

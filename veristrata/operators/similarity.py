@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.operators.graph import connected_components
+from veristrata.operators.running import quantiles
 
 #: Bits of the text profile hash: letters above their mean share, letters mostly in the first half, frequent pairs.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -201,4 +202,5 @@ def reference_distance(queries: DataFrame, reference: DataFrame, k: int = 5) ->
 def leave_one_out_threshold(reference: DataFrame, k: int = 5, quantile: float = 0.99, factor: float = 1.15) -> float:
     """The distance from which a row counts as out of distribution, from the reference set itself."""
     inner = nearest(reference, reference, k).groupBy("query_id").agg((1 - F.avg("cosine")).alias("distance"))
-    return float(inner.agg((F.percentile("distance", quantile) * factor).alias("t")).first()["t"] or 0.0)
+    found = quantiles(inner, "distance", [quantile]).first()
+    return float(found["quantiles"][0] * factor) if found else 0.0

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veristrata.functions import scalars
-from veristrata.operators import cohorts, governance, ledger, reading, similarity
+from veristrata.functions import scalars, stats
+from veristrata.operators import cohorts, evaluation, governance, ledger, reading, resampling, similarity
 from veristrata.plans import inputs
 from veristrata.plans.queries import _LEDGER, _RANK, ROUTED_SQL, _routed, query
 from veristrata.sources.session import table
@@ -124,11 +124,45 @@ def effective_counts(spark, sf_dir):
 
 @query("A46_required_n", "with p as (select distinct p_size / 100.0e0 p1, p_size / 100.0e0 + 0.1 p2 from part), z as (select p1, p2, 1.959963984540054 * sqrt(2 * ((p1 + p2) / 2) * (1 - (p1 + p2) / 2)) + 0.8416212335729143 * sqrt(p1 * (1 - p1) + p2 * (1 - p2)) s from p) select p1, ceil(s * s / ((p1 - p2) * (p1 - p2)))::bigint n from z")
 def required_n(spark, sf_dir):
-    p1 = F.col("p1")
-    p2 = p1 + 0.1
-    mean = (p1 + p2) / 2
-    s = 1.959963984540054 * F.sqrt(2 * mean * (1 - mean)) + 0.8416212335729143 * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
-    return table(spark, sf_dir, "part").select((F.col("p_size") / 100.0).alias("p1")).distinct().select("p1", F.ceil(s * s / ((p1 - p2) * (p1 - p2))).cast("long").alias("n"))
+    @F.pandas_udf("long")
+    def needed(p1, p2):
+        import pandas as pd
+
+        return pd.Series([stats.required_n(a, b) for a, b in zip(p1, p2, strict=True)])
+
+    p = table(spark, sf_dir, "part").select((F.col("p_size") / 100.0).alias("p1")).distinct()
+    return p.select("p1", needed("p1", F.col("p1") + 0.1).alias("n"))
+
+
+@query("A06_permutation")
+def permutation(spark, sf_dir):
+    """Does the share of long documents differ between sources? Tests hold it against shuffled flags."""
+    return resampling.permutation_test(_docs(spark, sf_dir).withColumn("long", F.col("n_chars") > 2000), "source", "long")
+
+
+@query("A45_bootstrap_rate")
+def bootstrap_rate(spark, sf_dir):
+    """Share of rows returned by supplier, with percentile intervals; tests hold them against resampled rows."""
+    return resampling.bootstrap_rates(table(spark, sf_dir, "lineitem").withColumn("returned", F.col("l_returnflag") == "R"), "l_suppkey", "returned")
+
+
+@query("A48_bootstrap_interval")
+def bootstrap_interval(spark, sf_dir):
+    """Percentile interval of the area under the curve by family; tests hold it against resampled rows."""
+    return resampling.bootstrap_auroc(inputs.subjects(spark, sf_dir).select("family", "score", "attacked"), "family", draws=500)
+
+
+_AREA = "select {0} part, (sum(case when attacked then r end) - count(*) filter (attacked) * (count(*) filter (attacked) + 1) / 2) / (count(*) filter (attacked) * count(*) filter (not attacked))::double a from (select attacked, rank() over (order by {1}) + (count(*) over (partition by {1}) - 1) / 2 r from s)"
+
+
+@query("A52_ablation", f"with s as ({inputs.SUBJECTS_SQL}), p as (" + " union all ".join(_AREA.format(n, e) for n, e in (("'all'", "score + setting"), ("'score'", "setting"), ("'setting'", "score"))) + "), w as (select a from p where part = 'all') select part, round(p.a, 9) auroc, round(w.a - p.a, 9) loss, case when w.a - p.a > 0.01 then 'helps' when w.a - p.a < -0.01 then 'hurts' else 'no difference' end verdict from p, w where part <> 'all'")
+def ablation(spark, sf_dir):
+    """What the area loses with each part of a score taken away."""
+    s = inputs.subjects(spark, sf_dir)
+    area = lambda part, score: evaluation.auroc(s.select(score.cast("double").alias("score"), "attacked")).select(F.lit(part).alias("part"), "auroc")
+    score, setting = F.col("score"), F.col("setting")
+    out = evaluation.ablation(area("all", score + setting), area("score", setting).unionByName(area("setting", score)))
+    return out.withColumn("auroc", F.round("auroc", 9)).withColumn("loss", F.round("loss", 9))
 
 
 # ---- windows ----
