@@ -17,3 +17,29 @@ def test_copies_are_clusters(spark):
     found = {r["cluster_id"]: (r["n_sets"], r["majority_set"], r["strict_majority"]) for r in similarity.label_conflicts(members.select("id", "cluster_id"), labels).collect()}
     assert found == {1: (2, "b", True), 8: (2, "p", False)}
     assert similarity.document_clusters(rows.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_links_connect_what_pairs_do(spark):
+    """Dense hashes: stars give the clusters and least distances of all pairs, in rows that grow with the hashes."""
+    import random
+
+    rng = random.Random(8)
+    hashes = {rng.getrandbits(60)}
+    for _ in range(60):
+        h = rng.choice(sorted(hashes))
+        for _ in range(rng.randrange(1, 5)):
+            h ^= 1 << rng.randrange(60)
+        hashes.add(h)
+    centre = rng.getrandbits(60)
+    hashes |= {centre ^ (1 << i) for i in range(40)}  # all within two bits of each other
+    table = {i: h for i, h in enumerate(sorted(hashes))}
+    rows = spark.createDataFrame(list(table.items()), "id long, hash long")
+    want = {(a, b): (table[a] ^ table[b]).bit_count() for a in table for b in table if a < b and (table[a] ^ table[b]).bit_count() <= 2}
+    pairs = similarity.near_pairs(rows)
+    assert {(r["id_a"], r["id_b"]): r["distance"] for r in pairs.collect()} == want and pairs.count() == len(want) > 700
+    links = similarity.near_links(rows)
+    assert {(r["id_a"], r["id_b"]): r["distance"] for r in links.collect()}.items() <= want.items() and links.count() <= 61 * len(table)
+    found = lambda p: sorted((r["id"], r["cluster_id"]) for r in similarity.clusters(p).collect())
+    assert found(links) == found(pairs)
+    stats = lambda p: sorted(map(tuple, similarity.cluster_stats(p, similarity.document_clusters(rows, p)).collect()))
+    assert stats(links) == stats(pairs)

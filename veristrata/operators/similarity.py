@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.operators.graph import connected_components
@@ -78,6 +78,42 @@ def hamming_pairs(hashes: DataFrame, cut: int, agree: int = 1, bits: int = HASH_
     return joined.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), distance.alias("distance")).distinct()
 
 
+def balls(hashes: DataFrame, bits: int = HASH_BITS) -> DataFrame:
+    """Hashes by what lies one bit from them or nearer: ``z``, ``id``, ``hash``, and of each z's members their number ``n`` and their ``centre_id`` and ``centre_hash`` (z's own hash if it is one, else the one of the smallest id).
+
+    Two hashes lie within two bits exactly if they share such a z. A z has
+    ``bits`` + 1 members at most, however many hashes there are, so no key is
+    heavy, and each hash is sent ``bits`` + 1 times. ``hashes``: id, hash, hashes
+    distinct. Single members are left out.
+    """
+    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("hash").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    spread = hashes.select("id", "hash", F.explode(F.concat(F.array("hash"), flips)).alias("z"))
+    group = Window.partitionBy("z")
+    centre = F.min(F.struct((F.col("hash") != F.col("z")).alias("other"), "id", "hash")).over(group)
+    marked = spread.withColumn("n", F.count("*").over(group)).where("n > 1").withColumn("centre", centre)
+    return marked.select("z", "id", "hash", "n", F.col("centre.id").alias("centre_id"), F.col("centre.hash").alias("centre_hash"))
+
+
+def near_links(hashes: DataFrame, bits: int = HASH_BITS) -> DataFrame:
+    """Links that connect what all pairs within two bits would, as stars: ``id_a`` < ``id_b``, ``distance``.
+
+    Their number grows with the hashes and not with their pairs. Of hashes with a
+    neighbour at one bit every one has such a link, so the least distance of a
+    cluster is seen too.
+    """
+    b = balls(hashes, bits).where(F.col("id") != F.col("centre_id"))
+    return b.select(F.least("id", "centre_id").alias("id_a"), F.greatest("id", "centre_id").alias("id_b"), F.bit_count(F.col("hash").bitwiseXOR(F.col("centre_hash"))).alias("distance")).distinct()
+
+
+def near_pairs(hashes: DataFrame, bits: int = HASH_BITS) -> DataFrame:
+    """All pairs of hashes within two bits, each once: ``id_a`` < ``id_b``, ``distance``. A pair shares two places z; it is taken from the smaller one."""
+    b = balls(hashes, bits).select("z", "id", "hash")
+    x, y = b.alias("x"), b.alias("y")
+    apart = F.col("x.hash").bitwiseXOR(F.col("y.hash"))
+    both = x.join(y, (F.col("x.z") == F.col("y.z")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.z") < F.col("x.z").bitwiseXOR(apart)))
+    return both.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.bit_count(apart).alias("distance"))
+
+
 def hash_classes(rows: DataFrame) -> DataFrame:
     """``rows`` (id, hash) with ``class_id``, the smallest id of the same hash: copies meet here, not in pairs."""
     least = rows.groupBy("hash").agg(F.min("id").alias("class_id"))

@@ -50,14 +50,13 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _hashes(spark, sf_dir).groupBy("hash").agg(F.min("id").alias("id"))
-    return similarity.hamming_pairs(one, CUT, agree=2)
+    return similarity.near_pairs(_hashes(spark, sf_dir).groupBy("hash").agg(F.min("id").alias("id")))
 
 
-def _rows_and_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Hashes of all documents, and the pairs of hash classes; each is read more than once."""
+def _rows_and_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashes of all documents, and links that connect hash classes; each is read more than once."""
     rows = cut(_hashes(spark, sf_dir))
-    return rows, cut(similarity.hamming_pairs(rows.groupBy("hash").agg(F.min("id").alias("id")), CUT, agree=2))
+    return rows, cut(similarity.near_links(rows.groupBy("hash").agg(F.min("id").alias("id"))))
 
 
 @query("F06_profile_hash", HASH_SQL)
@@ -72,19 +71,19 @@ def hamming_pairs(spark, sf_dir):
 
 @query("A63_clusters", f"with recursive {CLUSTERS_SQL} select id, cluster_id from clusters")
 def clusters(spark, sf_dir):
-    return similarity.document_clusters(*_rows_and_pairs(spark, sf_dir)).select("id", "cluster_id")
+    return similarity.document_clusters(*_rows_and_links(spark, sf_dir)).select("id", "cluster_id")
 
 
 @query("A31_cluster_stats", f"with recursive {CLUSTERS_SQL}, d as (select cluster_id, min(distance) d from clusters join pairs on id in (id_a, id_b) group by cluster_id) select cluster_id, count(*) n, case when count(distinct hash) < count(*) then 0 else any_value(d) end min_distance, case when count(*) >= 10 then 'high' when count(*) >= 3 then 'medium' else 'low' end severity from clusters left join d using (cluster_id) group by cluster_id")
 def cluster_stats(spark, sf_dir):
-    rows, pairs = _rows_and_pairs(spark, sf_dir)
-    return similarity.cluster_stats(pairs, similarity.document_clusters(rows, pairs))
+    rows, links = _rows_and_links(spark, sf_dir)
+    return similarity.cluster_stats(links, similarity.document_clusters(rows, links))
 
 
-@query("A32_label_conflicts", f"with recursive {CLUSTERS_SQL}, sets as (select cluster_id, id, source label_set from clusters join documents on doc_id = id), n as (select cluster_id, label_set, count(*) n from sets group by all), ranked as (select *, row_number() over (partition by cluster_id order by n desc, label_set) k, count(*) over (partition by cluster_id) n_sets from n) select a.cluster_id, a.n_sets, a.label_set majority_set, a.n > b.n strict_majority from ranked a join ranked b on a.cluster_id = b.cluster_id and a.k = 1 and b.k = 2")
+@query("A32_label_conflicts", f"with recursive {CLUSTERS_SQL}, sets as (select cluster_id, id, array_to_string(list_sort(list_distinct(list_filter([source, lang], lambda x: x is not null))), ',') label_set from clusters join documents on doc_id = id), n as (select cluster_id, label_set, count(*) n from sets where label_set <> '' group by all), ranked as (select *, row_number() over (partition by cluster_id order by n desc, label_set) k, count(*) over (partition by cluster_id) n_sets from n) select a.cluster_id, a.n_sets, a.label_set majority_set, a.n > b.n strict_majority from ranked a join ranked b on a.cluster_id = b.cluster_id and a.k = 1 and b.k = 2")
 def label_conflicts(spark, sf_dir):
-    labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("label"))
-    return similarity.label_conflicts(similarity.document_clusters(*_rows_and_pairs(spark, sf_dir)).select("id", "cluster_id"), labels)
+    labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array("source", "lang")).alias("label")).where("label is not null")
+    return similarity.label_conflicts(similarity.document_clusters(*_rows_and_links(spark, sf_dir)).select("id", "cluster_id"), labels)
 
 
 _COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
@@ -374,8 +373,8 @@ def group_counts(spark, sf_dir):
 def contributor_ranking(spark, sf_dir):
     """Which sources have an abnormal flagged rate? Copies found by hash, clustered, routed, counted, and ranked by posterior interval."""
     docs = table(spark, sf_dir, "documents")
-    hashes, pairs = _rows_and_pairs(spark, sf_dir)
-    found = hashes.join(similarity.sized_classes(hashes, similarity.clusters(pairs)), "hash").select(
+    hashes, links = _rows_and_links(spark, sf_dir)
+    found = hashes.join(similarity.sized_classes(hashes, similarity.clusters(links)), "hash").select(
         F.col("id").cast("string").alias("target_ref"), F.lit("sample").alias("target_type"), F.lit("scan-0").alias("scan_id"), F.lit("copies.text").alias("detector_id"), F.lit("copies_near").alias("attack_class"),
         "severity", F.least(F.lit(0.95), F.lit(0.5) + F.col("cluster_n") / 20.0).alias("confidence"), F.lit(False).alias("calibrated"), F.lit("ran").alias("availability"),
     )
