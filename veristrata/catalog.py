@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.plans import chains, entries, more_queries, storage  # noqa: F401  register their queries
+from veristrata.plans import chains, entries, more_queries, probes, storage  # noqa: F401  register their queries
 from veristrata.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "contributor_ranking"

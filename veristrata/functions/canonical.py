@@ -72,3 +72,58 @@ def percent_decode(text: str) -> str:
             out.append(raw[i])
             i += 1
     return out.decode("utf-8")
+
+
+# ---- numbers of the JSON canonicalisation scheme ----
+
+
+def number(x: float) -> str:
+    """The shortest text that reads back as ``x``, in the form that RFC 8785 takes from ECMAScript. Not for NaN or infinities."""
+    if x != x or x in (float("inf"), float("-inf")):
+        raise ValueError("no JSON number")
+    if x == 0:
+        return "0"
+    mantissa, _, power = repr(abs(float(x))).partition("e")
+    whole, _, part = mantissa.partition(".")
+    digits = (whole + part).lstrip("0")
+    point = len(whole) + int(power or 0) - (len(whole + part) - len(digits))  # digits before the point
+    digits = digits.rstrip("0")
+    n, sign = len(digits), "-" if x < 0 else ""
+    if n <= point <= 21:
+        return sign + digits + "0" * (point - n)
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    power = f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    return f"{sign}{digits[0]}{'.' + digits[1:] if n > 1 else ''}{power}"
+
+
+def encode_any(x: Any) -> str:
+    """Canonical JSON of nested values with numbers of any kind; keys in order of their UTF-16 units, sets as sorted lists of texts, unknown things as their text."""
+    if isinstance(x, dict):
+        pairs = sorted(((str(k), v) for k, v in x.items()), key=lambda kv: kv[0].encode("utf-16-be"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{encode_any(v)}" for k, v in pairs) + "}"
+    if isinstance(x, (set, frozenset)):
+        return encode_any(sorted(map(str, x)))
+    if isinstance(x, (list, tuple)):
+        return "[" + ",".join(map(encode_any, x)) + "]"
+    if isinstance(x, bool) or x is None or isinstance(x, str):
+        return json.dumps(x, ensure_ascii=False)
+    if isinstance(x, int) and abs(x) > MOST:
+        raise ValueError("integer out of range")
+    return number(x) if isinstance(x, (int, float)) else json.dumps(str(x), ensure_ascii=False)
+
+
+def number_text(column: Any) -> Any:
+    """``number`` as a column function; null for null, NaN and infinities."""
+    import math
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("string")
+    def text(x):
+        return pd.Series([number(v) if v is not None and math.isfinite(v) else None for v in x], index=x.index, dtype=object)
+
+    return text(column)

@@ -104,13 +104,6 @@ def scans_changed(spark, sf_dir):
 # ---- counts ----
 
 
-@query("A60_recompute_tally", "select case when event_id % 6 = 0 then 'skipped' when event_id % 6 < 4 then 'match' else 'mismatch' end verdict, case when event_id % 6 = 0 then event_type end reason, count(*) n from events group by all")
-def recompute_tally(spark, sf_dir):
-    k = F.col("event_id") % 6
-    e = table(spark, sf_dir, "events").select(F.when(k == 0, "skipped").when(k < 4, "match").otherwise("mismatch").alias("verdict"), F.when(k == 0, F.col("event_type")).alias("reason"))
-    return e.groupBy("verdict", "reason").agg(F.count("*").alias("n"))
-
-
 @query("A64_distinct_operators", f"with f as ({inputs.FINDINGS_SQL}) select scan_id, list_sort(list(distinct detector_id)) detectors, list_sort(list(distinct batch)) batches from f group by scan_id")
 def distinct_operators(spark, sf_dir):
     return inputs.findings(spark, sf_dir).groupBy("scan_id").agg(F.sort_array(F.collect_set("detector_id")).alias("detectors"), F.sort_array(F.collect_set("batch")).alias("batches"))
