@@ -6,13 +6,15 @@ Nothing outside ``veristrata.llm`` imports this subpackage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.sources.session import checkpoint_dir, cut, table
 
-__all__ = ["checkpoint_folder", "cut", "in_batches", "stored", "table", "text_or_empty"]
+__all__ = ["checkpoint_folder", "cut", "in_batches", "in_blocks", "stored", "table", "text_or_empty"]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -33,6 +35,22 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def in_blocks(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``rows`` (the last one may be smaller), however Arrow cut them."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        while len(batch):
+            part, batch = batch.iloc[: rows - size], batch.iloc[rows - size :]
+            held.append(part)
+            size += len(part)
+            if size == rows:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder, in ``parts`` if named, and read it back."""
     spark = df.sparkSession

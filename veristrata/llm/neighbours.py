@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import checkpoint_folder, stored
+from veristrata.llm.common import checkpoint_folder, in_blocks, stored
 
 WIDTH, CENTRES = 2, 16
 #: The sample that centres are fitted on, and the fit's passes.
@@ -255,20 +255,19 @@ def search_block(index: DataFrame, book: Codebook, ids: np.ndarray, queries: np.
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         nearest = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
-        for batch in batches:
-            for rows in (batch.iloc[i : i + ROWS] for i in range(0, len(batch), ROWS)):
-                rows = rows.sort_values("id", kind="stable")
-                own, x = rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy())
-                first, of, start, size = distinct(x)
-                # of a class, k rows besides the query's own can go on
-                size = np.minimum(size, k + int(np.unique(own, return_counts=True)[1].max()))
-                x = x[first]
-                packed = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)[first]
-                _, norm = book.parts(x)
-                for at in range(0, len(ids), QUERIES):
-                    scores = np.ascontiguousarray(scan(packed, norm, tables(book, q[at : at + QUERIES])).T)
-                    for j, score in enumerate(scores, at):
-                        nearest[j] = merge(nearest[j], best(score, ids[j], q[j], own, x, of, start, size), k)
+        for rows in in_blocks(batches, ROWS):
+            rows = rows.sort_values("id", kind="stable")
+            own, x = rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy())
+            first, of, start, size = distinct(x)
+            # of a class, k rows besides the query's own can go on
+            size = np.minimum(size, k + int(np.unique(own, return_counts=True)[1].max()))
+            x = x[first]
+            packed = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)[first]
+            _, norm = book.parts(x)
+            for at in range(0, len(ids), QUERIES):
+                scores = np.ascontiguousarray(scan(packed, norm, tables(book, q[at : at + QUERIES])).T)
+                for j, score in enumerate(scores, at):
+                    nearest[j] = merge(nearest[j], best(score, ids[j], q[j], own, x, of, start, size), k)
         yield pd.DataFrame({"query_id": np.repeat(ids, [len(d) for d, _ in nearest]), "vec_id": np.concatenate([i for _, i in nearest]), "score": np.concatenate([d for d, _ in nearest])})
 
     def best(score: np.ndarray, id_: int, q: np.ndarray, own: np.ndarray, x: np.ndarray, of: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,4 +305,5 @@ def nearest_of_hundredth(rows: DataFrame, k: int = 10) -> DataFrame:
     """The query: rows whose id is divisible by 100, against all others."""
     index, book = build_index(rows)
     index = stored(index, "vectors")
-    return search(index, book, index.where("id % 100 = 0").groupBy("id").agg(F.min("vector").alias("vector")), k)
+    queries = stored(index.where("id % 100 = 0").groupBy("id").agg(F.min("vector").alias("vector")), "queries")  # read once a block
+    return search(index, book, queries, k)

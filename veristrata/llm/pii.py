@@ -48,8 +48,8 @@ KINDS = ("email", "ip", "card", "phone")
 MORE = ("id", "iban", "secret")
 #: Training sample: so many documents with a digit or an at sign, none above so many characters; and so many written cases.
 SAMPLE_DOCS, SAMPLE_CHARS, CASES = 300, 20_000, 700
-#: Longest segment of digits and separators, and of a key, in characters.
-LONGEST, LONGEST_KEY = 40, 512
+#: Longest segment of digits and separators, in characters. Keys and passwords are taken whole, however long.
+LONGEST = 40
 EPOCHS, RATE, DECAY = 80, 0.7, 1e-3
 #: What a span must score above nothing.
 MARGIN = 1.5
@@ -122,7 +122,8 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:
 IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 LETTERED_ID = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[A-Z](?![A-Za-z0-9])")
 KEY = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+=/-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+")
-VALUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,2}[:=]\x20{0,2}[\"']?([^\s\"',;]{6,64})")
+TOKEN = re.compile(r"eyJ[A-Za-z0-9_=-]++(?:\.[A-Za-z0-9_=-]++)++")
+VALUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,2}[:=]\x20{0,2}[\"']?([^\s\"',;]{6,}+)")
 #: Words before a segment that tell of its kind.
 CONTEXT = {
     "email": "email e-mail mail contact write".split(),
@@ -269,14 +270,17 @@ def lettered(text: str) -> Iterator[Candidate]:
         yield make("iban", *m.span(), [f"sum{int(''.join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1}", f"size{15 <= len(value) <= 34}"])
     for m in LETTERED_ID.finditer(text):
         yield make("id", *m.span(), ["lettered", f"last{m[0][-1] in 'ABCD'}"])
-    taken = set()
+    taken, past = set(), 0
     for m in KEY.finditer(text):
         start, end = m.start(), m.end()
+        if start < past:
+            continue
+        if text.startswith("eyJ", start) and (joined_parts := TOKEN.match(text, start)):  # the parts of a signed token are one secret
+            end = past = joined_parts.end()
         while end > start and text[end - 1] in "-=/+" and not text[end - 1] == "=":
             end -= 1
-        if end - start <= LONGEST_KEY:
-            taken.add((start, end))
-            yield make("secret", start, end, key_features(text, start, end))
+        taken.add((start, end))
+        yield make("secret", start, end, key_features(text, start, end))
     if "=" in text or ":" in text:
         for m in VALUE.finditer(text):
             if m.span(1) not in taken:
