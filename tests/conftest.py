@@ -70,3 +70,12 @@ def same(spark, duck):
         assert rows_of(function(spark, SMALL).toPandas()) == rows_of(duck.sql(sql).df())
 
     return check
+
+
+@pytest.fixture
+def rocks(spark):
+    """Stateful processors keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)

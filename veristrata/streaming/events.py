@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veristrata.operators import drift, governance
@@ -18,22 +19,6 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """State of every finding after each micro-batch. Order inside a batch is by ``seq``, never by clock; the state is small JSON.
-
-    Actions on targets are left to a stream of their own; an approval that names none of the finding's changes alters nothing but ``last_seq``.
-    """
-
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else governance.new_state(key[0], "review")
-        rows = pd.concat(list(batches)).sort_values("seq").to_dict("records")
-        s = governance.fold_all(s, ({k: None if pd.isna(v) else v for k, v in r.items()} for r in rows))
-        state.update((json.dumps(s),))
-        yield governance._frame([s], governance.STATE)
-
-    return events.where(~F.col("action").isin(*governance.ON_TARGETS)).groupBy("finding_id").applyInPandasWithState(run, governance.STATE, "state string", "update", GroupStateTimeout.NoTimeout)
-
-
 def append_once(events: DataFrame) -> DataFrame:
     """Requests are remembered for ever, as the append contract asks."""
     return events.dropDuplicates(["request_id"])
@@ -99,22 +84,74 @@ def merkle_stream(records: DataFrame) -> DataFrame:
     return records.groupBy("ledger_id").applyInPandasWithState(run, "ledger_id string, size long, root string", "size long, stack string", "update", GroupStateTimeout.NoTimeout)
 
 
-def nonce_stream(records: DataFrame) -> DataFrame:
-    """Repeats of a nonce inside an anchoring interval; an ``anchor_event`` row closes the interval after itself."""
+class NonceWindow(StatefulProcessor):
+    """Per ledger: nonces of the anchoring interval that is open, as map entries, and the last number.
 
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(json.loads(state.get[0])) if state.exists else set()
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.nonce in seen:
-                out.append((key[0], row.seq, row.nonce))
-            seen.add(row.nonce)
+    A nonce costs one entry, read and written alone; an anchor clears the map and
+    opens the next interval with its own nonce.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "nonce string", "seq long")
+        self.last = handle.getValueState("last", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of Spark's protocol
+        out: list[tuple] = []
+        last = self.last.get()[0] if self.last.exists() else -1
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            if row.seq > last + 1:
+                out.append((key[0], row.seq, "missing", None, row.seq - last - 1))
+            if row.type == "degraded_marker":
+                out.append((key[0], row.seq, "declared_gap", None, None))
+            if self.seen.containsKey((row.nonce,)):
+                out.append((key[0], row.seq, "nonce_reuse", row.nonce, self.seen.getValue((row.nonce,))[0]))
             if row.type == "anchor_event":
-                seen = set()
-        state.update((json.dumps(sorted(seen)),))
-        yield pd.DataFrame(out, columns=["ledger_id", "seq", "nonce"])
+                self.seen.clear()
+            self.seen.updateValue((row.nonce,), (int(row.seq),))
+            last = max(last, int(row.seq))
+        self.last.update((last,))
+        yield pd.DataFrame(out, columns=["ledger_id", "seq", "kind", "nonce", "about"]).astype({"about": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+WATCHED = "ledger_id string, seq long, kind string, nonce string, about long"
 
-    return records.groupBy("ledger_id").applyInPandasWithState(run, "ledger_id string, seq long, nonce string", "seen string", "append", GroupStateTimeout.NoTimeout)
+
+def watch_stream(records: DataFrame) -> DataFrame:
+    """What can be told of ledgers as they grow: ``nonce_reuse`` (about: the number that used it first), ``missing`` (about: how many numbers) and ``declared_gap``.
+
+    ``records``: ledger_id, seq, type, nonce. State is kept by Spark's RocksDB
+    store, which the session must name as its state store.
+    """
+    return records.groupBy("ledger_id").transformWithStateInPandas(NonceWindow(), WATCHED, "Append", "None")
+
+
+class FoldState(StatefulProcessor):
+    """Per finding: its state as one typed value."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", governance.STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = [c.split()[0] for c in governance.STATE.split(", ")]
+        plain = lambda v: list(v) if isinstance(v, (list, tuple)) else v
+        s = dict(zip(names, map(plain, self.state.get()), strict=True)) if self.state.exists() else governance.new_state(key[0], "review")
+        s = governance.fold_all(s, governance._records(pd.concat(list(rows))))
+        self.state.update(tuple(s[n] for n in names))
+        yield governance._frame([s], governance.STATE)
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(events: DataFrame) -> DataFrame:
+    """State of every finding after each micro-batch. Order inside a batch is by ``seq``, never by clock.
+
+    Actions on targets are left to a stream of their own; an approval that names none of the finding's changes alters nothing but ``last_seq``.
+    """
+    return events.where(~F.col("action").isin(*governance.ON_TARGETS)).groupBy("finding_id").transformWithStateInPandas(FoldState(), governance.STATE, "Update", "None")
 
 
 def drift_stream(incoming: DataFrame, reference: DataFrame, sink: Callable[[DataFrame, int], None]):
