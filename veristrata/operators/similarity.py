@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veristrata.operators.graph import connected_components
 from veristrata.operators.running import quantiles
+from veristrata.sources.session import cut
 
 #: Bits of the text profile hash: letters above their mean share, letters mostly in the first half, frequent pairs.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -134,24 +136,33 @@ def confirm_pairs(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFra
     return pairs.join(a, "id_a").join(b, "id_b").withColumn("cosine", cosine(F.col("va"), F.col("vb"))).where(F.col("cosine") >= least).drop("va", "vb")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same_table: bool = True) -> DataFrame:
-    """Exact k nearest by cosine: ``query_id``, ``rank``, ``id``, ``cosine``; ties to the smaller id, a row isn't its own neighbour.
+#: Pivots of a nearest-neighbour search at most, and rows for each while there are fewer.
+MOST_PIVOTS, PIVOT_ROWS = 1024, 1024
+#: Rounding of distances that is allowed for when cells are left out.
+SLACK = 1e-7
+
+
+def _unit(vectors: pd.Series, zero_at: int) -> np.ndarray:
+    """Unit vectors with two coordinates more, one of which is 1 for a zero vector: on either side another, so that its cosine with anything is 0."""
+    x = np.stack(vectors.to_numpy()).astype(float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    more = np.zeros((len(x), 2))
+    more[norm[:, 0] == 0, zero_at] = 1.0
+    return np.hstack([x / np.where(norm == 0, 1.0, norm), more])
 
-    Both sides are dealt into blocks; every pair of blocks meets once, as a
-    matrix product, and leaves its k best a query. Memory in a task is two
-    blocks, whatever the number of rows. Inputs: id, vector.
-    """
-    nq, nr = max(1, math.ceil(queries.count() / block)), max(1, math.ceil(rows.count() / block))
-    left = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("j"))
-    right = rows.select("id", "vector", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nr)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"))
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of unit vectors."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+
+
+def _best(k: int, same_table: bool):
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        """Of one group of queries, the ``k`` nearest in one block of rows."""
         empty = pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "id": np.zeros(0, dtype=np.int64), "cosine": np.zeros(0)})
         if not len(q) or not len(r):
             return empty
-        a, b = np.stack(q["vector"].to_numpy()).astype(float), np.stack(r["vector"].to_numpy()).astype(float)
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+        a, b = _unit(q["vector"], 0), _unit(r["vector"], 1)
         ids, out = r["id"].to_numpy(), []
         for at in range(0, len(q), 256):
             s = a[at : at + 256] @ b.T
@@ -164,9 +175,86 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
                 out.append(pd.DataFrame({"query_id": np.full(len(pick), qid), "id": ids[pick], "cosine": row[pick]}))
         return pd.concat(out, ignore_index=True)
 
-    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, id long, cosine double")
+    return best
+
+
+def _meet(asked: DataFrame, rows: DataFrame, sizes: dict[int, int], k: int, block: int, same_table: bool) -> DataFrame:
+    """Queries and the rows of the cells that they ask for, block by block. Both: id, vector, cell. A cell of any size, or one that any number ask for, is many blocks."""
+    spark = asked.sparkSession
+    wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_PIVOTS rows at most
+    table = [(c, max(1, math.ceil(n / block)), max(1, math.ceil(sizes.get(c, 0) / block))) for c, n in wanted.items()]
+    parts = F.broadcast(spark.createDataFrame(table, "cell int, nq int, nr int"))
+    left = asked.join(parts, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col("nq")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
+    right = rows.join(parts, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nr")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"))
+    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(_best(k, same_table), "query_id long, id long, cosine double")
+
+
+def _top(parts: DataFrame, k: int) -> DataFrame:
     order = F.struct((-F.col("cosine")).alias("far"), "id")
-    top = parts.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("near"))
+    return parts.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("near"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same_table: bool = True, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """Exact k nearest by cosine: ``query_id``, ``rank``, ``id``, ``cosine``; ties to the smaller id, a row isn't its own neighbour.
+
+    Rows are dealt to cells by the nearest of a bounded number of pivots (rows of
+    smallest hash). A query is compared with its own cell first; the k-th distance
+    found there and the cells' radii rule out, by the triangle inequality, cells
+    that can't hold a nearer row. What is left is compared, as matrix products of
+    blocks. On data with clusters few cells are left; on data without any the work
+    is that of all blocks, and results are the same. Inputs: id, vector.
+    """
+    # the pivots: MOST_PIVOTS rows at most
+    n = rows.count()
+    pivots = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(max(1, min(MOST_PIVOTS, n // pivot_rows))).toPandas()
+    shape = "query_id long, rank int, id long, cosine double"
+    if not len(pivots):
+        return rows.sparkSession.createDataFrame([], shape)
+    marks = _unit(pivots["vector"], 1)
+    schema = f"id long, vector {dict(rows.dtypes)['vector']}, cell int, away double"
+
+    def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in (batch.iloc[i : i + 2048] for i in range(0, len(batch), 2048)):
+                d = _apart(_unit(part["vector"], 1), marks)
+                cell = d.argmin(1)
+                yield pd.DataFrame({"id": part["id"], "vector": part["vector"], "cell": cell.astype(np.int32), "away": d[np.arange(len(d)), cell]})
+
+    dealt = cut(rows.select("id", "vector").mapInPandas(deal, schema))
+    stats = {r["cell"]: (r["n"], r["radius"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    sizes = {c: size for c, (size, _) in stats.items()}
+    radius = np.array([stats[c][1] if c in stats else -np.inf for c in range(len(marks))])
+
+    def own(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in (batch.iloc[i : i + 2048] for i in range(0, len(batch), 2048)):
+                d = _apart(_unit(part["vector"], 0), marks)
+                d[:, np.isinf(radius)] = np.inf
+                yield pd.DataFrame({"id": part["id"], "vector": part["vector"], "cell": d.argmin(1).astype(np.int32)})
+
+    asked = queries.select("id", "vector").mapInPandas(own, schema.replace(", away double", ""))
+    rows_in = dealt.select("id", "vector", "cell")
+    if len(stats) == 1:
+        top = _top(_meet(asked, rows_in, sizes, k, block, same_table), k)
+    else:
+        asked = cut(asked)
+        first = cut(_meet(asked, rows_in, sizes, k, block, same_table))
+        kth = _top(first, k).select(F.col("query_id").alias("id"), F.when(F.size("near") == k, -F.element_at("near", -1)["far"]).alias("kth"))
+
+        def further(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A query once for each other cell that may hold a row as near as its k-th."""
+            for batch in batches:
+                for part in (batch.iloc[i : i + 512] for i in range(0, len(batch), 512)):
+                    d = _apart(_unit(part["vector"], 0), marks)
+                    bound = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * part["kth"].astype(float).to_numpy()))
+                    open_ = d - radius <= np.where(np.isnan(bound), np.inf, bound)[:, None] + SLACK
+                    open_[np.arange(len(part)), part["cell"].to_numpy()] = False
+                    open_[:, np.isinf(radius)] = False
+                    i, cell = np.nonzero(open_)
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[i], "vector": part["vector"].to_numpy()[i], "cell": cell.astype(np.int32)})
+
+        wider = cut(asked.join(kth, "id", "left").mapInPandas(further, schema.replace(", away double", "")))
+        top = _top(first.unionByName(_meet(wider, rows_in, sizes, k, block, same_table)), k)
     return top.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("id"), (-F.col("x.far")).alias("cosine"))
 
 
