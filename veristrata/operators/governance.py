@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.operators.risk import DISPOSITIONS, SEVERITIES, rank_of
+from veristrata.operators.risk import DISPOSITIONS, SEVERITIES, rank_of, verdict
+from veristrata.operators.running import running
 
 # Actions of the workflow and codes of its checks.
 ACTIONS = ("assign", "acknowledge", "override", "approve", "quarantine", "release")
@@ -28,7 +29,22 @@ def page_of_findings(findings: DataFrame, limit: int = 50, offset: int = 0, disp
 
 
 def scans_newest_first(scans: DataFrame) -> DataFrame:
-    return scans.orderBy(F.desc("created_at"), F.desc("scan_id"))
+    """All scans with their ``place`` in the list, the newest first; equal times by the larger id."""
+    return running(scans, ["created_at", "scan_id"], {"place": ("sum", F.lit(1).cast("long"))}, backward=True)
+
+
+def findings_by_severity(findings: DataFrame) -> DataFrame:
+    """All findings with their ``place``: by severity (gravest first), confidence and id. For one page alone see ``page_of_findings``."""
+    keyed = findings.withColumn("__grave", -rank_of(F.col("severity"), SEVERITIES)).withColumn("__sure", -F.col("confidence"))
+    return running(keyed, ["__grave", "__sure", "finding_id"], {"place": ("sum", F.lit(1).cast("long"))}).drop("__grave", "__sure")
+
+
+def qualified_verdict(findings: DataFrame) -> DataFrame:
+    """One line a scan: its verdict, and how much of it was assessed. A verdict without its coverage would say too much."""
+    of = lambda v: F.count_if(F.col("availability") == v)
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("n"), of("ran").alias("ran"), of("error").alias("crashed"), of("unavailable").alias("not_assessed"))
+    line = F.format_string("%s (%d of %d assessed; %d crashed; %d not assessed)", "verdict", "ran", "n", "crashed", "not_assessed")
+    return verdict(findings).join(counts, "scan_id").select("scan_id", "ran", "crashed", "not_assessed", F.when(F.col("ran") == F.col("n"), F.concat("verdict", F.lit(" (all assessed)"))).otherwise(line).alias("line"))
 
 
 def seal_check(scans: DataFrame, records: DataFrame) -> DataFrame:

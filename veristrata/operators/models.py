@@ -40,6 +40,11 @@ def confusion_asymmetry(predictions: DataFrame) -> DataFrame:
     return n.join(into, "label", "left").join(out, "label", "left").select("label", (F.coalesce("i", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))).alias("asymmetry"))
 
 
+def top_suspects(asymmetry: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` classes that draw most from others; ties to the smaller label."""
+    return asymmetry.orderBy(F.desc("asymmetry"), "label").limit(k)
+
+
 def class_collapse(predictions: DataFrame) -> DataFrame:
     g = predictions.groupBy("predicted").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("right"))
     return g.agg((F.sum("right") / F.sum("n")).alias("accuracy"), F.count("*").alias("used_classes"), (F.max("n") / F.sum("n")).alias("top_share"))

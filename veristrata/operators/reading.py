@@ -68,6 +68,26 @@ def shares(rows: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.select(by, value, "n", ((F.col("below") + F.col("n")) / F.col("total")).alias("ecdf"), F.col("average_rank").alias("mean_rank"))
 
 
+#: Ids of a bucket, as a power of two, and how many levels of buckets an id of 63 bits needs.
+BUCKET_BITS, BUCKET_LEVELS = 12, 4
+
+
+def ordered_digest(rows: DataFrame, by: str, key: str, text: Column, name: str = "digest") -> DataFrame:
+    """One digest of each group's texts in the order of a whole-number ``key``: of buckets of ids first, then of buckets' digests.
+
+    A task holds the texts of one bucket. The same ids in the same buckets give
+    the same digest, whatever else the table holds. Keys that aren't unique are
+    ordered by their texts.
+    """
+    level = rows.select(by, F.col(key).alias("__k"), text.alias("__t"))
+    for _ in range(BUCKET_LEVELS):
+        up = F.shiftright("__k", BUCKET_BITS).alias("__up")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__t"))), lambda x: x["__t"]), "|")
+        level = level.groupBy(by, up).agg(F.sha2(joined.cast("binary"), 256).alias("__t")).withColumnRenamed("__up", "__k")
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__t"))), lambda x: x["__t"]), "|")
+    return level.groupBy(by).agg(F.sha2(top.cast("binary"), 256).alias(name))
+
+
 def top_by(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group, with their ``place``; Spark limits groups before the shuffle too."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= k)

@@ -147,6 +147,12 @@ def priors_without_own(n: np.ndarray, k: np.ndarray, baseline: np.ndarray) -> tu
     return rate, strength
 
 
+def contributor_disposition(ci_low: Column, prior: Column, mean: Column, quarantine_mean: float = 0.25) -> Column:
+    """Groups whose interval lies above what was expected are quarantined if their mean is high, else reviewed."""
+    above = F.coalesce(ci_low > prior, F.lit(False))
+    return F.when(above & (mean >= quarantine_mean), "quarantine").when(above, "review").otherwise("accept")
+
+
 def rank_groups(counts: DataFrame, quarantine_mean: float = 0.25) -> DataFrame:
     """Every group's posterior share with a 95 % interval, ranked by the interval's low end.
 
@@ -164,12 +170,12 @@ def rank_groups(counts: DataFrame, quarantine_mean: float = 0.25) -> DataFrame:
         a, b = rate * strength + k, (1 - rate) * strength + n - k
         ends = [(stats.beta_quantile(0.025, x, y), stats.beta_quantile(0.975, x, y)) for x, y in zip(a, b, strict=True)]
         out = part[["kind", "group", "n", "k"]].assign(prior_rate=rate, prior_strength=strength, mean=a / (a + b), ci_low=[e[0] for e in ends], ci_high=[e[1] for e in ends], outlier=stands)
-        above = out["ci_low"] > out["prior_rate"]
-        out["disposition"] = np.where(above & (out["mean"] >= quarantine_mean), "quarantine", np.where(above, "review", "accept"))
         out = out.sort_values(["ci_low", "mean", "group"], ascending=[False, False, True]).reset_index(drop=True)
         return out.assign(rank=(out.index + 1).astype("int32"))
 
-    return counts.groupBy("kind").applyInPandas(one, "kind string, group string, n long, k long, prior_rate double, prior_strength double, mean double, ci_low double, ci_high double, outlier boolean, disposition string, rank int")
+    ranked = counts.groupBy("kind").applyInPandas(one, "kind string, group string, n long, k long, prior_rate double, prior_strength double, mean double, ci_low double, ci_high double, outlier boolean, rank int")
+    disposition = contributor_disposition(F.col("ci_low"), F.col("prior_rate"), F.col("mean"), quarantine_mean)
+    return ranked.select("kind", "group", "n", "k", "prior_rate", "prior_strength", "mean", "ci_low", "ci_high", "outlier", disposition.alias("disposition"), "rank")
 
 
 def calibrate(findings: DataFrame, steps: DataFrame) -> DataFrame:

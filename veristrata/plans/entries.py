@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veristrata.functions import scalars, stats
-from veristrata.operators import cohorts, evaluation, governance, ledger, reading, resampling, similarity
+from veristrata.operators import cohorts, evaluation, governance, ledger, models, reading, resampling, risk, similarity
 from veristrata.plans import inputs
 from veristrata.plans.queries import _LEDGER, _RANK, ROUTED_SQL, _routed, query
 from veristrata.sources.session import table
@@ -34,10 +34,13 @@ def uncalibrated_cap(spark, sf_dir):
     return _routed(spark, sf_dir).where("not calibrated").select("finding_id", "disposition")
 
 
-@query("P16_contributor_disposition", "select source, sum(n_chars) / count(*) / 4000 mean, case when sum(n_chars) / count(*) / 4000 >= 0.25 and min(n_chars) < 200 then 'quarantine' when min(n_chars) < 200 then 'review' else 'accept' end disposition from documents group by source")
+@query("P16_contributor_disposition", "with g as (select source, count(*) n, count(*) filter (n_chars > 2500) k from documents group by source), r as (select source, n, k, k / n as mean, (sum(k) over ()) / (sum(n) over ()) prior, 1.959963984540054 z from g), w as (select *, (mean + z * z / (2 * n)) / (1 + z * z / n) mid, z / (1 + z * z / n) * sqrt(mean * (1 - mean) / n + z * z / (4.0e0 * n * n)) half from r) select source, mean, case when greatest(0, least(mid - half, mean)) > prior then case when mean >= 0.25 then 'quarantine' else 'review' end else 'accept' end disposition from w")
 def contributor_disposition(spark, sf_dir):
-    g = _docs(spark, sf_dir).groupBy("source").agg((F.sum("n_chars") / F.count("*") / 4000).alias("mean"), (F.min("n_chars") < 200).alias("outside"))
-    return g.select("source", "mean", F.when(F.col("outside") & (F.col("mean") >= 0.25), "quarantine").when(F.col("outside"), "review").otherwise("accept").alias("disposition"))
+    """Sources by the interval of their share of long documents against the share of all."""
+    counts = cohorts.share_against_rest(_docs(spark, sf_dir), "source", F.col("n_chars") > 2500)
+    all_n, all_k = counts.agg(F.sum("n"), F.sum("k")).first()
+    low = evaluation.wilson_columns(F.col("k").cast("double"), F.col("n").cast("double"))[0]
+    return counts.select("source", F.col("share").alias("mean"), risk.contributor_disposition(low, F.lit((all_k or 0) / max(1, all_n or 0)), F.col("share")).alias("disposition"))
 
 
 @query("P18_severity_by_size", "select n_chars, count(*) n, case when count(*) >= 10 then 'high' when count(*) >= 3 then 'medium' else 'low' end severity from documents group by n_chars having count(*) > 1")
@@ -205,13 +208,10 @@ def checkpoint_cadence(spark, sf_dir):
 # ---- order and samples ----
 
 
-@query("O02_scans_newest_first", "select o_orderkey scan_id, (row_number() over (order by o_orderdate desc, o_orderkey desc))::int place from orders order by place limit 100")
+@query("O02_scans_newest_first", "select o_orderkey scan_id, row_number() over (order by o_orderdate desc, o_orderkey desc) place from orders")
 def scans_newest_first(spark, sf_dir):
-    from pyspark.sql import Window
-
     scans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), F.col("o_orderdate").alias("created_at"))
-    top = governance.scans_newest_first(scans).limit(100)
-    return top.select("scan_id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("scan_id"))).alias("place"))
+    return governance.scans_newest_first(scans).select("scan_id", "place")
 
 
 @query("O04_evidence_caps", f"with f as ({inputs.FINDINGS_SQL}) select scan_id, finding_id, place::int place from (select scan_id, finding_id, row_number() over (partition by scan_id order by confidence desc, finding_id) place from f) where place <= 20")
@@ -219,10 +219,11 @@ def evidence_caps(spark, sf_dir):
     return reading.top_by(inputs.findings(spark, sf_dir), "scan_id", [F.desc("confidence"), F.col("finding_id")], 20).select("scan_id", "finding_id", "place")
 
 
-@query("O05_top_classes", "select p_brand as class, round(avg(p_retailprice), 6) suspicion from part group by p_brand order by suspicion desc, class limit 5")
+@query("O05_top_classes", f"with p as ({inputs.PREDICTIONS_SQL}), n as (select label, count(*) n from p group by all), r as (select label, predicted, count(*) / any_value(n) r from p join n using (label) where label <> predicted group by all), i as (select predicted c, sum(r) x from r group by all), o as (select label c, sum(r) x from r group by all) select n.label as class, round(coalesce(i.x, 0) - coalesce(o.x, 0), 9) suspicion from n left join i on i.c = n.label left join o on o.c = n.label order by coalesce(i.x, 0) - coalesce(o.x, 0) desc, class limit 2")
 def top_classes(spark, sf_dir):
-    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("class")).agg(F.round(F.avg("p_retailprice"), 6).alias("suspicion"))
-    return g.orderBy(F.desc("suspicion"), "class").limit(5)
+    """The two classes that draw most predictions from others."""
+    top = models.top_suspects(models.confusion_asymmetry(inputs.predictions(spark, sf_dir)), 2)
+    return top.select(F.col("label").alias("class"), F.round("asymmetry", 9).alias("suspicion"))
 
 
 @query("O06_seeded_sample", "select event_id, event_id % 50 = 0 flagged from events order by flagged desc, md5(event_id || ':s1'), event_id limit 500")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veristrata.operators import governance, labels, ledger, models, risk
+from veristrata.operators import governance, labels, ledger, models, reading, risk
 from veristrata.plans import inputs
 from veristrata.plans.queries import _LEDGER, _RANK, ROUTED_SQL, _routed, _vectors, query
 from veristrata.sources import datasets
@@ -72,9 +72,9 @@ def weakest_tier(spark, sf_dir):
     return t.groupBy("contributor").agg(F.max_by("tier", risk.rank_of(F.col("tier"), ("sidecar", "directory", "format", "none"))).alias("weakest"))
 
 
-@query("A69_qualified_verdict", f"with {ROUTED_SQL} select scan_id, count(*) filter (availability = 'ran') ran, count(*) filter (availability = 'error') crashed, count(*) filter (availability = 'unavailable') not_assessed from routed group by scan_id")
+@query("A69_qualified_verdict", f"with {ROUTED_SQL}, v as (select scan_id, case when bool_or(availability = 'ran' and disposition = 'quarantine') then 'QUARANTINE' when bool_or(availability = 'error') then 'REVIEW' when bool_or(availability = 'ran' and disposition = 'review' and {_RANK} >= 2) then 'REVIEW' else 'ACCEPT' end verdict, count(*) n, count(*) filter (availability = 'ran') ran, count(*) filter (availability = 'error') crashed, count(*) filter (availability = 'unavailable') not_assessed from routed group by scan_id) select scan_id, ran, crashed, not_assessed, case when ran = n then verdict || ' (all assessed)' else printf('%s (%d of %d assessed; %d crashed; %d not assessed)', verdict, ran, n, crashed, not_assessed) end line from v")
 def qualified_verdict(spark, sf_dir):
-    return _routed(spark, sf_dir).groupBy("scan_id").agg(*(F.count_if(F.col("availability") == v).alias(n) for v, n in (("ran", "ran"), ("error", "crashed"), ("unavailable", "not_assessed"))))
+    return governance.qualified_verdict(_routed(spark, sf_dir))
 
 
 @query("J21_orphan_events", f"with f as (select target_ref from ({inputs.FINDINGS_SQL}) where detector_id = 'copies.text') select event_id from events where cast(event_id % 700 as varchar) not in (select target_ref from f)")
@@ -84,11 +84,13 @@ def orphan_events(spark, sf_dir):
     return governance.orphans(f, e).select("event_id")
 
 
-@query("A43_dataset_id", "select lang, sha256(string_agg(doc_id || ':' || sha256(text), '|' order by doc_id)) dataset_id from documents where text is not null group by lang")
+_UP = "select lang, k >> 12 k, sha256(string_agg(t, '|' order by k, t)) t from {0} group by all"
+
+
+@query("A43_dataset_id", f"with d as (select lang, doc_id k, doc_id || ':' || sha256(text) t from documents where text is not null), a as ({_UP.format('d')}), b as ({_UP.format('a')}), c as ({_UP.format('b')}), e as ({_UP.format('c')}) select lang, sha256(string_agg(t, '|' order by k, t)) dataset_id from e group by lang")
 def dataset_id(spark, sf_dir):
-    one = F.struct("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
-    g = table(spark, sf_dir, "documents").where("text is not null").groupBy("lang").agg(F.array_sort(F.collect_list(one)).alias("x"))
-    return g.select("lang", F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), "|").cast("binary"), 256).alias("dataset_id"))
+    text = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2(F.col("text").cast("binary"), 256))
+    return reading.ordered_digest(table(spark, sf_dir, "documents").where("text is not null"), "lang", "doc_id", text, "dataset_id")
 
 
 @query("P15_digest_defers", f"with f as ({inputs.FINDINGS_SQL}), r as (select scan_id, bool_or(detector_id = 'drift.length' and availability = 'ran') ran from f group by scan_id) select finding_id, case when detector_id = 'copies.text' and ran then 'info' else severity end severity from f join r using (scan_id)")
@@ -97,13 +99,9 @@ def digest_defers(spark, sf_dir):
     return risk.defer_digest(f).select("finding_id", "severity")
 
 
-@query("O03_severity_order", f"with {ROUTED_SQL} select finding_id, (row_number() over (order by {_RANK} desc, confidence desc, finding_id))::int as place from routed order by place limit 200")
+@query("O03_severity_order", f"with {ROUTED_SQL} select finding_id, row_number() over (order by {_RANK} desc, confidence desc, finding_id) as place from routed")
 def severity_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = governance.page_of_findings(_routed(spark, sf_dir), 200)
-    order = Window.orderBy(risk.rank_of(F.col("severity"), risk.SEVERITIES).desc(), F.desc("confidence"), "finding_id")
-    return top.withColumn("place", F.row_number().over(order)).select("finding_id", "place")
+    return governance.findings_by_severity(_routed(spark, sf_dir)).select("finding_id", "place")
 
 
 @query("J12_link_to_previous", f"with {_LEDGER} select seq, lag(sha256(unhex('02') || rec::blob)) over (order by seq) prev from l")
