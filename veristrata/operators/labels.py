@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ def class_thresholds(probs: DataFrame) -> DataFrame:
 
 
 def confident_errors(probs: DataFrame) -> DataFrame:
-    """Confident learning (Northcutt et al., 2021): rows whose most confident class above its own threshold isn't their label; the least self-confident first, as many as the confident joint estimates off the diagonal by class."""
+    """Confident learning (Northcutt et al., 2021): rows whose most probable class, of those at or above their class's threshold, isn't their label and is more probable than it; the largest margin first."""
     t = {r["label"]: r["threshold"] for r in class_thresholds(probs).collect()}  # one number a class
     if not t:
         return probs.sparkSession.createDataFrame([], "id long, label int, suggested int, margin double")
@@ -67,14 +68,16 @@ def spectral_scores(rows: DataFrame, least: int = 20, power: int = 30) -> DataFr
                 total[label] = (n + len(x), s + x.sum(0), c + x.T @ x)
         yield pd.DataFrame([(k, n, s.tolist(), c.ravel().tolist()) for k, (n, s, c) in total.items()], columns=["label", "n", "s", "c"])
 
-    parts = rows.select("label", "vector").mapInPandas(moments, "label int, n long, s array<double>, c array<double>").toPandas()  # one small matrix a class and task
+    parts = rows.select("label", "vector").mapInPandas(moments, "label int, n long, s array<double>, c array<double>")
+    whole = F.concat(F.array(F.col("n").cast("double")), "s", "c")
+    summed = parts.select("label", F.posexplode(whole).alias("at", "x")).groupBy("label", "at").agg(F.sum("x").alias("x"))
+    moment = summed.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda m: m["x"]).alias("m"))
     found = []
-    for label, p in parts.groupby("label"):
-        n = int(p["n"].sum())
+    for label, m in moment.collect():  # one matrix a class, whatever the number of tasks
+        n, d = int(m[0]), (math.isqrt(4 * len(m) - 3) - 1) // 2
         if n >= least:
-            mean = np.sum(np.stack(p["s"]), axis=0) / n
-            d = len(mean)
-            cov = np.sum(np.stack(p["c"]), axis=0).reshape(d, d) / n - np.outer(mean, mean)
+            mean = np.array(m[1 : d + 1]) / n
+            cov = np.array(m[d + 1 :]).reshape(d, d) / n - np.outer(mean, mean)
             v = np.ones(d) / np.sqrt(d)
             for _ in range(power):
                 v = cov @ v
@@ -82,7 +85,7 @@ def spectral_scores(rows: DataFrame, least: int = 20, power: int = 30) -> DataFr
             found.append((int(label), mean.tolist(), v.tolist()))
     axes = rows.sparkSession.createDataFrame(found, "label int, mean array<double>, axis array<double>")
     shifted = F.aggregate(F.zip_with(F.zip_with("vector", "mean", lambda a, b: a - b), "axis", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.join(F.broadcast(axes), "label").select("id", "label", (shifted * shifted).alias("score"))
+    return rows.join(axes, "label").select("id", "label", (shifted * shifted).alias("score"))
 
 
 def heavy_contributors(rows: DataFrame, least: int = 10, share: float = 0.2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def weight_moments(weights: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """Mean, population deviation, excess kurtosis, largest magnitude and tail share by layer. ``weights``: layer, w."""
     m = weights.groupBy("layer").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.kurtosis("w").alias("kurtosis"), F.max(F.abs("w")).alias("max_abs"))
-    tail = weights.join(F.broadcast(m.select("layer", "mean", "std")), "layer").groupBy("layer").agg(F.avg((F.abs(F.col("w") - F.col("mean")) > F.col("std") * sigmas).cast("double")).alias("tail"))
+    tail = weights.join(m.select("layer", "mean", "std"), "layer").groupBy("layer").agg(F.avg((F.abs(F.col("w") - F.col("mean")) > F.col("std") * sigmas).cast("double")).alias("tail"))
     return m.join(tail, "layer")
 
 
@@ -22,7 +22,7 @@ def against_battery(moments: DataFrame, battery: DataFrame) -> DataFrame:
 def activation_stats(activations: DataFrame) -> DataFrame:
     """Dead units and saturation by layer. ``activations``: layer, unit, value (probe rows)."""
     top = activations.groupBy("layer").agg(F.percentile("value", 0.999).alias("p999"))
-    unit = activations.join(F.broadcast(top), "layer").groupBy("layer", "unit").agg(F.max("value").alias("m"), F.avg((F.col("value") >= F.col("p999")).cast("double")).alias("sat"))
+    unit = activations.join(top, "layer").groupBy("layer", "unit").agg(F.max("value").alias("m"), F.avg((F.col("value") >= F.col("p999")).cast("double")).alias("sat"))
     return unit.groupBy("layer").agg(F.avg((F.col("m") <= 0).cast("double")).alias("dead_share"), F.max("sat").alias("saturation"), F.max("m").alias("top"))
 
 

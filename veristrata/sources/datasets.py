@@ -45,7 +45,7 @@ def read_coco(spark: SparkSession, manifest: str) -> tuple[DataFrame, DataFrame]
     cats = dense_categories(doc.select(F.explode("categories").alias("c")).select(F.col("c.id").cast("string").alias("source_id"), "c.name"))
     images = doc.select(F.explode("images").alias("i")).select("i.*").where("file_name is not null and file_name <> ''")
     notes = doc.select(F.explode("annotations").alias("a")).select("a.*").where("size(bbox) = 4")
-    known = notes.join(F.broadcast(cats), notes["category_id"].cast("string") == cats["source_id"]).select(
+    known = notes.join(cats, notes["category_id"].cast("string") == cats["source_id"]).select(
         "image_id", F.struct(cats["category_id"], F.col("bbox")[0].alias("x"), F.col("bbox")[1].alias("y"), F.col("bbox")[2].alias("w"), F.col("bbox")[3].alias("h"), (F.coalesce("iscrowd", F.lit(0)) != 0).alias("iscrowd"), notes["id"].cast("string").alias("label_id")).alias("label")
     )
     labels = known.groupBy("image_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
@@ -76,7 +76,7 @@ def stem(path: Column) -> Column:
 def read_yolo(spark: SparkSession, root: str, sizes: DataFrame | None = None) -> DataFrame:
     """Boxes of ``labels/*.txt``: stem, class_id, x, y, w, h (pixels where ``sizes`` has the stem, else shares). Short and odd lines are skipped."""
     lines = spark.read.text(f"{root}/labels").select(stem(F.col("_metadata.file_path")).alias("stem"), F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 5)
-    parts = [F.try_to_number(F.col("p")[0], F.lit("999999")).cast("int").alias("class_id"), *(F.expr(f"try_cast(p[{i}] as double)").alias(n) for i, n in enumerate(("xc", "yc", "bw", "bh"), 1))]
+    parts = [F.expr("try_cast(p[0] as int)").alias("class_id"), *(F.expr(f"try_cast(p[{i}] as double)").alias(n) for i, n in enumerate(("xc", "yc", "bw", "bh"), 1))]
     ok = lines.select("stem", *parts).dropna()
     if sizes is None:
         return ok.select("stem", "class_id", (F.col("xc") - F.col("bw") / 2).alias("x"), (F.col("yc") - F.col("bh") / 2).alias("y"), F.col("bw").alias("w"), F.col("bh").alias("h"))
