@@ -146,6 +146,20 @@ def schedule_of(ledger: DataFrame, roots: dict[str, bytes]) -> Schedule:
 # ---- checking ----
 
 
+def read_all(ledger: DataFrame) -> DataFrame:
+    """Every record read strictly, without keys: ``pos``, ``type`` (null if unreadable), ``problem`` and the first thing that is wrong (``detail``). ``ledger``: pos, rec."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for pos, rec in zip(batch["pos"], batch["rec"], strict=True):
+                doc, problem, detail = records.read(bytes(rec))
+                rows.append((pos, doc["type"] if doc else None, problem, detail))
+            yield pd.DataFrame(rows, columns=["pos", "type", "problem", "detail"])
+
+    return ledger.select("pos", "rec").mapInPandas(run, "pos long, type string, problem string, detail string")
+
+
 def _row(pos: int, rec: bytes, keys: Schedule) -> dict:
     doc, problem, _ = records.read(rec)
     out = {"pos": pos, "problem": problem, "link": record_hash(rec), "leaf": hashlib.sha256(b"\x00" + rec).hexdigest()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.functions import canonical
 from veristrata.operators import ledger, proofs, verify, walk
 from veristrata.operators.running import running
 from veristrata.plans.queries import query
@@ -194,3 +195,43 @@ def consistency_proofs(spark, sf_dir):
         return pd.Series([ledger.verify_consistency(int(a), int(b), [bytes.fromhex(h) for h in p], bytes.fromhex(x), bytes.fromhex(y)) for a, b, p, x, y in zip(first, second, proof, root1, root2, strict=True)])
 
     return proved.select("first", "second", F.size("proof").alias("n_hashes"), holds("first", "second", "proof", "root_first", "root_second").alias("holds"))
+
+
+# ---- strict records ----
+
+#: What is wrong with a record, by its number: the first that holds.
+FLAWS = (
+    ("i % 41 = 1", "malformed_record", "analyst.request_id"), ("i % 43 = 2", "malformed_record", "created_at_utc"), ("i % 47 = 3", "malformed_record", "extra"), ("i % 53 = 4", "malformed_record", "repeated key"),
+    ("i % 59 = 5", "non_canonical_encoding", canonical.OTHER_FORM), ("i % 61 = 6", "malformed_record", "analyst.action"), ("i % 67 = 7", "malformed_record", "1.5 is no whole number"), ("i % 71 = 8", "malformed_record", "analyst.refs_seq"), ("i = 0", "malformed_record", "seq"),
+)
+
+
+def written_records(spark, sf_dir) -> DataFrame:
+    """``events`` as the bytes of analyst records, some of them flawed: pos, rec."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(i.alias("i"), F.col("user_id").cast("string").alias("u"))
+    flaw = lambda k: F.expr(FLAWS[k][0])
+    number = F.col("i").cast("string")
+    at = F.when(flaw(1), "2026-02-30T00:00:00.000000Z").otherwise("2026-02-28T00:00:00.000000Z")
+    action = F.when(flaw(5), "remove").when(flaw(7), "approve").otherwise("acknowledge")
+    request = F.when(flaw(0), "").otherwise(F.concat(F.lit(',"request_id":"'), F.lpad(F.hex("i"), 32, "0"), F.lit('"')))
+    request = F.translate(request, "ABCDEF", "abcdef")
+    analyst = F.concat(F.lit('{"action":"'), action, F.lit('","actor_id":"u'), F.col("u"), F.lit('","finding_id":"f","justification":""'), request, F.lit(',"role":"lead","scan_id":"s","target_ref":"t","target_type":"sample"}'))
+    seq = F.when(flaw(6), F.lit("1.5")).otherwise(number)
+    text = F.concat(
+        F.lit('{"analyst":'), analyst, F.lit(',"created_at_utc":"'), at, F.lit('"'), F.when(flaw(2), F.lit(',"extra":1')).otherwise(""), F.when(flaw(4), F.lit(', ')).otherwise(","), F.lit('"key_id":"'), F.lpad(F.lit(""), 64, "a"),
+        F.lit('","nonce":"'), F.lpad(number, 32, "0"), F.lit('","prev_record_hash":"'), F.lpad(F.lit(""), 64, "b"), F.lit('","seq":'), seq, F.when(flaw(3), F.concat(F.lit(',"seq":'), number)).otherwise(""),
+        F.lit(',"signature":"'), F.lpad(F.lit(""), 128, "c"), F.lit('","type":"analyst_event","v":1}'),
+    )
+    return e.select(F.col("i").alias("pos"), text.cast("binary").alias("rec"))
+
+
+#: The order in which a reader meets them: JSON that doesn't read (numbers before keys, which are known at the end), other forms of it, unknown fields, then the fields of the schema.
+_ORDER = (6, 3, 4, 2, 1, 5, 0, 7, 8)
+
+
+@query("P23_strict_records", "with e as (select event_id i from events), w as (select i, "
+    + "case " + " ".join(f"when {c} then '{{{p}:{d}}}'" for c, p, d in [FLAWS[k] for k in _ORDER]) + " end f from e) "
+    "select i as pos, case when f is null then 'analyst_event' end as type, nullif(split_part(trim(f, '{}'), ':', 1), '') problem, nullif(split_part(trim(f, '{}'), ':', 2), '') detail from w")
+def strict_records(spark, sf_dir):
+    return verify.read_all(written_records(spark, sf_dir))
