@@ -255,7 +255,7 @@ def check_anchors(anchors: DataFrame, nodes: DataFrame, size: int, findings: Dat
     return anchors.join(roots, F.col("tree_size") == F.col("__size"), "left").withColumn("state", state).drop("__size", "ledger_root")
 
 
-#: Findings that change the tree.
+# Findings that change the tree.
 TAINTS = ("record_edit", "record_delete", "record_reorder", "record_replay", "ledger_fork", "malformed_record", "non_canonical_encoding", "key_unauthorised")
 
 

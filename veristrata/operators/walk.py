@@ -56,6 +56,11 @@ CHECKED = (
     "pos long, seq long, type string, problem string, sig string, refused_at long, prev string, link string, leaf string, nonce string, created string, "
     "tree_size long, root string, checkpoint_seq long, model_id string, weights string, pop boolean"
 )
+# Names of findings.
+CAUSES = (
+    "malformed_record", "non_canonical_encoding", "record_delete", "record_reorder", "record_replay", "record_edit", "ledger_fork", "key_unauthorised", "genesis_mismatch", "chain_broken", "nonce_reuse",
+    "checkpoint_mismatch", "model_swap", "clock_regression", "degraded_gap",
+)
 #: Positions of a run, and runs of a run of runs.
 WIDTH = 4096
 FOUND = "pos long, cause string, n long, effects long"
