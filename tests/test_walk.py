@@ -250,3 +250,10 @@ def test_summaries_compose():
                     old = found.get((pos, what), (None, 0))
                     found[pos, what] = (n if n is not None else old[0], old[1] + effects)
         assert sorted((p, c, n, e) for (p, c), (n, e) in found.items()) == walk.walk_all(rows), trial
+
+
+def test_unreadable_records_before_a_copy_are_not_missing(spark):
+    """0, 1, two that don't read, a copy of 1, and 4: all that lies between 1 and 4 is there."""
+    rows = [(0, 0, None, "a"), (1, 1, None, "b"), (2, None, "malformed_record", "x"), (3, None, "malformed_record", "y"), (4, 1, None, "b"), (5, 4, None, "e")]
+    checked = walk.as_checked(spark.createDataFrame([(*r, "ok") for r in rows], "pos long, seq long, problem string, link string, sig string"))
+    assert [(r["pos"], r["cause"], r["n"]) for r in walk._numbers(checked).collect()] == [(4, "record_replay", None)]

@@ -77,11 +77,12 @@ def _numbers(rows: DataFrame) -> DataFrame:
     ranked = running(firsts, ["seq"], {"rank": ("sum", F.lit(1).cast("long"))})
     both = chain.count_before(rows.withColumn("number", F.col("seq")).withColumn("seq", F.col("pos")), F.col("problem").isNotNull(), "bad").drop("seq")
     both = both.join(ranked.withColumnRenamed("seq", "number"), "number", "left")
-    top = F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("seq"), "rank", "bad"))
+    # of equal numbers the first counts, before which the fewest rows are unreadable
+    top = F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("seq"), "rank", (-F.col("bad")).alias("bad")))
     upto = running(both, ["pos"], {"top": ("max", top)})
     before = chain.in_order(upto.withColumnRenamed("pos", "seq"), {"top_before": "top"}).withColumnRenamed("seq", "pos")
     m, r, b = (F.coalesce(F.col(f"top_before.{c}"), F.lit(v)) for c, v in (("seq", -1), ("rank", 0), ("bad", 0)))
-    present, unreadable = F.col("rank") - r - 1, F.col("bad") - b
+    present, unreadable = F.col("rank") - r - 1, F.col("bad") + b
     absent = F.col("number") - m - 1 - present - unreadable
     again, behind = F.col("pos") > F.col("first_pos"), F.col("number") < m
     repeat = F.when(F.col("link") == F.col("first_link"), "record_replay").when((F.col("sig") == "ok") & (F.col("first_sig") == "ok"), "ledger_fork").otherwise("record_reorder")
