@@ -157,3 +157,41 @@ def test_saves_are_whole_or_nothing(sources, tmp_path):
         with pytest.raises(Exception, match="one partition"):
             split.write.format("yolo").mode("append").save(str(tmp_path / "y"))
         assert files(tmp_path / "y") == []
+
+
+def test_manifests_are_read_in_sections_of_the_same_file(sources, tmp_path, monkeypatch):
+    """One array is many tasks; a manifest that was put in another's place is read by its own structure."""
+    rows = [("annotation", str(i), str(i % 30), "7", None, None, None, None, None, [1.5, 2.0, i + 0.25, 4.0], i % 2 == 0) for i in range(90)] + [("category", "7", None, None, "a,]}", None, None, None, None, None, None)]
+    sources.createDataFrame(rows, formats.Coco.columns.replace(", problem string", "")).coalesce(1).write.format("coco").mode("append").save(str(tmp_path / "c"))
+    monkeypatch.setattr(formats, "RANGE_BYTES", 500)
+    writer = formats.CocoWriter(str(tmp_path / "s"), False)
+    columns = [c.split()[0] for c in formats.Coco.columns.split(", ")][:-1]
+    writer.commit([writer.write(iter(dict(zip(columns, r, strict=True)) for r in part)) for part in (rows[:50], rows[50:])])
+    reader = formats.CocoReader(str(tmp_path / "s"))
+    pieces = reader.partitions()
+    assert len(pieces) > 10
+    got = sorted((r for p in pieces for r in reader.read(p)), key=str)
+    assert [r[1] for r in got] == [r[1] for r in sorted(rows, key=str)] and all(r[-1] is None for r in got)
+    assert {r[0] for p in formats.CocoReader(str(tmp_path / "s"), "category").partitions() for r in reader.read(p)} == {"category"}
+    (tmp_path / "s/instances.json").write_text(json.dumps({"annotations": [{"id": 5}]}, indent=1))
+    reader = formats.CocoReader(str(tmp_path / "s"))
+    assert [r[1] for p in reader.partitions() for r in reader.read(p)] == ["5"]
+
+
+def test_writers_hold_no_task(tmp_path, monkeypatch):
+    """Payloads are sorted and written in bounded pieces, and what a task tells the driver doesn't grow with its files."""
+    import pickle
+
+    monkeypatch.setattr(formats, "SORTED_BYTES", 1000)
+    writer = formats.PayloadWriter(str(tmp_path / "p"), False)
+    data = [(hashlib.sha256(bytes([i]) * 100).hexdigest(), bytes([i]) * 100) for i in range(100)]
+    writer.commit([writer.write(iter({"address": a, "data": d} for a, d in [*data, data[0]]))])
+    made = list((tmp_path / "p").glob("*.jsonl"))
+    assert len(made) > 10 and max(p.stat().st_size for p in made) < 4000
+    reader = formats.PayloadReader(str(tmp_path / "p"))
+    assert sorted(r[:2] for p in reader.partitions() for r in reader.read(p)) == sorted([*data, data[0]])
+    voc = formats.VocWriter(str(tmp_path / "v"), False)
+    told = [voc.write(iter({"sample_id": f"{k}-{i}", "name": None, "width": 1, "height": 1, "objects": []} for i in range(n))) for k, n in enumerate((3, 300))]
+    assert abs(len(pickle.dumps(told[1])) - len(pickle.dumps(told[0]))) < 10
+    voc.commit(told)
+    assert len(files(tmp_path / "v")) == 304

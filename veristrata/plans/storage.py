@@ -16,13 +16,18 @@ from veristrata.sources.commits import Conflict, Log
 from veristrata.sources.session import checkpoint_dir, table
 
 
-def through(rows: DataFrame, name: str) -> DataFrame:
-    """``rows``, written in a format into a folder of its own and read back."""
+def written(rows: DataFrame, name: str) -> str:
+    """The folder of its own that ``rows`` are written into in a format."""
     spark = rows.sparkSession
     formats.register(spark)
     at = f"{checkpoint_dir(spark)}/veristrata-{name}-{uuid.uuid4().hex}"
     rows.write.format(name).mode("append").save(at)
-    return spark.read.format(name).load(at)
+    return at
+
+
+def through(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, written in a format into a folder of its own and read back."""
+    return rows.sparkSession.read.format(name).load(written(rows, name))
 
 
 def in_seq(rows: DataFrame) -> DataFrame:
@@ -65,8 +70,8 @@ def coco(spark, sf_dir):
     every = images.unionByName(notes, allowMissingColumns=True).unionByName(names, allowMissingColumns=True)
     for c in columns:
         every = every.withColumn(c, (F.col(c) if c in every.columns else no).cast(kinds[c]))
-    read = through(every.select(columns), "coco")
-    i, a, c = (read.where(F.col("kind") == k).alias(k[0]) for k in ("image", "annotation", "category"))
+    at = written(every.select(columns), "coco")
+    i, a, c = (spark.read.format("coco").option("kind", k).load(at).alias(k[0]) for k in ("image", "annotation", "category"))
     both = a.join(i, F.col("a.image_id") == F.col("i.id")).join(c, F.col("a.category_id") == F.col("c.id"))
     box = F.col("a.bbox")
     return both.select(F.col("a.id").alias("annotation_id"), F.col("i.name").alias("file_name"), F.col("c.name").alias("category"), *(box[k].alias(n) for k, n in enumerate("xywh")), F.col("a.iscrowd").alias("iscrowd"), F.col("i.source").alias("source"))

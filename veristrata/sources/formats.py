@@ -9,10 +9,11 @@ row ids of a SQLite ledger, sections of a COCO manifest, and groups of files of
 the formats that keep a file an image. No file is held whole but those of one
 image. What can't be read gives a row with a ``problem``, never none.
 
-Writing is by tasks and commits: every task writes files of its own in a staging
-folder and hands their names to the driver; only the commit moves them to their
-place, and names them in ``_SUCCESS``. A task that fails or runs twice leaves
-nothing behind, and a save that fails leaves the folder as it was.
+Writing is by tasks and commits: every task writes files in a staging folder of
+its own and hands that folder's name to the driver, however many files it holds;
+only the commit moves them to their place, and counts them in ``_SUCCESS``. A task
+that fails or runs twice leaves nothing behind, and a save that fails leaves the
+folder as it was. No writer of ledgers, payloads or manifests holds a task's rows.
 
 Paths are those of a folder that driver and executors share: plain, ``file:``, or
 any other that pyarrow's file systems open.
@@ -21,7 +22,9 @@ any other that pyarrow's file systems open.
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
+import itertools
 import json
 import os
 import sqlite3
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -39,6 +43,8 @@ from veristrata.sources.datasets import IMAGES, header_size
 
 #: Bytes of a range of a JSON-lines ledger, row ids of a range of a SQLite ledger, and files of a group.
 RANGE_BYTES, RANGE_ROWS, GROUP_FILES = 32 << 20, 200_000, 500
+#: Bytes of payload lines that are sorted at once, each time into a file of their own.
+SORTED_BYTES = 8 << 20
 #: Bytes of an image's own file at most (annotations), and of a file's head that tells an image's size.
 MOST_BYTES, HEAD = 1 << 20, 1 << 16
 DONE = "_SUCCESS"
@@ -70,19 +76,22 @@ def stem(path: str) -> str:
 
 @dataclass
 class Piece(InputPartition):
-    """What one task reads: files, or a range of one file."""
+    """What one task reads: files, or a range of one file (of one array of a manifest)."""
 
     files: list[str]
     lo: int = 0
     hi: int = 0
+    array: str | None = None
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Files of one task, as (where they were written, where they belong), and how many rows they hold."""
+    """The folder of one task, how many files it holds, and how many rows they do; ``cuts``: places inside a file where a section of it begins."""
 
-    files: list[tuple[str, str]] = field(default_factory=list)
+    task: str
+    files: int = 0
     rows: int = 0
+    cuts: dict[str, list[int]] = field(default_factory=dict)
 
 
 class _Reader(DataSourceReader):
@@ -112,31 +121,60 @@ class _Writer(DataSourceWriter):
         self.staging = f"{self.at}/_staging-{uuid.uuid4().hex}"
 
     def rows_to_files(self, rows: Iterator[Any], put: Any) -> int:
-        """Writes a task's rows by ``put(name, bytes)``, and says how many there were."""
+        """Writes a task's rows by ``put(name, bytes)``, or into what ``put(name)`` opens, and says how many there were."""
         raise NotImplementedError
 
+    def cuts(self) -> dict[str, list[int]]:
+        return {}
+
     def write(self, iterator: Iterator[Any]) -> Written:
         store = opened(self.root)[0]
-        task = uuid.uuid4().hex  # of this attempt alone
-        out = Written()
-
-        def put(name: str, data: bytes) -> None:
-            path = f"{self.staging}/{task}/{name}"
-            store.create_dir(os.path.dirname(path), recursive=True)
-            with store.open_output_stream(path) as f:
+        out = Written(uuid.uuid4().hex)  # of this attempt alone
+        made = set()
+
+        def put(name: str, data: bytes | None = None) -> Any:
+            path = f"{self.staging}/{out.task}/{name}"
+            if (folder := os.path.dirname(path)) not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            out.files += 1
+            f = store.open_output_stream(path)
+            if data is None:
+                return f
+            with f:
                 f.write(data)
-            out.files.append((path, f"{self.at}/{name}"))
+            return None
 
         out.rows = self.rows_to_files(iterator, put)
+        out.cuts = self.cuts()
         return out
 
+    def staged(self, store: fs.FileSystem, message: Written) -> list[str]:
+        """Names of a task's files, below its folder."""
+        at = f"{self.staging}/{message.task}"
+        if not message.files:
+            return []
+        names = [f.path[len(at) + 1 :] for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File]
+        if len(names) != message.files:
+            raise OSError(f"a task wrote {message.files} files, {len(names)} are there")
+        return names
+
+    def clash(self, store: fs.FileSystem, messages: list[Written]) -> bool:
+        """Have two tasks written one file? Names are compared by eight bytes each, and by themselves where those agree."""
+        marks = lambda m: np.array([int.from_bytes(hashlib.blake2b(n.encode("utf-8", "surrogateescape"), digest_size=8).digest()) for n in self.staged(store, m)], dtype=np.uint64)
+        seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(marks, messages)]), return_counts=True)
+        twice = set(seen[times > 1].tolist())
+        if not twice:
+            return False
+        names = [n for m in messages for n, k in zip(self.staged(store, m), marks(m).tolist(), strict=True) if k in twice]
+        return len(set(names)) < len(names)
+
     def commit(self, messages: list[Written | None]) -> None:
         store = opened(self.root)[0]
         done = [m for m in messages if m is not None]
         store.create_dir(self.at, recursive=True)
         others = [f.path for f in store.get_file_info(fs.FileSelector(self.at)) if f.path != self.staging]
-        names = [to for m in done for _, to in m.files]
-        if len(set(names)) < len(names):
+        if self.clash(store, done):
             self.abort(messages)
             raise ValueError("two tasks wrote one file: rows of an image must be in one partition")
         if others and not self.overwrite:
@@ -144,14 +182,17 @@ class _Writer(DataSourceWriter):
             raise FileExistsError(self.root)
         for path in others:
             store.delete_dir(path) if store.get_file_info(path).type == fs.FileType.Directory else store.delete_file(path)
-        for made in sorted({os.path.dirname(to) for to in names}):
-            store.create_dir(made, recursive=True)
+        made = set()
         for m in done:
-            for path, to in m.files:
-                store.move(path, to)
+            for name in self.staged(store, m):
+                to = f"{self.at}/{name}"
+                if (folder := os.path.dirname(to)) not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                store.move(f"{self.staging}/{m.task}/{name}", to)
         self._drop(store)
         with store.open_output_stream(f"{self.at}/{DONE}") as f:
-            f.write(json.dumps({"files": len(names), "rows": sum(m.rows for m in done)}).encode())
+            f.write(json.dumps({"files": sum(m.files for m in done), "rows": sum(m.rows for m in done)}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         self._drop(opened(self.root)[0])
@@ -214,15 +255,20 @@ class JsonlWriter(_Writer):
     """A task's records, in its order, one a line. The parts' names follow the first record's ``seq``."""
 
     def rows_to_files(self, rows, put):
-        lines, first = [], None
-        for row in rows:
-            if b"\n" in bytes(row["rec"]):
-                raise ValueError("a record holds a line end")
-            first = row["seq"] if first is None else first
-            lines.append(bytes(row["rec"]))
-        if lines:
-            put(f"part-{first:020d}.jsonl", b"\n".join(lines) + b"\n")
-        return len(lines)
+        n, out = 0, None
+        try:
+            for row in rows:
+                rec = bytes(row["rec"])
+                if b"\n" in rec:
+                    raise ValueError("a record holds a line end")
+                if out is None:
+                    out = io.BufferedWriter(put(f"part-{row['seq']:020d}.jsonl"), 1 << 20)
+                out.write(rec + b"\n")
+                n += 1
+        finally:
+            if out is not None:
+                out.close()
+        return n
 
 
 class SealedJsonl(_Source):
@@ -257,20 +303,18 @@ class SqliteReader(_Reader):
 
 
 class SqliteWriter(_Writer):
-    """A task's records as a database of their own, named by its first record's ``seq``."""
+    """A task's records as databases of ``RANGE_ROWS`` rows at most, named by their first record's ``seq``."""
 
     def rows_to_files(self, rows, put):
-        db = sqlite3.connect(":memory:")
-        db.execute("create table records(seq integer primary key, type text not null, nonce text, rec_hash blob, rec blob not null)")
-        first, n = None, 0
-        for row in rows:
-            first = row["seq"] if first is None else first
-            db.execute("insert into records values (?, ?, ?, ?, ?)", (row["seq"], row["type"], row["nonce"], bytes(row["rec_hash"]), bytes(row["rec"])))
-            n += 1
-        if n:
+        n = 0
+        while some := list(itertools.islice(rows, RANGE_ROWS)):
+            db = sqlite3.connect(":memory:")
+            db.execute("create table records(seq integer primary key, type text not null, nonce text, rec_hash blob, rec blob not null)")
+            db.executemany("insert into records values (?, ?, ?, ?, ?)", ((r["seq"], r["type"], r["nonce"], bytes(r["rec_hash"]), bytes(r["rec"])) for r in some))
             db.commit()
-            put(f"part-{first:020d}.db", bytes(db.serialize()))
-        db.close()
+            put(f"part-{some[0]['seq']:020d}.db", bytes(db.serialize()))
+            db.close()
+            n += len(some)
         return n
 
 
@@ -293,11 +337,26 @@ class PayloadReader(JsonlReader):
 
 
 class PayloadWriter(_Writer):
+    """A task's payloads, sorted by address in files of about ``SORTED_BYTES``."""
+
     def rows_to_files(self, rows, put):
-        lines = sorted((row["address"], base64.b64encode(bytes(row["data"])).decode()) for row in rows)
+        n, k, size, lines = 0, 0, 0, []
+
+        def flush() -> None:
+            nonlocal k, size
+            lines.sort()
+            put(f"part-{lines[0][0]}{f'-{k}' if k else ''}.jsonl", b"".join(b'{"address":"%b","b64":"%b"}\n' % (a.encode(), b) for a, b in lines))
+            k, size = k + 1, 0
+            lines.clear()
+
+        for row in rows:
+            lines.append((row["address"], base64.b64encode(bytes(row["data"]))))
+            n, size = n + 1, size + len(lines[-1][1])
+            if size >= SORTED_BYTES:
+                flush()
         if lines:
-            put(f"part-{lines[0][0]}.jsonl", "".join(f'{{"address":"{a}","b64":"{b}"}}\n' for a, b in lines).encode())
-        return len(lines)
+            flush()
+        return n
 
 
 class Payloads(_Source):
@@ -308,7 +367,18 @@ class Payloads(_Source):
 
 
 class CocoReader(_Reader):
-    """The manifest's arrays, one a task, element by element; an element that isn't an object ends its array with a ``problem``."""
+    """The manifest's arrays, element by element; an element that isn't an object ends its array with a ``problem``.
+
+    A manifest that was written here is read in the sections that its writer
+    noted, each a task, as long as it is the same file; of any other an array is
+    a task. With the option ``kind`` only that one's array is read.
+    """
+
+    KINDS = {"image": "images", "annotation": "annotations", "category": "categories"}
+
+    def __init__(self, root: str, kind: str | None = None):
+        super().__init__(root)
+        self.kinds = list(self.KINDS.values()) if kind is None else [self.KINDS[kind]]
 
     def partitions(self) -> list[InputPartition]:
         from veristrata.sources.datasets import COCO_NAMES
@@ -319,7 +389,13 @@ class CocoReader(_Reader):
             at = next((n for n in names if store.get_file_info(n).type == fs.FileType.File), None)
             if at is None:
                 raise FileNotFoundError(f"no manifest in {self.root}")
-        return [Piece([at], k) for k in range(3)]
+        noted = f"{os.path.dirname(at)}/{SECTIONS}"
+        if store.get_file_info(noted).type == fs.FileType.File:
+            with store.open_input_stream(noted) as f:
+                known = json.loads(f.read())
+            if known["of"] == _same(store, at):
+                return [Piece([at], lo, hi, name) for name, lo, hi in known["sections"] if name in self.kinds] or [Piece([])]
+        return [Piece([at], array=name) for name in self.kinds]
 
     def elements(self, path: str, name: str) -> Iterator[dict]:
         """Objects of one array of the document, read in blocks. The array is found by the document's own structure."""
@@ -374,7 +450,8 @@ class CocoReader(_Reader):
                         if key == name:
                             yield found
                         at = skip(at, " \t\r\n,")
-                        text, at = text[at:], 0
+                        if at >= HEAD:  # not for each element: that would copy a block each time
+                            text, at = text[at:], 0
                     if at >= len(text):
                         break
                     at += 1
@@ -382,13 +459,21 @@ class CocoReader(_Reader):
             if at >= len(text):
                 raise ValueError("the manifest ends early")
 
+    def lines(self, path: str, lo: int, hi: int) -> Iterator[dict]:
+        """Objects of one section, each on a line of its own."""
+        with io.BufferedReader(self.store.open_input_file(path), HEAD) as f:
+            f.seek(lo)
+            while lo < hi and (line := f.readline()):
+                yield json.loads(line[: hi - lo].rstrip(b",\n"))
+                lo += len(line)
+
     def read(self, piece: Piece) -> Iterator[tuple]:
-        kind = ("images", "annotations", "categories")[piece.lo]
+        kind = piece.array
         whole = lambda x: x if type(x) is int else None
         text = lambda x: None if x is None else str(x)
         for path in piece.files:
             try:
-                for e in self.elements(path, kind):
+                for e in self.lines(path, piece.lo, piece.hi) if piece.hi else self.elements(path, kind):
                     if not isinstance(e, dict):
                         raise ValueError(f"an element of {kind} is no object")
                     box = [float(x) for x in e["bbox"]] if isinstance(e.get("bbox"), list) and all(type(x) in (int, float) for x in e["bbox"]) else None
@@ -397,45 +482,93 @@ class CocoReader(_Reader):
                 yield (kind[:-1] if kind != "categories" else "category", *[None] * 10, str(why)[:200])
 
 
+#: Where a manifest's writer notes its sections.
+SECTIONS = "_sections.json"
+
+
+def _same(store: fs.FileSystem, path: str) -> list:
+    """What tells a file from one that was put in its place: size and time."""
+    info = store.get_file_info(path)
+    return [info.size, info.mtime_ns]
+
+
 class CocoWriter(_Writer):
-    """Tasks write elements, one a line; the commit strings them together into one manifest, line by line."""
+    """Tasks write elements, one a line, as they come; the commit strings their files together into one manifest, block by block."""
 
-    KINDS = {"image": "images", "annotation": "annotations", "category": "categories"}
+    KINDS = CocoReader.KINDS
+
+    def cuts(self):
+        return self.found
 
     def rows_to_files(self, rows, put):
-        lines: dict[str, list[bytes]] = {k: [] for k in self.KINDS}
+        self.found: dict[str, list[int]] = {}
+        out: dict[str, Any] = {}
+        n, at = 0, dict.fromkeys(self.KINDS, 0)
         number = lambda x: int(x) if x is not None and x.lstrip("-").isdigit() else x
-        for r in rows:
-            names = {"image": (("id", number(r["id"])), ("file_name", r["name"]), ("width", r["width"]), ("height", r["height"]), ("source", r["source"]), ("batch", r["batch"])), "annotation": (("id", number(r["id"])), ("image_id", number(r["image_id"])), ("category_id", number(r["category_id"])), ("bbox", r["bbox"]), ("iscrowd", int(bool(r["iscrowd"])))), "category": (("id", number(r["id"])), ("name", r["name"]))}
-            lines[r["kind"]].append(json.dumps({k: v for k, v in names[r["kind"]] if v is not None}, separators=(",", ":")).encode())
-        part = uuid.uuid4().hex
-        for kind, own in lines.items():
-            if own:
-                put(f"{self.KINDS[kind]}-{part}", b"\n".join(own) + b"\n")
-        return sum(map(len, lines.values()))
+        pairs = {
+            "image": lambda r: (("id", number(r["id"])), ("file_name", r["name"]), ("width", r["width"]), ("height", r["height"]), ("source", r["source"]), ("batch", r["batch"])),
+            "annotation": lambda r: (("id", number(r["id"])), ("image_id", number(r["image_id"])), ("category_id", number(r["category_id"])), ("bbox", r["bbox"]), ("iscrowd", int(bool(r["iscrowd"])))),
+            "category": lambda r: (("id", number(r["id"])), ("name", r["name"])),
+        }
+        encode = json.JSONEncoder(separators=(",", ":")).encode
+        try:
+            for r in rows:
+                kind = r["kind"]
+                line = encode({k: v for k, v in pairs[kind](r) if v is not None}).encode()
+                name = self.KINDS[kind]
+                if kind not in out:
+                    out[kind] = io.BufferedWriter(put(name), 1 << 20)
+                    self.found[name] = [0]
+                else:
+                    out[kind].write(b",\n")
+                    at[kind] += 2
+                    if at[kind] - self.found[name][-1] >= RANGE_BYTES:
+                        self.found[name].append(at[kind])
+                out[kind].write(line)
+                at[kind] += len(line)
+                n += 1
+        finally:
+            for f in out.values():
+                f.close()
+        return n
 
     def commit(self, messages):
         store = opened(self.root)[0]
-        parts = {k: sorted(p for m in messages if m for p, to in m.files if os.path.basename(to).startswith(f"{k}-")) for k in self.KINDS.values()}
-        rows, whole = sum(m.rows for m in messages if m), f"{self.staging}/whole"
-        store.create_dir(self.staging, recursive=True)
-        with store.open_output_stream(whole) as out:
-            for i, (name, files) in enumerate(parts.items()):
-                out.write(f'{"{" if i == 0 else ","}"{name}":['.encode())
+        done = [m for m in messages if m is not None]
+        rows, at, sections = sum(m.rows for m in done), 0, []
+        store.create_dir(f"{self.staging}/whole", recursive=True)
+        with store.open_output_stream(f"{self.staging}/whole/instances.json") as out:
+
+            def add(data: bytes) -> None:
+                nonlocal at
+                out.write(data)
+                at += len(data)
+
+            for i, name in enumerate(self.KINDS.values()):
+                add(f'{"{" if i == 0 else ","}"{name}":['.encode())
                 first = True
-                for path in files:
-                    with io.BufferedReader(store.open_input_file(path), HEAD) as f:
-                        while line := f.readline():
-                            out.write((b"\n" if first else b",\n") + line.rstrip(b"\n"))
-                            first = False
-                out.write(b"]")
-            out.write(b"}")
-        super().commit([Written([(whole, f"{self.at}/instances.json")], rows)])
+                for m in sorted((m for m in done if name in m.cuts), key=lambda m: m.task):
+                    add(b"\n" if first else b",\n")
+                    first, begun = False, at
+                    with store.open_input_stream(f"{self.staging}/{m.task}/{name}") as f:
+                        while data := f.read(8 << 20):
+                            add(data)
+                    starts = [begun + c for c in m.cuts[name]]
+                    sections += [(name, lo, hi) for lo, hi in zip(starts, [*starts[1:], at], strict=True)]
+                add(b"]")
+            add(b"}")
+        super().commit([Written("whole", 1, rows)])
+        known = {"of": _same(store, f"{self.at}/instances.json"), "sections": sections}
+        with store.open_output_stream(f"{self.at}/{SECTIONS}") as f:
+            f.write(json.dumps(known).encode())
 
 
 class Coco(_Source):
     short, columns, reading, writing = "coco", "kind string, id string, image_id string, category_id string, name string, width int, height int, source string, batch string, bbox array<double>, iscrowd boolean, problem string", CocoReader, CocoWriter
 
+    def reader(self, schema: Any) -> DataSourceReader:
+        return CocoReader(self.options["path"], self.options.get("kind"))
+
 
 class YoloReader(_Reader):
     """Boxes of ``labels``, in shares of the image; lines that are too short or hold no numbers have a ``problem``."""
