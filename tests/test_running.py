@@ -120,3 +120,11 @@ def test_bootstraps(spark, many_ranges):
     assert rates["k"]["rate"] == pytest.approx(share)
     assert [rates["k"]["low"], rates["k"]["high"]] == pytest.approx([np.quantile([rng.choice(attacked, 300).mean() for _ in range(2000)], q) for q in (0.025, 0.975)], abs=0.012)
     assert rates["one"]["n"] == 1 and rates["one"]["low"] > 0.1
+
+
+def test_few_groups_meet_their_rows_where_they_lie(spark):
+    """Edges of a few axes are sent to the rows, not the rows of an axis to one task."""
+    from veristrata.operators import drift
+
+    values = spark.range(300).selectExpr("concat('a', id % 3) axis", "cast(id % 2 as int) batch", "cast(id as double) value")
+    assert "strategy=broadcast" in drift.bin_counts(values)._jdf.queryExecution().optimizedPlan().toString()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions import stats
-from veristrata.operators.running import quantiles, running
+from veristrata.operators.running import beside, quantiles, running
 from veristrata.sources.session import cut
 
 #: Deciles cut the pooled values.
@@ -24,7 +24,7 @@ def bin_edges(values: DataFrame) -> DataFrame:
 
 def bin_counts(values: DataFrame) -> DataFrame:
     """Counts of reference (batch 0) and incoming (batch 1) rows by axis and bin; bins are closed on the left, empty ones are absent."""
-    binned = values.join(bin_edges(values), "axis").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+    binned = values.join(beside(bin_edges(values)), "axis").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
     return binned.groupBy("axis", "bin").agg(F.count_if(F.col("batch") == 0).alias("n_ref"), F.count_if(F.col("batch") == 1).alias("n_inc"))
 
 
@@ -44,7 +44,7 @@ def stability_of(c: DataFrame) -> DataFrame:
 def ks_statistic(values: DataFrame) -> DataFrame:
     """Largest distance of the two ECDFs, by axis. Equal values are combined first, so ties step together; running counts go over ranges of values."""
     each = values.groupBy("axis", "value").agg(F.count_if(F.col("batch") == 0).alias("r"), F.count_if(F.col("batch") == 1).alias("i"))
-    total = each.groupBy("axis").agg(F.sum("r").alias("n"), F.sum("i").alias("m"))
+    total = beside(each.groupBy("axis").agg(F.sum("r").alias("n"), F.sum("i").alias("m")))
     steps = running(each, ["value"], {"cr": ("sum", F.col("r")), "ci": ("sum", F.col("i"))}, ["axis"]).join(total, "axis")
     return steps.groupBy("axis").agg(F.max(F.abs(F.col("cr") / F.col("n") - F.col("ci") / F.col("m"))).alias("ks"), F.first("n").alias("n_ref"), F.first("m").alias("n_inc"))
 

@@ -18,6 +18,16 @@ from veristrata.sources.session import cut
 CARRIED = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
 
 
+#: Rows of a table of groups that is sent to every task at most.
+FEW = 10_000
+
+
+def beside(groups: DataFrame) -> DataFrame:
+    """A table of one row a group, stored, to be joined to the groups' rows: sent to every task while it has few rows, so that no task is dealt a whole group."""
+    stored = cut(groups)
+    return F.broadcast(stored) if stored.limit(FEW + 1).count() <= FEW else stored
+
+
 def running(rows: DataFrame, order: Sequence[str], measures: Mapping[str, tuple[str, Column]], by: Sequence[str] = (), backward: bool = False) -> DataFrame:
     """``rows`` with each measure's running value, the row's own included, within ``by`` along ``order`` (or against it).
 
@@ -58,7 +68,7 @@ def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     """
     each = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     run = running(each, [value], {"upto": ("sum", F.col("n"))}, by)
-    whole = each.groupBy(*by).agg(F.sum("n").alias("total")) if by else None
+    whole = beside(each.groupBy(*by).agg(F.sum("n").alias("total"))) if by else None
     below = (F.col("upto") - F.col("n")).alias("below")
     average = (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("average_rank")
     if whole is None:
