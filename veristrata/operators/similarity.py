@@ -8,7 +8,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from veristrata.operators.graph import connected_components
@@ -140,6 +141,10 @@ def confirm_pairs(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFra
 MOST_PIVOTS, PIVOT_ROWS = 1024, 1024
 #: Rounding of distances that is allowed for when cells are left out.
 SLACK = 1e-7
+#: Times that cells may send the rows of both sides, on average; where more would be sent, rows pass by in place.
+MOST_SENT = 4
+#: Tasks in which the rows pass by a block of queries.
+SLICES = 4
 
 
 def _unit(vectors: pd.Series, zero_at: int) -> np.ndarray:
@@ -156,39 +161,141 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def _keep_nearest(held: tuple[np.ndarray, np.ndarray], a: np.ndarray, asking: np.ndarray, b: np.ndarray, ids: np.ndarray, same_table: bool) -> None:
+    """Put into ``held`` (ids and cosines, k a query, best first) what is nearer in a block of rows.
+
+    Products in single precision leave out rows that can't be among the k nearest,
+    by more than their rounding; the others' cosines are summed in double precision,
+    row by row, so that copies have equal ones wherever they stand.
+    """
+    near, cosines = held
+    k, slack = near.shape[1], 1.2e-7 * (a.shape[1] + 2)
+    a_short, b_short = a.astype(np.float32), b.astype(np.float32).T
+    for at in range(0, len(a), 256):
+        s = a_short[at : at + 256] @ b_short
+        least = cosines[at : at + 256, -1] - slack
+        if len(b) > k + 1 and np.isinf(least).any():
+            least = np.maximum(least, np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] - 2 * slack)
+        i, j = np.nonzero(s >= least[:, None])
+        i += at
+        if same_table:
+            other = asking[i] != ids[j]
+            i, j = i[other], j[other]
+        if not len(i):
+            continue
+        c = np.concatenate([np.einsum("ij,ij->i", a[i[n : n + 16384]], b[j[n : n + 16384]]) for n in range(0, len(i), 16384)])
+        rows = np.unique(i)
+        i, c, j = np.concatenate([np.repeat(rows, k), i]), np.concatenate([cosines[rows].ravel(), c]), np.concatenate([near[rows].ravel(), ids[j]])
+        order = np.lexsort((j, -c, i))
+        i = i[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        kept = order[(first[:, None] + np.arange(k)).ravel()]
+        near[rows], cosines[rows] = j[kept].reshape(-1, k), c[kept].reshape(-1, k)
+
+
+def _none_yet(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+
+
+def _long(asking: np.ndarray, near: np.ndarray, cosines: np.ndarray) -> pd.DataFrame:
+    found = np.isfinite(cosines)
+    return pd.DataFrame({"query_id": np.repeat(asking, near.shape[1])[found.ravel()], "id": near[found], "cosine": cosines[found]})
+
+
 def _best(k: int, same_table: bool):
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         """Of one group of queries, the ``k`` nearest in one block of rows."""
-        empty = pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "id": np.zeros(0, dtype=np.int64), "cosine": np.zeros(0)})
-        if not len(q) or not len(r):
-            return empty
-        a, b = _unit(q["vector"], 0), _unit(r["vector"], 1)
-        ids, out = r["id"].to_numpy(), []
-        for at in range(0, len(q), 256):
-            s = a[at : at + 256] @ b.T
-            for j, qid in enumerate(q["id"].to_numpy()[at : at + 256]):
-                row = s[j]
-                pick = np.flatnonzero(row >= np.partition(row, -min(len(row), k + 1))[-min(len(row), k + 1)])
-                if same_table:
-                    pick = pick[ids[pick] != qid]
-                pick = pick[np.lexsort((ids[pick], -row[pick]))][:k]
-                out.append(pd.DataFrame({"query_id": np.full(len(pick), qid), "id": ids[pick], "cosine": row[pick]}))
-        return pd.concat(out, ignore_index=True)
+        held, asking = _none_yet(len(q), k), q["id"].to_numpy(dtype=np.int64)
+        if len(q) and len(r):
+            _keep_nearest(held, _unit(q["vector"], 0), asking, _unit(r["vector"], 1), r["id"].to_numpy(dtype=np.int64), same_table)
+        return _long(asking, *held)
 
     return best
 
 
-def _meet(asked: DataFrame, rows: DataFrame, sizes: dict[int, int], k: int, block: int, same_table: bool) -> DataFrame:
+def _asked_for(asked: DataFrame) -> dict[int, int]:
+    """Queries of each cell: MOST_PIVOTS numbers at most."""
+    return {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+
+def _sent(wanted: dict[int, int], sizes: dict[int, int], block: int) -> int:
+    """Rows that ``_meet`` would shuffle."""
+    return sum(n * math.ceil(sizes.get(c, 0) / block) + sizes.get(c, 0) * math.ceil(n / block) for c, n in wanted.items())
+
+
+def _meet(asked: DataFrame, rows: DataFrame, wanted: dict[int, int], sizes: dict[int, int], k: int, block: int, same_table: bool) -> DataFrame:
     """Queries and the rows of the cells that they ask for, block by block. Both: id, vector, cell. A cell of any size, or one that any number ask for, is many blocks."""
     spark = asked.sparkSession
-    wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_PIVOTS rows at most
     table = [(c, max(1, math.ceil(n / block)), max(1, math.ceil(sizes.get(c, 0) / block))) for c, n in wanted.items()]
     parts = F.broadcast(spark.createDataFrame(table, "cell int, nq int, nr int"))
-    left = asked.join(parts, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col("nq")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    right = rows.join(parts, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nr")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"))
+
+    def dealt(salt: list[Column], n: str) -> Column:
+        # an int, as the exploded numbers are: keys of two types would be hashed apart, and groups would miss each other
+        return F.pmod(F.xxhash64("id", *salt), F.col(n)).cast("int")
+
+    left = asked.join(parts, "cell").select("id", "vector", "cell", dealt([], "nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
+    right = rows.join(parts, "cell").select("id", "vector", "cell", dealt([F.lit(1)], "nr").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"))
     return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(_best(k, same_table), "query_id long, id long, cosine double")
 
 
+def _packed(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """Rows (id, vector) as blocks: ``block`` (its name), ``ids``, ``vectors``. Each row is written once."""
+    kind = np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64
+
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, held, made, place = [], 0, 0, TaskContext.get().partitionId()
+
+        def blocks() -> pd.DataFrame:
+            ids, vectors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            return pd.DataFrame({"block": [f"{place}-{made}"], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+
+        for batch in batches:
+            for part in (batch.iloc[i : i + block] for i in range(0, len(batch), block)):
+                parts.append((part["id"].to_numpy(dtype=np.int64), np.stack(part["vector"].to_numpy()).astype(kind)))
+                held += len(part)
+                if held >= 2 * block:
+                    yield blocks()
+                    parts, held, made = [], 0, made + 1
+        if held:
+            yield blocks()
+
+    return cut(rows.select("id", "vector").repartition(max(1, math.ceil(n / block))).mapInPandas(pack, "block string, ids binary, vectors binary"))
+
+
+def _pass_by(asked: DataFrame, rows: DataFrame, n_asked: int, n_rows: int, k: int, block: int, same_table: bool) -> DataFrame:
+    """All queries against all rows: the rows stay where they are written, and pass by each block of queries in ``SLICES`` tasks, one block at a time.
+
+    What is shuffled is each row once and ``SLICES`` times k neighbours a query.
+    """
+    kind = np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64
+    kind_asked = np.float32 if dict(asked.dtypes)["vector"] == "array<float>" else np.float64
+
+    def opened(r: Row, kind: type, zero_at: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(r["ids"], dtype=np.int64)
+        return ids, _unit(pd.Series(list(np.frombuffer(r["vectors"], dtype=kind).reshape(len(ids), -1))), zero_at)
+
+    def near(pairs: Iterable[tuple[Row, Row]]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        held: dict = {}
+        for q, r in pairs:
+            if q["block"] not in held:
+                ids, x = opened(q, kind_asked, 0)
+                held[q["block"]] = ids, x, _none_yet(len(ids), k)
+            ids, x, found = held[q["block"]]
+            row_ids, y = opened(r, kind, 1)
+            _keep_nearest(found, x, ids, y, row_ids, same_table)
+        for ids, _, (near_ids, cosines) in held.values():
+            yield ids.tobytes(), near_ids.tobytes(), cosines.tobytes()
+
+    def unpacked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, near_ids, cosines in zip(batch["ids"], batch["near"], batch["cosines"], strict=True):
+                yield _long(np.frombuffer(ids, dtype=np.int64), np.frombuffer(near_ids, dtype=np.int64).reshape(-1, k), np.frombuffer(cosines).reshape(-1, k))
+
+    left, right = _packed(asked, n_asked, block).rdd, _packed(rows, n_rows, block).rdd.coalesce(SLICES)
+    found = asked.sparkSession.createDataFrame(left.cartesian(right).mapPartitions(near), "ids binary, near binary, cosines binary")
+    return found.mapInPandas(unpacked, "query_id long, id long, cosine double")
+
+
 def _top(parts: DataFrame, k: int) -> DataFrame:
     order = F.struct((-F.col("cosine")).alias("far"), "id")
     return parts.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("near"))
@@ -201,8 +308,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
     smallest hash). A query is compared with its own cell first; the k-th distance
     found there and the cells' radii rule out, by the triangle inequality, cells
     that can't hold a nearer row. What is left is compared, as matrix products of
-    blocks. On data with clusters few cells are left; on data without any the work
-    is that of all blocks, and results are the same. Inputs: id, vector.
+    blocks. On data with clusters few cells are left. Where the cells would send the
+    rows more than ``MOST_SENT`` times, all rows pass by all queries instead: the
+    comparisons are those of all pairs, but what is shuffled and written grows with
+    the rows. Results are the same. Inputs: id, vector.
     """
     # the pivots: MOST_PIVOTS rows at most
     n = rows.count()
@@ -232,17 +341,22 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
                 d[:, np.isinf(radius)] = np.inf
                 yield pd.DataFrame({"id": part["id"], "vector": part["vector"], "cell": d.argmin(1).astype(np.int32)})
 
-    asked = queries.select("id", "vector").mapInPandas(own, schema.replace(", away double", ""))
+    asked = cut(queries.select("id", "vector").mapInPandas(own, schema.replace(", away double", "")))
     rows_in = dealt.select("id", "vector", "cell")
-    if len(stats) == 1:
-        top = _top(_meet(asked, rows_in, sizes, k, block, same_table), k)
+    wanted = _asked_for(asked)
+    n_asked = sum(wanted.values())
+    most = MOST_SENT * (n + n_asked)
+    if _sent(wanted, sizes, block) > most:
+        top = _top(_pass_by(asked, rows_in, n_asked, n, k, block, same_table), k)
+    elif len(stats) == 1:
+        top = _top(_meet(asked, rows_in, wanted, sizes, k, block, same_table), k)
     else:
-        asked = cut(asked)
-        first = cut(_meet(asked, rows_in, sizes, k, block, same_table))
+        first = cut(_meet(asked, rows_in, wanted, sizes, k, block, same_table))
         kth = _top(first, k).select(F.col("query_id").alias("id"), F.when(F.size("near") == k, -F.element_at("near", -1)["far"]).alias("kth"))
+        bounded = asked.join(kth, "id", "left")
 
-        def further(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """A query once for each other cell that may hold a row as near as its k-th."""
+        def further(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+            """Queries, and the other cells that may hold a row as near as their k-th."""
             for batch in batches:
                 for part in (batch.iloc[i : i + 512] for i in range(0, len(batch), 512)):
                     d = _apart(_unit(part["vector"], 0), marks)
@@ -250,11 +364,26 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
                     open_ = d - radius <= np.where(np.isnan(bound), np.inf, bound)[:, None] + SLACK
                     open_[np.arange(len(part)), part["cell"].to_numpy()] = False
                     open_[:, np.isinf(radius)] = False
-                    i, cell = np.nonzero(open_)
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[i], "vector": part["vector"].to_numpy()[i], "cell": cell.astype(np.int32)})
-
-        wider = cut(asked.join(kth, "id", "left").mapInPandas(further, schema.replace(", away double", "")))
-        top = _top(first.unionByName(_meet(wider, rows_in, sizes, k, block, same_table)), k)
+                    yield part, open_
+
+        def copies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A query once for each such cell."""
+            for part, open_ in further(batches):
+                i, cell = np.nonzero(open_)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[i], "vector": part["vector"].to_numpy()[i], "cell": cell.astype(np.int32)})
+
+        def counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, open_ in further(batches):
+                n_open = open_.sum(0)
+                cell = np.flatnonzero(n_open)
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "n": n_open[cell].astype(np.int64)})
+
+        wanted = {r["cell"]: r["n"] for r in bounded.mapInPandas(counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # MOST_PIVOTS rows at most
+        if _sent(wanted, sizes, block) > most:
+            top = _top(_pass_by(asked, rows_in, n_asked, n, k, block, same_table), k)
+        else:
+            wider = cut(bounded.mapInPandas(copies, schema.replace(", away double", "")))
+            top = _top(first.unionByName(_meet(wider, rows_in, wanted, sizes, k, block, same_table)), k)
     return top.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("id"), (-F.col("x.far")).alias("cosine"))
 
 
