@@ -4,9 +4,11 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from veristrata.functions import stats
 from veristrata.operators import cohorts
+from veristrata.operators.running import quantiles
 
 SCHEMA = "sample_id string, contributor string, category string, x double, y double, w double, h double"
 
@@ -68,3 +70,27 @@ def test_no_boxes(spark):
     features = cohorts.box_features(spark.createDataFrame([], SCHEMA), ["sample_id"])
     tests = cohorts.geometry_tests(features)
     assert tests.count() == 0 and cohorts.geometry_hits(features, tests).count() == 0
+
+
+def test_boxes_are_read_twice_and_not_shuffled_whole(spark):
+    """Once to count values, once to find the hits, whose join leaves the boxes where they are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame(boxes(0.3), SCHEMA).localCheckpoint()
+    features = cohorts.box_features(rows.withColumn("x", watched("x")), ["sample_id"])
+    hits = cohorts.geometry_hits(features, cohorts.geometry_tests(features))
+    assert hits.count() > 0 and seen.value <= 2 * rows.count()
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_weighted_quantiles(spark):
+    values = [("a", 1.0, 3), ("a", 2.0, 2), ("a", 7.5, 5), ("b", 4.0, 1), (None, 2.0, 2), (None, 3.0, 2)]
+    rows = spark.createDataFrame(values, "g string, v double, k long")
+    got = {r["g"]: r["quantiles"] for r in quantiles(rows, "v", [0.5, 0.9], ["g"], "k").collect()}
+    assert got == {"a": [4.75, 7.5], "b": [4.0, 4.0], None: [2.5, 3.0]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veristrata.functions import stats
 from veristrata.operators.running import quantiles
+from veristrata.sources.session import cut
 
 MAD_SCALE = 1.4826
 
@@ -109,6 +110,11 @@ def box_features(boxes: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return ok.select(*names, F.explode(pairs).alias("f")).select(*names, "f.feature", "f.value")
 
 
+def value_counts(features: DataFrame) -> DataFrame:
+    """Box features with how often each contributor has a value: category, feature, contributor, value, ``k``. Null values are left out. Boxes are read once, by whatever asks of it."""
+    return cut(features.where("value is not null").groupBy("category", "feature", "contributor", "value").agg(F.count("*").alias("k")))
+
+
 def geometry_shift(features: DataFrame, least: int = 15, effect: float = 1.0) -> DataFrame:
     """Median and spread of each contributor's boxes by category and feature, and on which side of every peer it stands.
 
@@ -117,10 +123,17 @@ def geometry_shift(features: DataFrame, least: int = 15, effect: float = 1.0) ->
     The extreme bound of the others is the first or second of an ordered window of
     one short row a contributor, so no contributors are paired.
     """
+    return shift_of_counts(value_counts(features), least, effect)
+
+
+def shift_of_counts(counted: DataFrame, least: int = 15, effect: float = 1.0) -> DataFrame:
+    """``geometry_shift`` from ``value_counts``; medians are found in ranges of values, so no task holds a contributor's."""
     by = ["category", "feature", "contributor"]
-    middle = features.groupBy(*by).agg(F.median("value").alias("median"), F.count("value").alias("n")).where(F.col("n") >= least)
+    n = counted.groupBy(*by).agg(F.sum("k").alias("n")).where(F.col("n") >= least)
+    middle = n.join(quantiles(counted, "value", [0.5], by, "k").select(*by, F.col("quantiles")[0].alias("median")), by)
     floor = F.coalesce(*(F.when(F.col("feature") == name, F.lit(v)) for name, v in SPREAD_FLOORS.items()), F.lit(0.0))
-    spread = features.join(middle, by).groupBy(*by).agg((F.median(F.abs(F.col("value") - F.col("median"))) * MAD_SCALE).alias("spread"))
+    away = counted.join(middle, by).select(*by, F.abs(F.col("value") - F.col("median")).alias("away"), "k")
+    spread = quantiles(away, "away", [0.5], by, "k").select(*by, (F.col("quantiles")[0] * MAD_SCALE).alias("spread"))
     g = middle.join(spread, by).withColumn("spread", F.greatest("spread", floor))
     high, low = F.col("median") + effect * F.col("spread"), F.col("median") - effect * F.col("spread")
 
@@ -134,19 +147,19 @@ def geometry_shift(features: DataFrame, least: int = 15, effect: float = 1.0) ->
     return marked.select(*by, "n", "median", "spread", "peers", side.alias("side"))
 
 
-def ecdf_against_peers(features: DataFrame, chosen: DataFrame) -> DataFrame:
+def ecdf_against_peers(counted: DataFrame, chosen: DataFrame) -> DataFrame:
     """Two-sample KS statistic of each chosen contributor against each peer: category, feature, contributor, peer, ks.
 
     Running counts are made inside ranges of values and carried over by one short
     row a range, so no task orders a whole feature. A chosen contributor's counts
     are read where a peer's step, at the step and just before it: between two
-    steps of the peer the distance is largest at an end.
+    steps of the peer the distance is largest at an end. ``counted``: ``value_counts``.
     """
     key = ["category", "feature"]
     wanted = chosen.select(*key, F.col("contributor").alias("target"))
-    some = features.join(wanted.select(*key).distinct(), key)
+    some = counted.join(wanted.select(*key).distinct(), key)
     bounds = some.groupBy(*key).agg(F.percentile_approx("value", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(1000)).alias("bounds"))
-    each = some.where("value is not null").groupBy(*key, "value", "contributor").agg(F.count("*").alias("k")).join(bounds, key)
+    each = some.join(bounds, key)
     each = each.select(*key, "contributor", "value", "k", F.size(F.filter("bounds", lambda b: b <= F.col("value"))).alias("range"))
     rows = each.join(wanted, key).withColumn("own", F.when(F.col("contributor") == F.col("target"), F.col("k")).otherwise(0))
     inside = Window.partitionBy(*key, "target", "range").orderBy("value")
@@ -180,10 +193,11 @@ def geometry_tests(features: DataFrame, least: int = 15, effect: float = 1.0, al
     feature, so rows grow with contributors and not with their pairs.
     """
     key = ["category", "feature"]
-    g = geometry_shift(features, least, effect).where("peers > 0").cache()
+    counted = value_counts(features)
+    g = cut(shift_of_counts(counted, least, effect).where("peers > 0"))
     family = g.count()
     chosen = g.where("side <> 0")
-    usable = features.join(g.select(*key, "contributor"), [*key, "contributor"])
+    usable = counted.join(g.select(*key, "contributor"), [*key, "contributor"])
     near = g.select(*key, F.col("contributor").alias("peer"), F.col("n").alias("peer_n"), F.col("median").alias("peer_median"), F.col("spread").alias("peer_spread"))
 
     @F.pandas_udf("double")
@@ -201,8 +215,9 @@ def geometry_tests(features: DataFrame, least: int = 15, effect: float = 1.0, al
 def geometry_hits(features: DataFrame, tests: DataFrame, least_z: float = 1.5) -> DataFrame:
     """Samples with a box in the tail of a flagged shift: ``features`` (list), ``z`` (largest), severity, confidence. ``features``: sample_id too."""
     key = ["category", "feature", "contributor"]
+    # two contributors of a category and feature at most, so that boxes needn't be shuffled to meet them
     flagged = tests.where("flagged").select(*key, "side", "peer_median", "peer_spread")
-    far = features.join(flagged, key).withColumn("z", F.col("side") * (F.col("value") - F.col("peer_median")) / F.col("peer_spread")).where(F.col("z") >= least_z)
+    far = features.join(F.broadcast(flagged), key).withColumn("z", F.col("side") * (F.col("value") - F.col("peer_median")) / F.col("peer_spread")).where(F.col("z") >= least_z)
     out = far.groupBy("sample_id").agg(F.array_sort(F.collect_set("feature")).alias("features"), F.max("z").alias("z"))
     confidence = F.least(F.lit(0.7), 0.3 + 0.1 * F.size("features") + 0.02 * F.least("z", F.lit(10.0)))
     return out.withColumn("severity", F.when(F.size("features") > 1, "medium").otherwise("low")).withColumn("confidence", confidence)

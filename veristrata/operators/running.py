@@ -61,12 +61,13 @@ def running(rows: DataFrame, order: Sequence[str], measures: Mapping[str, tuple[
     return both.select(*(F.col(f"l.`{c}`") for c in rows.columns), *(joined(n, kind) for n, (kind, _) in measures.items()))
 
 
-def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Each different ``value`` of a group: ``n`` rows of it, ``below`` rows of smaller ones, ``total`` rows of the group, and ``average_rank``.
 
-    Equal values are combined before anything is ordered. Nulls are left out.
+    Equal values are combined before anything is ordered. Nulls are left out. A
+    row counts once, or as often as its ``weight`` says.
     """
-    each = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    each = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     run = running(each, [value], {"upto": ("sum", F.col("n"))}, by)
     whole = beside(each.groupBy(*by).agg(F.sum("n").alias("total"))) if by else None
     below = (F.col("upto") - F.col("n")).alias("below")
@@ -81,14 +82,15 @@ def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     return run.alias("l").join(whole.alias("r"), on).select(*(F.col(f"l.`{c}`") for c in by), f"l.{value}", "n", below, "total", average)
 
 
-def quantiles(rows: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``quantiles`` of each group, exact, by linear interpolation between ranks; nulls are left out, a group of nulls alone has no row.
 
     Values are combined and ranked in ranges; of each group the few that hold a
-    wanted rank are kept. No task holds a group.
+    wanted rank are kept. No task holds a group. A row counts once, or as often as
+    its ``weight`` says.
     """
     by = list(by)
-    ranked = value_ranks(rows.select(*by, F.col(value).cast("double").alias("__v")), "__v", by)
+    ranked = value_ranks(rows.select(*by, F.col(value).cast("double").alias("__v"), *([weight] if weight else [])), "__v", by, weight)
     place = lambda q: F.lit(float(q)) * (F.col("total") - 1)
     inside = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), inside(F.floor(place(q))).alias("lo"), inside(F.ceil(place(q))).alias("hi"), (place(q) - F.floor(place(q))).alias("part")) for i, q in enumerate(at)))
