@@ -51,3 +51,18 @@ def test_other_tables_pass_by(spark, monkeypatch):
     q[3] = r[5] = 0
     same_neighbours(found(spark, q, r, 4, False, block=16, pivot_rows=10), plain(q, r, 4, False))
     same_neighbours(found(spark, r[:3], r[:3], 5, True, block=2), plain(r[:3], r[:3], 5, True))
+
+
+def test_one_frame_is_dealt_and_packed_once(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(600, 16))
+    x[:9], x[20:22] = x[0], 0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    cuts, real = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: cuts.append(sorted(df.columns)) or real(df))
+    got: dict = {}
+    for row in similarity.nearest(frame, frame, 5, block=32, pivot_rows=20).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["id"], row["cosine"]))
+    same_neighbours(got, plain(x, x, 5, True))
+    assert [i for i, _ in got[8]] == [0, 1, 2, 3, 4]
+    # of the vectors two copies are written, dealt and packed; before, each side had its own of both
+    assert [c for c in cuts if {"vector", "vectors"} & set(c)] == [["away", "cell", "id", "vector"], ["block", "ids", "vectors"]]

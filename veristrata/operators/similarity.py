@@ -176,7 +176,7 @@ def _keep_nearest(held: tuple[np.ndarray, np.ndarray], a: np.ndarray, asking: np
         least = cosines[at : at + 256, -1] - slack
         if len(b) > k + 1 and np.isinf(least).any():
             least = np.maximum(least, np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] - 2 * slack)
-        i, j = np.nonzero(s >= least[:, None])
+        i, j = np.divmod(np.flatnonzero(s >= least[:, None]), len(b))  # in two dimensions nonzero takes longer than the product
         i += at
         if same_table:
             other = asking[i] != ids[j]
@@ -262,10 +262,11 @@ def _packed(rows: DataFrame, n: int, block: int) -> DataFrame:
     return cut(rows.select("id", "vector").repartition(max(1, math.ceil(n / block))).mapInPandas(pack, "block string, ids binary, vectors binary"))
 
 
-def _pass_by(asked: DataFrame, rows: DataFrame, n_asked: int, n_rows: int, k: int, block: int, same_table: bool) -> DataFrame:
+def _pass_by(asked: DataFrame, rows: DataFrame, n_asked: int, n_rows: int, k: int, block: int, same_table: bool, one_frame: bool) -> DataFrame:
     """All queries against all rows: the rows stay where they are written, and pass by each block of queries in ``SLICES`` tasks, one block at a time.
 
-    What is shuffled is each row once and ``SLICES`` times k neighbours a query.
+    What is shuffled is each row once and ``SLICES`` times k neighbours a query. One
+    frame that is both sides is packed once.
     """
     kind = np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64
     kind_asked = np.float32 if dict(asked.dtypes)["vector"] == "array<float>" else np.float64
@@ -291,8 +292,9 @@ def _pass_by(asked: DataFrame, rows: DataFrame, n_asked: int, n_rows: int, k: in
             for ids, near_ids, cosines in zip(batch["ids"], batch["near"], batch["cosines"], strict=True):
                 yield _long(np.frombuffer(ids, dtype=np.int64), np.frombuffer(near_ids, dtype=np.int64).reshape(-1, k), np.frombuffer(cosines).reshape(-1, k))
 
-    left, right = _packed(asked, n_asked, block).rdd, _packed(rows, n_rows, block).rdd.coalesce(SLICES)
-    found = asked.sparkSession.createDataFrame(left.cartesian(right).mapPartitions(near), "ids binary, near binary, cosines binary")
+    right = _packed(rows, n_rows, block)
+    left = right if one_frame else _packed(asked, n_asked, block)
+    found = asked.sparkSession.createDataFrame(left.rdd.cartesian(right.rdd.coalesce(SLICES)).mapPartitions(near), "ids binary, near binary, cosines binary")
     return found.mapInPandas(unpacked, "query_id long, id long, cosine double")
 
 
@@ -311,7 +313,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
     blocks. On data with clusters few cells are left. Where the cells would send the
     rows more than ``MOST_SENT`` times, all rows pass by all queries instead: the
     comparisons are those of all pairs, but what is shuffled and written grows with
-    the rows. Results are the same. Inputs: id, vector.
+    the rows. Results are the same. Inputs: id, vector; where one frame is given for
+    both, its rows are dealt and packed once.
     """
     # the pivots: MOST_PIVOTS rows at most
     n = rows.count()
@@ -341,13 +344,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
                 d[:, np.isinf(radius)] = np.inf
                 yield pd.DataFrame({"id": part["id"], "vector": part["vector"], "cell": d.argmin(1).astype(np.int32)})
 
-    asked = cut(queries.select("id", "vector").mapInPandas(own, schema.replace(", away double", "")))
-    rows_in = dealt.select("id", "vector", "cell")
+    rows_in, one_frame = dealt.select("id", "vector", "cell"), queries is rows
+    # under names of its own: a frame can't meet itself
+    asked = dealt.select(*(F.col(c).alias(c) for c in rows_in.columns)) if one_frame else cut(queries.select("id", "vector").mapInPandas(own, schema.replace(", away double", "")))
     wanted = _asked_for(asked)
     n_asked = sum(wanted.values())
     most = MOST_SENT * (n + n_asked)
     if _sent(wanted, sizes, block) > most:
-        top = _top(_pass_by(asked, rows_in, n_asked, n, k, block, same_table), k)
+        top = _top(_pass_by(asked, rows_in, n_asked, n, k, block, same_table, one_frame), k)
     elif len(stats) == 1:
         top = _top(_meet(asked, rows_in, wanted, sizes, k, block, same_table), k)
     else:
@@ -380,7 +384,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, same
 
         wanted = {r["cell"]: r["n"] for r in bounded.mapInPandas(counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # MOST_PIVOTS rows at most
         if _sent(wanted, sizes, block) > most:
-            top = _top(_pass_by(asked, rows_in, n_asked, n, k, block, same_table), k)
+            top = _top(_pass_by(asked, rows_in, n_asked, n, k, block, same_table, one_frame), k)
         else:
             wider = cut(bounded.mapInPandas(copies, schema.replace(", away double", "")))
             top = _top(first.unionByName(_meet(wider, rows_in, wanted, sizes, k, block, same_table)), k)
