@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tests.conftest import SMALL
 from tests.test_nearest import found, plain, same_neighbours
 from veristrata.operators import similarity
 from veristrata.plans import queries
@@ -66,3 +67,11 @@ def test_one_frame_is_dealt_and_packed_once(spark, monkeypatch):
     assert [i for i, _ in got[8]] == [0, 1, 2, 3, 4]
     # of the vectors two copies are written, dealt and packed; before, each side had its own of both
     assert [c for c in cuts if {"vector", "vectors"} & set(c)] == [["away", "cell", "id", "vector"], ["block", "ids", "vectors"]]
+
+
+@pytest.mark.parametrize("name", ["J03_knn", "A28_label_agreement", "J02_confirmed_pairs"])
+def test_queries_give_one_frame(spark, monkeypatch, name):
+    given, real = [], similarity.nearest
+    monkeypatch.setattr(similarity, "nearest", lambda q, r, *rest, **more: given.append(q is r) or real(q, r, *rest, **more))
+    queries.QUERIES[name](spark, SMALL)
+    assert given == [True]

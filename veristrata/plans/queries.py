@@ -103,8 +103,8 @@ def knn(spark, sf_dir):
 @query("A28_label_agreement", f"with {KNN_SQL}, j as (select query_id, avg(case when b.label = a.label then 1.0 else 0.0 end) agreement, count(*) n from knn join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = id group by query_id) select query_id, n, agreement, agreement <= 0.2 flagged from j where n >= 5")
 def label_agreement(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    near = similarity.nearest(v.select("id", "vector"), v.select("id", "vector"), 10)
-    return similarity.label_agreement(near, v.select("id", "label"))
+    rows = v.select("id", "vector")
+    return similarity.label_agreement(similarity.nearest(rows, rows, 10), v.select("id", "label"))
 
 
 @query("J02_confirmed_pairs", f"with {KNN_SQL}, p as (select distinct least(query_id, id) id_a, greatest(query_id, id) id_b from knn), c as (select id_a, id_b, {_COS} c from p join embeddings a on a.vec_id = id_a join embeddings b on b.vec_id = id_b) select id_a, id_b, round(c, 6) as cosine from c where c >= 0.1")
