@@ -257,3 +257,26 @@ def test_unreadable_records_before_a_copy_are_not_missing(spark):
     rows = [(0, 0, None, "a"), (1, 1, None, "b"), (2, None, "malformed_record", "x"), (3, None, "malformed_record", "y"), (4, 1, None, "b"), (5, 4, None, "e")]
     checked = walk.as_checked(spark.createDataFrame([(*r, "ok") for r in rows], "pos long, seq long, problem string, link string, sig string"))
     assert [(r["pos"], r["cause"], r["n"]) for r in walk._numbers(checked).collect()] == [(4, "record_replay", None)]
+
+
+def test_numbers_are_carried_from_run_to_run(spark):
+    """The largest number so far, and what is unreadable before it, is the same whatever the width of runs."""
+    rng = random.Random(16)
+    rows = damaged(sound(60, rng), rng, 24)
+    table = spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in [dict(r, pos=p) for p, r in enumerate(rows)]], walk.CHECKED).repartition(3)
+    found = [sorted(map(tuple, walk._numbers(table, width).collect()), key=str) for width in (3, 4096)]
+    assert found[0] == found[1] and {f[1] for f in found[0]} >= {"record_reorder", "record_replay", "ledger_fork", "record_delete"}
+
+
+def test_a_walk_stores_little(spark):
+    """What is stored of a ledger on the way is its records once, and a few numbers of each."""
+    from pathlib import Path
+
+    from veristrata.plans.chains import verify_walk
+    from veristrata.sources.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, events = held(), spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
+    assert verify_walk(spark, "/root/testdata/sf0.01").count() == 347
+    assert held() - before < 600 * events

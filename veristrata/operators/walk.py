@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 
 from veristrata.operators import ledger as chain
 from veristrata.operators import proofs
-from veristrata.operators.running import running
-from veristrata.sources.session import cut
+from veristrata.operators.running import beside, running
+from veristrata.sources.session import cut, stored
 
 #: A checked record. ``problem``: why it is unreadable, or null; ``sig``: ok, edit, key, refused (with ``refused_at``); ``link``: hash that the next row must name.
 CHECKED = (
@@ -70,30 +70,47 @@ FACTS = ("pos", "problem", "cause", "n", "owner", "sig", "refused_at", "genesis"
 # ---- facts ----
 
 
-def _numbers(rows: DataFrame) -> DataFrame:
-    """``cause``, ``n`` and ``owner`` (position of the record put before it) from the records' own numbers."""
-    known = rows.where("seq is not null")
-    firsts = known.groupBy("seq").agg(F.min("pos").alias("first_pos"), F.min_by("link", "pos").alias("first_link"), F.min_by("sig", "pos").alias("first_sig"))
+def _numbers(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``cause``, ``n`` and ``owner`` (position of the record put before it) from the records' own numbers.
+
+    Only numbers are sent for all rows, and kept while the largest number so far is
+    carried from run to run of positions; links are compared where a number repeats.
+    """
+    firsts = rows.where("seq is not null").groupBy("seq").agg(F.min("pos").alias("first_pos"))
     ranked = running(firsts, ["seq"], {"rank": ("sum", F.lit(1).cast("long"))})
-    both = chain.count_before(rows.withColumn("number", F.col("seq")).withColumn("seq", F.col("pos")), F.col("problem").isNotNull(), "bad").drop("seq")
-    both = both.join(ranked.withColumnRenamed("seq", "number"), "number", "left")
+    own = rows.select("pos", F.col("seq").alias("number"), F.col("problem").isNotNull().cast("long").alias("unread"), F.floor(F.col("pos") / width).alias("run"))
+    both = stored(own.join(ranked.withColumnRenamed("seq", "number"), "number", "left"))
     # of equal numbers the first counts, before which the fewest rows are unreadable
-    top = F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("seq"), "rank", (-F.col("bad")).alias("bad")))
-    upto = running(both, ["pos"], {"top": ("max", top)})
-    before = chain.in_order(upto.withColumnRenamed("pos", "seq"), {"top_before": "top"}).withColumnRenamed("seq", "pos")
-    m, r, b = (F.coalesce(F.col(f"top_before.{c}"), F.lit(v)) for c, v in (("seq", -1), ("rank", 0), ("bad", 0)))
-    present, unreadable = F.col("rank") - r - 1, F.col("bad") + b
+    top = lambda bad: F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("seq"), "rank", (-F.col("pos")).alias("at"), bad.alias("bad")))
+    no_bad = F.lit(0).cast("long")
+    totals = both.groupBy("run").agg(F.sum("unread").alias("unread"), F.max(top(no_bad)).alias("top"), F.collect_list(F.when(F.col("unread") == 1, F.col("pos"))).alias("holes"))
+    totals = totals.select("run", "unread", "top", F.size(F.filter("holes", lambda p: p < -F.col("top.at"))).cast("long").alias("inside"))
+    earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("upto", F.coalesce(F.sum("unread").over(earlier), no_bad))
+    raised = lambda t, by: F.when(t.isNotNull(), F.struct(t["seq"].alias("seq"), t["rank"].alias("rank"), t["at"].alias("at"), by.alias("bad")))
+    handed = totals.select("run", "upto", F.max(raised(F.col("top"), F.col("upto") + F.col("inside"))).over(earlier).alias("carried"))
+    inside = Window.partitionBy("run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("bad", F.coalesce(F.sum("unread").over(inside), no_bad)).withColumn("here", F.max(top(F.col("bad"))).over(inside)).join(handed, "run")
+    before = seen.withColumn("bad", F.col("upto") + F.col("bad")).withColumn("top", F.greatest(raised(F.col("here"), F.col("upto") + F.col("here.bad")), F.col("carried")))
+    m, r, b = (F.coalesce(F.col(f"top.{c}"), F.lit(v)) for c, v in (("seq", -1), ("rank", 0), ("bad", 0)))
+    present, unreadable = F.col("rank") - r - 1, F.col("bad") - b
     absent = F.col("number") - m - 1 - present - unreadable
     again, behind = F.col("pos") > F.col("first_pos"), F.col("number") < m
+    cause = F.when(again, F.lit("again")).when(behind, F.lit("behind")).when(absent > 0, "record_delete").when(present > 0, "record_reorder")
+    odd = cut(before.select("pos", "number", "first_pos", cause.alias("cause"), F.when(~again & ~behind & (absent > 0), absent).alias("n")).where("cause is not null"))
+    # repeats: each beside the first record of its number
+    pairs = odd.where("cause = 'again'").select("pos", "first_pos")
+    asked = beside(pairs.select(F.explode(F.array("pos", "first_pos")).alias("pos")).distinct())
+    held = cut(rows.select("pos", chain.packed(F.col("link")).alias("link"), "sig").join(asked, "pos"))
+    first = held.select(F.col("pos").alias("first_pos"), F.col("link").alias("first_link"), F.col("sig").alias("first_sig"))
     repeat = F.when(F.col("link") == F.col("first_link"), "record_replay").when((F.col("sig") == "ok") & (F.col("first_sig") == "ok"), "ledger_fork").otherwise("record_reorder")
-    cause = F.when(again, repeat).when(behind, F.lit("behind")).when(absent > 0, "record_delete").when(present > 0, "record_reorder")
-    marked = before.select("pos", "number", cause.alias("cause"), F.when(~again & ~behind & (absent > 0), absent).alias("n"), again.alias("again")).where("cause is not null")
+    none = F.lit(None).cast("long")
+    repeats = pairs.join(held, "pos").join(first, "first_pos").select("pos", repeat.alias("cause"), none.alias("n"), none.alias("owner"))
     # a record that is behind belongs to the first one that went past its number
-    odd = cut(marked.where("not again"))
-    past = running(odd, ["number"], {"next": ("min", F.when(F.col("cause") != "behind", F.col("pos") * 2 + F.when(F.col("cause") == "record_reorder", 1).otherwise(0)))}, backward=True)
+    past = running(odd.where("cause <> 'again'"), ["number"], {"next": ("min", F.when(F.col("cause") != "behind", F.col("pos") * 2 + F.when(F.col("cause") == "record_reorder", 1).otherwise(0)))}, backward=True)
     owned = F.col("next").isNotNull() & (F.col("next") % 2 == 1)
     settled = past.select("pos", F.when(F.col("cause") != "behind", F.col("cause")).when(~owned | F.col("next").isNull(), "record_reorder").alias("cause"), "n", F.when((F.col("cause") == "behind") & owned, F.floor(F.col("next") / 2)).alias("owner"))
-    return settled.unionByName(marked.where("again").select("pos", "cause", "n", F.lit(None).cast("long").alias("owner")))
+    return settled.unionByName(repeats)
 
 
 def _nonces(rows: DataFrame) -> DataFrame:
@@ -109,8 +126,8 @@ def _roots(rows: DataFrame, size: int) -> DataFrame:
     """``root_bad`` of checkpoints and ``anchor_bad`` of anchor events."""
     signed = rows.where("sig = 'ok' and problem is null")
     claims = signed.where("type = 'checkpoint'").select("pos", "seq", "tree_size", "root")
-    nodes = chain.merkle_levels(rows.select(F.col("pos").alias("idx"), F.col("leaf").alias("hash")))
-    known = proofs.prefix_roots(nodes, size, claims.select(F.col("pos").alias("tree_size"))).select(F.col("tree_size").alias("pos"), F.col("root").alias("true_root"))
+    leaves = rows.select(F.col("pos").alias("idx"), F.col("leaf").alias("hash"))
+    known = proofs.roots_of_prefixes(leaves, size, claims.select(F.col("pos").alias("tree_size"))).select(F.col("tree_size").alias("pos"), F.col("root").alias("true_root"))
     judged = cut(claims.join(known, "pos", "left").withColumn("good", (F.col("tree_size") == F.col("pos")) & F.col("root").eqNullSafe(F.col("true_root"))))
     good = judged.where("good").select(F.col("seq").alias("checkpoint_seq"), "tree_size", "root", F.col("pos").alias("at"))
     events = signed.where("type = 'anchor_event'").select("pos", "checkpoint_seq", "tree_size", "root")
@@ -131,13 +148,14 @@ def facts(checked: DataFrame, genesis: str = chain.ZERO) -> DataFrame:
     """Rows with a fact against them. ``checked``: CHECKED, ``pos`` from 0 without gaps, read several times (store it); ``genesis``: what the first record must name."""
     rows = checked
     size = rows.count()
-    both = chain.in_order(rows.select("pos", F.col("pos").alias("seq"), "type", "problem", "sig", "refused_at", "prev", F.when(F.col("problem").isNull(), F.col("link")).alias("link"), "created", "pop"), {"expected": "link"}).drop("seq")
+    prev, link = chain.packed(F.col("prev")), chain.packed(F.when(F.col("problem").isNull(), F.col("link")))
+    both = chain.in_order(rows.select("pos", F.col("pos").alias("seq"), "type", "problem", "sig", "refused_at", prev.alias("prev"), link.alias("link"), "pop"), {"expected": "link"}).drop("seq")
     clock = chain.in_order(rows.where("problem is null").select(F.col("pos").alias("seq"), "created"), {"created_before": "created"}).where("created < created_before").select(F.col("seq").alias("pos"), F.lit(True).alias("clock"))
     first = F.col("pos") == 0
     own = both.select(
         "pos", "problem", F.when(F.col("problem").isNull(), F.col("sig")).alias("sig"), "refused_at",
         (first & (F.col("type") != "genesis")).alias("genesis"),
-        F.when(F.col("problem").isNull(), ~F.coalesce(F.col("prev") == F.when(first, F.lit(genesis)).otherwise(F.col("expected")), F.lit(False))).alias("link_bad"),
+        F.when(F.col("problem").isNull(), ~F.coalesce(F.col("prev") == F.when(first, chain.packed(F.lit(genesis))).otherwise(F.col("expected")), F.lit(False))).alias("link_bad"),
         ((F.col("type") == "key_rotation") & (F.col("sig") == "ok") & ~F.coalesce("pop", F.lit(False))).alias("pop_bad"),
         ((F.col("type") == "degraded_marker") & (F.col("sig") == "ok")).alias("gap"),
     )
@@ -147,7 +165,7 @@ def facts(checked: DataFrame, genesis: str = chain.ZERO) -> DataFrame:
         out = out.unionByName(more, allowMissingColumns=True)
     # each table has a row a position at most, so the maximum is the one value that isn't null
     out = out.groupBy("pos").agg(*(F.max(c).alias(c) for c in out.columns if c != "pos"))
-    out = out.join(own.select("pos", "problem", "sig"), "pos")
+    out = out.join(rows.select("pos", "problem", F.when(F.col("problem").isNull(), F.col("sig")).alias("sig")), "pos")
     changed = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("cause").isNotNull(), F.col("cause")).when(F.col("sig") == "edit", "record_edit").when((F.col("sig") == "key") | F.col("pop_bad"), "key_unauthorised")
     out = cut(out.withColumn("__changed", changed))
     taint = out.where("__changed is not null").agg(F.min(F.struct("pos", "__changed")).alias("t")).first()["t"]
@@ -353,7 +371,7 @@ def cause_and_effect(found: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def walk(checked: DataFrame, genesis: str = chain.ZERO, width: int = WIDTH) -> DataFrame:
     """Findings of a whole ledger: ``pos``, ``seq`` (null if unreadable), ``cause``, ``n``, ``effects``; empty if it is sound."""
-    rows = cut(checked)
+    rows = stored(checked)
     found = cause_and_effect(facts(rows, genesis), width)
     return found.join(rows.select("pos", "seq"), "pos").select("pos", "seq", "cause", "n", "effects")
 

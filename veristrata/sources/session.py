@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint: survives lost executors and ends the lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table beside the checkpoints: as safe as ``cut``, but packed, and a reader takes only the columns that it uses. For wide rows that are read several times."""
+    at = f"{checkpoint_dir(df.sparkSession)}/veristrata-stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
