@@ -195,3 +195,21 @@ def test_writers_hold_no_task(tmp_path, monkeypatch):
     assert abs(len(pickle.dumps(told[1])) - len(pickle.dumps(told[0]))) < 10
     voc.commit(told)
     assert len(files(tmp_path / "v")) == 304
+
+
+def test_planning_holds_a_few_bytes_a_file(tmp_path, monkeypatch):
+    """A folder of many small files is read in groups whose names are packed; each file is in one of them."""
+    import pickle
+
+    where = tmp_path / "v/Annotations"
+    (where / "more/_hidden").mkdir(parents=True)
+    names = [f"{i}.xml" for i in range(1200)] + ["é ü.XML", "more/1.xml"]
+    for n in [*names, ".x.xml", "_y.xml", "more/_hidden/z.xml", "other.txt"]:
+        (where / n).write_text("<annotation/>")
+    pieces = formats.VocReader(str(tmp_path / "v")).partitions()
+    assert [len(p.files) for p in pieces] == [500, 500, 202]
+    assert sorted(f for p in pieces for f in p.files) == sorted(f"{where}/{n}" for n in names)
+    assert len(pickle.dumps(pieces)) < 8 * len(names)
+    monkeypatch.setattr(formats, "GROUP_FILES", 7)
+    reader = formats.VocReader(f"file://{tmp_path}/v")
+    assert sorted(r[0] for p in reader.partitions() for r in reader.read(p)) == sorted([*map(str, range(1200)), "é ü", "1"])

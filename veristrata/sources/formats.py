@@ -6,8 +6,8 @@
 Reading is planned in partitions whose work is bounded: ranges of bytes of a
 JSON-lines ledger (a line belongs to the range that it begins in), ranges of
 row ids of a SQLite ledger, sections of a COCO manifest, and groups of files of
-the formats that keep a file an image. No file is held whole but those of one
-image. What can't be read gives a row with a ``problem``, never none.
+the formats that keep a file an image, whose names are packed. No file is held
+whole but those of one image. What can't be read gives a row with a ``problem``, never none.
 
 Writing is by tasks and commits: every task writes files in a staging folder of
 its own and hands that folder's name to the driver, however many files it holds;
@@ -30,6 +30,7 @@ import os
 import sqlite3
 import uuid
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -70,6 +71,36 @@ def listed(root: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted((p, n) for p, n, rel in inner if rel.lower().endswith(endings) and not any(part.startswith(("_", ".")) for part in rel.strip("/").split("/")))
 
 
+def walked(store: fs.FileSystem, at: str) -> Iterator[str]:
+    """Paths of the files under a folder, in no order. A local folder is read entry by entry, one of another store at once."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(at) as entries:
+            for e in entries:
+                if e.is_dir():
+                    yield from walked(store, f"{at}/{e.name}")
+                elif e.is_file():
+                    yield f"{at}/{e.name}"
+    else:
+        for f in store.get_file_info(fs.FileSelector(at)):
+            if f.type == fs.FileType.Directory:
+                yield from walked(store, f.path)
+            elif f.type == fs.FileType.File:
+                yield f.path
+
+
+def grouped(root: str, endings: tuple[str, ...]) -> list[InputPartition]:
+    """The files that ``listed`` gives, in groups of ``GROUP_FILES``, none of them held but as its packed name. Names follow each other inside a group."""
+    store, at = opened(root)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    if info.type == fs.FileType.File:
+        return [Piece([info.path])]
+    names = (p[len(at) :].lstrip("/") for p in walked(store, at))
+    seen = (n for n in names if n.lower().endswith(endings) and not any(part.startswith(("_", ".")) for part in n.split("/")))
+    return [Group.of(at, some) for some in iter(lambda: list(itertools.islice(seen, GROUP_FILES)), [])] or [Piece([])]
+
+
 def stem(path: str) -> str:
     return os.path.splitext(os.path.basename(path))[0]
 
@@ -84,6 +115,22 @@ class Piece(InputPartition):
     array: str | None = None
 
 
+@dataclass
+class Group(InputPartition):
+    """Files that one task reads: the driver holds all groups, so names are packed, a few bytes each."""
+
+    folder: str
+    names: bytes
+
+    @classmethod
+    def of(cls, folder: str, names: list[str]) -> Group:
+        return cls(folder, zlib.compress("\0".join(sorted(names)).encode("utf-8", "surrogateescape")))
+
+    @property
+    def files(self) -> list[str]:
+        return [f"{self.folder}/{n}" for n in zlib.decompress(self.names).decode("utf-8", "surrogateescape").split("\0")]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The folder of one task, how many files it holds, and how many rows they do; ``cuts``: places inside a file where a section of it begins."""
@@ -102,8 +149,7 @@ class _Reader(DataSourceReader):
         self.store = opened(root)[0]
 
     def partitions(self) -> list[InputPartition]:
-        names = [p for p, _ in listed(self.root, self.endings)]
-        return [Piece(names[i : i + GROUP_FILES]) for i in range(0, len(names), GROUP_FILES)] or [Piece([])]
+        return grouped(self.root, self.endings)
 
     def content(self, path: str, most: int) -> bytes | None:
         """A file's bytes, or None if it is larger than allowed."""
@@ -154,16 +200,20 @@ class _Writer(DataSourceWriter):
         at = f"{self.staging}/{message.task}"
         if not message.files:
             return []
-        names = [f.path[len(at) + 1 :] for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File]
+        names = [p[len(at) + 1 :] for p in walked(store, at)]
         if len(names) != message.files:
             raise OSError(f"a task wrote {message.files} files, {len(names)} are there")
         return names
 
     def clash(self, store: fs.FileSystem, messages: list[Written]) -> bool:
         """Have two tasks written one file? Names are compared by eight bytes each, and by themselves where those agree."""
-        marks = lambda m: np.array([int.from_bytes(hashlib.blake2b(n.encode("utf-8", "surrogateescape"), digest_size=8).digest()) for n in self.staged(store, m)], dtype=np.uint64)
-        seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(marks, messages)]), return_counts=True)
-        twice = set(seen[times > 1].tolist())
+        marks = lambda m: np.frombuffer(b"".join(hashlib.blake2b(n.encode("utf-8", "surrogateescape"), digest_size=8).digest() for n in self.staged(store, m)), dtype=np.uint64)
+        seen, at = np.empty(sum(m.files for m in messages), np.uint64), 0
+        for m in messages:
+            seen[at : at + m.files] = marks(m)
+            at += m.files
+        seen.sort()
+        twice = set(seen[1:][seen[1:] == seen[:-1]].tolist())
         if not twice:
             return False
         names = [n for m in messages for n, k in zip(self.staged(store, m), marks(m).tolist(), strict=True) if k in twice]
@@ -576,8 +626,7 @@ class YoloReader(_Reader):
     endings = (".txt",)
 
     def partitions(self):
-        names = [p for p, _ in listed(f"{self.root.rstrip('/')}/labels", self.endings)]
-        return [Piece(names[i : i + GROUP_FILES]) for i in range(0, len(names), GROUP_FILES)] or [Piece([])]
+        return grouped(f"{self.root.rstrip('/')}/labels", self.endings)
 
     def read(self, piece: Piece) -> Iterator[tuple]:
         for path in piece.files:
@@ -618,8 +667,7 @@ class VocReader(_Reader):
     endings = (".xml",)
 
     def partitions(self):
-        names = [p for p, _ in listed(f"{self.root.rstrip('/')}/Annotations", self.endings)]
-        return [Piece(names[i : i + GROUP_FILES]) for i in range(0, len(names), GROUP_FILES)] or [Piece([])]
+        return grouped(f"{self.root.rstrip('/')}/Annotations", self.endings)
 
     def parsed(self, data: bytes | None) -> tuple:
         if data is None:
